@@ -50,9 +50,9 @@ def lookup(
     """Left join to ``right``, which holds one row per ``key``.
 
     Keys with more than ``hot_rows`` rows on the left get their right row from a
-    broadcast of just those keys; for the shuffle join their key is replaced by a
-    value that spreads evenly and matches nothing. Nothing is dropped or sampled,
-    and no task receives a hot key's rows. ``key_source`` is a cheaper frame with
+    broadcast of just those keys; for the shuffle join their key (and any null key)
+    is replaced by a value that spreads evenly and matches nothing. Nothing is dropped,
+    and no task receives all of a hot key's rows. ``key_source`` is a cheaper frame with
     the same keys to count, where ``left`` itself is costly to compute.
     """
     values = [c for c in right.columns if c != key]
@@ -66,7 +66,8 @@ def lookup(
         F.broadcast(hot_right), key, "left")
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
     marked = marked.withColumn(
-        "_key", F.when(F.col("_is_hot"), spread).otherwise(F.col(key).cast("string")))
+        "_key", F.when(F.col("_is_hot") | F.col(key).isNull(), spread)
+        .otherwise(F.col(key).cast("string")))
     cold = right.select(
         F.col(key).cast("string").alias("_key"), F.struct(*values).alias("_cold"))
     joined = marked.join(cold, "_key", "left").withColumn(
