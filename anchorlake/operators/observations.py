@@ -8,6 +8,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anchorlake import fixed_values as fixed
 from anchorlake.functions import urls as U
@@ -19,7 +20,11 @@ ROBOTS_MAX_BYTES = 500_000
 
 
 # ---------------------------------------------------------------- robots -----
-@F.pandas_udf("array<struct<path:string,allow:boolean>>")
+_RULES = T.ArrayType(T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())]))
+
+
+@F.pandas_udf(_RULES)
 def _agent_rules(bodies: pd.Series) -> pd.Series:
     """The rules of the group that applies to our agent, in file order."""
     def rules(body: str) -> list[dict]:
