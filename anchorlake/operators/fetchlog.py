@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from anchorlake.functions import status as S
 from anchorlake.functions import urls as U
 from anchorlake.operators.keyed import first_per_key, lookup
+from anchorlake.session import cut_lineage
 
 LADDER = ["https", "https-noverify", "http"]
 LADDER_HTTP = ["http", "https", "https-noverify"]
@@ -89,11 +90,12 @@ def resolve_redirects(hops: DataFrame, max_hops: int = 10) -> DataFrame:
 
     ``hops`` has from_url, to_url and status: one row per URL, with to_url null where
     the URL answers itself. Paths double in length each round, so ten hops take four
-    joins rather than ten. A path longer than ``max_hops`` (or a loop) is an error.
+    joins rather than ten; each round is written to the checkpoint folder, so the plan
+    does not grow. A path longer than ``max_hops`` (or a loop) is an error.
     """
-    step = first_per_key(
+    step = cut_lineage(first_per_key(
         hops.select("from_url", "to_url", "status"), ["from_url"],
-        [F.col("to_url"), F.col("status")])
+        [F.col("to_url"), F.col("status")]))
     paths = step.select(
         F.col("from_url").alias("url"), F.col("status").alias("status_code"),
         F.when(F.col("to_url").isNull(), F.array().cast("array<string>"))
@@ -102,14 +104,14 @@ def resolve_redirects(hops: DataFrame, max_hops: int = 10) -> DataFrame:
     while reach <= max_hops:
         ends = paths.select(F.col("url").alias("_end"), F.col("path").alias("_more"))
         grown = paths.withColumn("_end", F.get("path", F.size("path") - 1))
-        paths = lookup(grown, ends, "_end").withColumn(
+        paths = cut_lineage(lookup(grown, ends, "_end", key_source=grown.select("_end")).withColumn(
             "path", F.concat("path", F.coalesce("_more", F.array().cast("array<string>")))
-        ).drop("_end", "_more")
+        ).drop("_end", "_more"))
         reach *= 2
     landed = paths.withColumn("redirect_hops", F.size("path")).withColumn(
         "_final", F.when(F.size("path") > 0, F.get("path", F.size("path") - 1)).otherwise(F.col("url")))
     statuses = step.select(F.col("from_url").alias("_final"), F.col("status").alias("_final_status"))
-    landed = lookup(landed, statuses, "_final")
+    landed = lookup(landed, statuses, "_final", key_source=landed.select("_final"))
     endless = F.col("redirect_hops") > max_hops
     moved = F.col("redirect_hops") > 0
     offsite = moved & ~endless & (

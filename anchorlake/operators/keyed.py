@@ -44,35 +44,35 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_KEY_ROWS,
-    key_source: DataFrame | None = None,
+    left: DataFrame, right: DataFrame, key: str, key_source: DataFrame | None = None,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Left join to ``right``, which holds one row per ``key``.
 
-    Keys with more than ``hot_rows`` rows on the left get their right row from a
-    broadcast of just those keys; for the shuffle join their key (and any null key)
-    is replaced by a value that spreads evenly and matches nothing. Nothing is dropped,
-    and no task receives all of a hot key's rows. ``key_source`` is a cheaper frame with
-    the same keys to count, where ``left`` itself is costly to compute.
+    Null keys are spread instead of meeting in one task. Hot keys are split at run
+    time by adaptive execution, which costs no extra pass. Where the keys can be
+    counted cheaply (a scan or a checkpointed frame, given as ``key_source``), they
+    are also routed explicitly: rows of a key with more than ``hot_rows`` rows get
+    their right row from a broadcast of just those keys and take an evenly spread
+    key through the shuffle. Nothing is dropped or sampled either way.
     """
     values = [c for c in right.columns if c != key]
-    counted = (left if key_source is None else key_source).groupBy(key).agg(
-        F.count("*").alias("_n"))
-    hot = counted.where((F.col("_n") > hot_rows) & F.col(key).isNotNull()).select(key)
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
+    own = F.col(key).cast("string")
+    cold = right.select(own.alias("_key"), F.struct(*values).alias("_cold"))
+    if key_source is None:
+        joined = left.withColumn("_key", F.coalesce(own, spread)).join(cold, "_key", "left")
+        return joined.select(*left.columns, *[F.col("_cold")[c].alias(c) for c in values])
+    hot = key_source.groupBy(key).agg(F.count("*").alias("_n")).where(
+        (F.col("_n") > hot_rows) & F.col(key).isNotNull()).select(key)
     hot_right = right.join(F.broadcast(hot), key, "left_semi").select(
-        F.col(key), F.struct(*values).alias("_hot"))
-    hot_flag = hot.withColumn("_is_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot_flag), key, "left").join(
+        key, F.struct(*values).alias("_hot"))
+    marked = left.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), key, "left").join(
         F.broadcast(hot_right), key, "left")
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
-    marked = marked.withColumn(
-        "_key", F.when(F.col("_is_hot") | F.col(key).isNull(), spread)
-        .otherwise(F.col(key).cast("string")))
-    cold = right.select(
-        F.col(key).cast("string").alias("_key"), F.struct(*values).alias("_cold"))
-    joined = marked.join(cold, "_key", "left").withColumn(
-        "_found", F.coalesce("_hot", "_cold"))
-    return joined.select(*left.columns, *[F.col("_found")[c].alias(c) for c in values])
+    joined = marked.withColumn("_key", F.when(F.col("_is_hot"), spread).otherwise(
+        F.coalesce(own, spread))).join(cold, "_key", "left")
+    found = joined.withColumn("_found", F.coalesce("_hot", "_cold"))
+    return found.select(*left.columns, *[F.col("_found")[c].alias(c) for c in values])
 
 
 class Ordered:

@@ -14,11 +14,14 @@ MASTER_SCHEMA = (
     "notes string, first_seen timestamp, last_seen timestamp, metrics_seen timestamp")
 
 
-def master_lookup(rows: DataFrame, master: DataFrame) -> DataFrame:
+def master_lookup(
+    rows: DataFrame, master: DataFrame, key_source: DataFrame | None = None
+) -> DataFrame:
     """Tag rows with what the master list says: exact host, then registered domain.
 
     The third step takes the shortest host recorded under the same registered domain.
-    ``rows`` needs host and registered.
+    ``rows`` needs host and registered; ``key_source`` is a cheap frame with the same
+    two columns, where there is one, to find hot keys in.
     """
     facts = F.struct("status", "da", "spam_score", "host", "source", "first_seen", "notes")
     listed = master.select("host", "registered", facts.alias("m"))
@@ -27,10 +30,9 @@ def master_lookup(rows: DataFrame, master: DataFrame) -> DataFrame:
     by_domain = first_per_key(
         listed.select("registered", F.col("m").alias("_by_domain")), ["registered"],
         [F.length("_by_domain.host"), F.col("_by_domain.host")])
-    keys = rows.select("host", "registered")
-    out = lookup(rows, by_host, "host", key_source=keys)
-    out = lookup(out, by_name, "registered", key_source=keys)
-    out = lookup(out, by_domain, "registered", key_source=keys)
+    out = lookup(rows, by_host, "host", key_source=key_source)
+    out = lookup(out, by_name, "registered", key_source=key_source)
+    out = lookup(out, by_domain, "registered", key_source=key_source)
     hit = F.when(F.coalesce("host", F.lit("")) == "", None).otherwise(
         F.coalesce("_by_host", "_by_name", "_by_domain"))
     return out.withColumn("_m", hit).withColumns({

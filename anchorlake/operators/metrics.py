@@ -36,8 +36,9 @@ def find_headers(cells: DataFrame, enough: Column, columns: dict[str, Column]) -
         c.alias(n) for n, c in columns.items()]).alias("at"), enough.alias("ok")).where("ok")
     first = candidates.groupBy("file").agg(
         F.min("row_no").alias("header_row"), F.min_by("at", "row_no").alias("at"))
-    before = lookup(cells.select("file", "row_no"), first.select("file", "header_row"), "file") \
-        .groupBy("file").agg(F.count_if(F.col("row_no") < F.col("header_row")).alias("_before"))
+    before = lookup(cells.select("file", "row_no"), first.select("file", "header_row"), "file",
+                    key_source=cells.select("file")).groupBy("file").agg(
+                        F.count_if(F.col("row_no") < F.col("header_row")).alias("_before"))
     return first.join(before, "file").where(F.col("_before") < HEADER_ROWS).drop("_before")
 
 
@@ -78,7 +79,7 @@ def parse_metric_cells(cells: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), domains_in), F.lit(0)).alias("_guess"))
     plan = headers.join(guessed, "file", "left").select(
         "file", "header_row", "at", F.coalesce("at.url", "_guess", F.lit(0)).alias("url_at"))
-    rows = lookup(cells, plan, "file")
+    rows = lookup(cells, plan, "file", key_source=cells.select("file"))
     headed = F.col("header_row").isNotNull()
     named = rows.where(headed & (F.col("row_no") > F.col("header_row"))).select(
         "file", "mtime", "row_no", F.trim(F.get("cells", F.col("url_at"))).alias("raw"),

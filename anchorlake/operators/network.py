@@ -19,13 +19,18 @@ from anchorlake.functions import text as X
 from anchorlake.functions import urls as U
 from anchorlake.operators.columns import Row
 from anchorlake.operators.keyed import Ordered, first_per_key, lookup
+from anchorlake.session import cut_lineage
 
 KINDS = {"ip": "same IP ", "host": "same host ", "subnet": "same /24 ",
          "cms": "same CMS ", "title": "templated title "}
 
 
 def footprint_signals(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """One row per (domain, signal), from each domain's first row in ``order``."""
+    """One row per (domain, signal), from each domain's first row in ``order``.
+
+    The result is small next to the rows and read several times, so it is written to
+    the checkpoint folder.
+    """
     r = Row(rows)
     shared = r.flag("shared_host")
     org = F.lower(F.trim(F.coalesce(
@@ -43,8 +48,9 @@ def footprint_signals(rows: DataFrame, order: list[Column]) -> DataFrame:
     ]), lambda s: s["value"] != "")
     label = F.concat(
         F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("s.kind")], F.col("s.value"))
-    return first.select("registered", "ip", "shared", F.explode(signals).alias("s")).select(
-        "registered", "ip", "shared", "s.kind", "s.value", label.alias("label"))
+    return cut_lineage(
+        first.select("registered", "ip", "shared", F.explode(signals).alias("s")).select(
+            "registered", "ip", "shared", "s.kind", "s.value", label.alias("label")))
 
 
 def signal_groups(signals: DataFrame, min_size: int = 3) -> DataFrame:
@@ -68,8 +74,10 @@ def signal_groups(signals: DataFrame, min_size: int = 3) -> DataFrame:
 def domain_groups(signals: DataFrame, groups: DataFrame) -> DataFrame:
     """Each domain's sorted list of counting groups (at most five)."""
     counting = groups.where("counts").select("label", F.lit(True).alias("_counts"))
-    kept = lookup(signals.select("registered", "label"), counting, "label").where("_counts")
-    return kept.groupBy("registered").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    kept = lookup(signals.select("registered", "label"), counting, "label",
+                  key_source=signals.select("label")).where("_counts")
+    return cut_lineage(
+        kept.groupBy("registered").agg(F.array_sort(F.collect_list("label")).alias("labels")))
 
 
 def _subsets(labels: Column, signed: bool) -> Column:
@@ -122,8 +130,9 @@ def cluster_of_domain(domains: DataFrame, clusters: DataFrame) -> DataFrame:
     """The smallest (last-ranked) cluster each domain belongs to."""
     by_label = clusters.select("rank", F.explode("labels").alias("label")).groupBy("label").agg(
         F.max("rank").alias("rank"))
-    mine = lookup(domains.select("registered", F.explode("labels").alias("label")), by_label, "label") \
-        .groupBy("registered").agg(F.max("rank").alias("rank")).where(F.col("rank").isNotNull())
+    owned = domains.select("registered", F.explode("labels").alias("label"))
+    mine = lookup(owned, by_label, "label", key_source=owned.select("label")).groupBy("registered").agg(
+        F.max("rank").alias("rank")).where(F.col("rank").isNotNull())
     facts = clusters.select(
         "rank", F.col("cluster_id").alias("network_id"), F.col("size").alias("network_size"),
         F.col("signals").alias("network_signals"))
