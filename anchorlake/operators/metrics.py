@@ -7,12 +7,14 @@ from typing import Any, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorlake import fixed_values as fixed
 from anchorlake.functions import text as X
 from anchorlake.functions import urls as U
 from anchorlake.operators.keyed import Ordered, last_per_key, lookup
+from anchorlake.session import cut_lineage
 
 METRICS = list(fixed.METRIC_HEADERS)
 POSITIONAL = ["da", "pa", "spam_score", "backlinks", "quality_backlinks"]
@@ -51,23 +53,16 @@ def parse_metric_cells(cells: DataFrame) -> DataFrame:
     """
     found = {m: _column_of(F.col("cells"), p) for m, p in fixed.METRIC_HEADERS.items()}
     present = sum((c.isNotNull().cast("int") for c in found.values()), F.lit(0))
-    headers = find_headers(
-        cells, present >= 2, {**found, "url": _column_of(F.col("cells"), fixed.METRIC_URL_HEADER)})
-    # the first five rows below each header decide which column holds domains
+    headers = cut_lineage(find_headers(
+        cells, present >= 2, {**found, "url": _column_of(F.col("cells"), fixed.METRIC_URL_HEADER)}))
+    # the first five rows below each header decide which column holds domains; a
+    # row_number filter this small is applied before the shuffle as well
     below = lookup(cells.select("file", "row_no", "cells"),
                    headers.select("file", "header_row", F.col("at.url").alias("_url")), "file")
     below = below.where(F.col("_url").isNull() & (F.col("row_no") > F.col("header_row")))
-    near = below.groupBy("file").agg(*[
-        F.min_by(F.struct("row_no", "cells"), "row_no").alias("_1")])
-    samples = near.select("file", F.array("_1.cells").alias("rows"), F.col("_1.row_no").alias("_at"))
-    for _ in range(4):
-        more = lookup(below, samples.select("file", "_at"), "file").where(F.col("row_no") > F.col("_at")) \
-            .groupBy("file").agg(F.min_by(F.struct("row_no", "cells"), "row_no").alias("_1"))
-        samples = samples.join(more, "file", "left").select(
-            "file",
-            F.when(F.col("_1").isNull(), F.col("rows"))
-            .otherwise(F.concat("rows", F.array("_1.cells"))).alias("rows"),
-            F.coalesce("_1.row_no", "_at").alias("_at"))
+    nearest = F.row_number().over(W.partitionBy("file").orderBy("row_no"))
+    samples = below.withColumn("_n", nearest).where(F.col("_n") <= 5).groupBy("file").agg(
+        F.collect_list("cells").alias("rows"))
     width = F.array_max(F.transform("rows", lambda r: F.size(r)))
 
     def domains_in(j: Column) -> Column:
@@ -77,9 +72,9 @@ def parse_metric_cells(cells: DataFrame) -> DataFrame:
 
     guessed = samples.select("file", F.get(F.filter(
         F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), domains_in), F.lit(0)).alias("_guess"))
-    plan = headers.join(guessed, "file", "left").select(
+    layout = headers.join(guessed, "file", "left").select(
         "file", "header_row", "at", F.coalesce("at.url", "_guess", F.lit(0)).alias("url_at"))
-    rows = lookup(cells, plan, "file", key_source=cells.select("file"))
+    rows = lookup(cells, layout, "file", key_source=cells.select("file"))
     headed = F.col("header_row").isNotNull()
     named = rows.where(headed & (F.col("row_no") > F.col("header_row"))).select(
         "file", "mtime", "row_no", F.trim(F.get("cells", F.col("url_at"))).alias("raw"),
@@ -89,7 +84,9 @@ def parse_metric_cells(cells: DataFrame) -> DataFrame:
         F.array_compact(F.array(*[
             F.when(F.col(f"at.{m}") < F.size("cells"), F.lit(m)) for m in METRICS])).alias("given"))
     filled = F.filter(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
-    numbers = F.filter(F.transform(F.slice("_filled", 2, 1000), X.lenient_number), lambda n: n.isNotNull())
+    numbers = F.filter(
+        F.transform(F.slice("_filled", F.lit(2), F.size("_filled")), lambda c: X.lenient_number(c)),
+        lambda n: n.isNotNull())
     plain = rows.where(~headed).withColumn("_filled", filled).where(F.size("_filled") >= 2) \
         .withColumn("_numbers", numbers).where(F.size("_numbers") > 0).select(
             "file", "mtime", "row_no", F.get("_filled", F.lit(0)).alias("raw"),

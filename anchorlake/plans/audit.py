@@ -16,6 +16,7 @@ from anchorlake.operators.report import triage_order, with_action
 from anchorlake.operators.score import with_score
 from anchorlake.operators.textscan import scan_urls
 from anchorlake.rules import DEFAULT_KEYWORDS, Keyword
+from anchorlake.session import cut_lineage
 
 
 @dataclass
@@ -72,22 +73,22 @@ def audit(
     """
     rows = classify.with_domain_parts(backlinks.withColumnsRenamed(
         {"target": "input_target", "anchor": "input_anchor"}), "url")
+    # the link list alone is cheap to read again, so hot keys are counted there
+    keys = rows.select("host", "registered", U.origin_of(F.col("url")).alias("origin"))
     rows = scan_urls(classify.with_trust_tier(rows, authority), rules)
     if obs.master is not None:
-        rows = master.master_lookup(rows, obs.master)
+        rows = master.master_lookup(rows, obs.master, keys)
     rows = fetchlog.with_root_probe(status_rows(rows, obs))
-    keys = backlinks.select("url")
-    features = page_rows(obs, cfg, rules)
+    # pages are parsed once; their features serve links, home pages and samples
+    features = cut_lineage(page_rows(obs, cfg, rules))
     facts = first_per_key(
         features.withColumnRenamed("url", "_final"), ["_final"], [F.col("word_count"), F.col("h1")])
     rows = lookup(rows.withColumn("_final", F.col("final_url")), facts, "_final").drop("_final")
     rows = rows.withColumn("page_parsed", F.coalesce("page_parsed", F.lit(False))).withColumn(
         "target_checked", F.coalesce("target_checked", F.lit(bool(cfg.target_site))))
-    home_pages = obs.pages.where(U.is_homepage(F.col("url")))
-    homes = page_rows(Observations(home_pages), cfg, rules).withColumn(
+    homes = features.where(U.is_homepage(F.col("url"))).withColumn(
         "status_verdict", F.lit("LIVE")).withColumn("status_code", F.lit(200))
-    rows = pages.with_homepage(rows, homes, key_source=keys.select(
-        U.origin_of(F.col("url")).alias("origin")))
+    rows = pages.with_homepage(rows, homes, key_source=keys)
     if obs.robots is not None:
         rows = observations.robots_verdict(rows, obs.robots, "final_url")
     if cfg.sitewide_sample:
@@ -100,6 +101,8 @@ def audit(
         rows = observations.attach_hosting(rows, observations.hosting_from_rdap(obs.rdap))
     rows = with_score(rows, cfg)
     if cluster:
+        # read by the footprint and again for the final rows: computed once
+        rows = cut_lineage(rows)
         rows = with_score(network.with_network(rows, triage_order(), cfg.min_cluster), cfg)
     return with_action(rows)
 

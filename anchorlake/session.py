@@ -55,6 +55,8 @@ def local_session(cores: int | str = "*", name: str = "anchorlake") -> SparkSess
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # a static setting: recording a call site per column slows plan building
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
