@@ -37,7 +37,7 @@ class Row:
 
 def joined(*parts: Column, sep: str = "; ") -> Column:
     """Join the parts that are not null."""
-    return F.array_join(F.array_compact(F.array(*parts)), sep)
+    return F.concat_ws(sep, *parts)
 
 
 def shown(number: Column) -> Column:

@@ -85,7 +85,7 @@ def run_diff(old: DataFrame, new: DataFrame, score_delta: float = 10.0) -> DataF
         rows.append(F.when(applies, F.struct(
             F.lit(change).alias("change"), F.lit(priority).alias("priority"), detail.alias("detail"))))
     return (
-        both.withColumn("_c", F.explode(F.array_compact(F.array(*rows))))
+        both.withColumn("_c", F.explode(F.array(*rows))).where(F.col("_c").isNotNull())
         .select(F.col("_c.change"), F.col("_c.priority"), "url",
                 F.coalesce(b["registered"], a["registered"]).alias("domain"),
                 va.alias("was"), vb.alias("now"),

@@ -114,9 +114,14 @@ def with_score(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         F.when(verdict.isin(list(cfg.caps)), said("status ", verdict, " ", joined(
             F.nullif(r.text("status_code"), F.lit("")), F.nullif(r.text("error"), F.lit("")), sep=" "))),
     ]
-    issues = F.array_compact(F.array(*statements, *[
-        F.when(cond, text) for cond, _, text in deductions if text is not None]))
-    wins = F.array_compact(F.array(
+    told = statements + [F.when(cond, text) for cond, _, text in deductions if text is not None]
+    # concat_ws skips nulls and stays in generated code, which filtering an array would not
+    issues = F.concat_ws("; ", *told)
+    issue_count = sum((F.when(said_so.isNotNull(), 1).otherwise(0) for said_so in [
+        F.when(da < 15, 1), F.when(da.isNull(), 1), F.when(verdict.isin(list(cfg.caps)), 1),
+        *[F.when(cond, 1) for cond, _, text in deductions if text is not None]]), F.lit(0))
+    wins = F.concat_ws(
+        "; ",
         F.when(da >= 60, said("strong DA ", shown(da))),
         F.when((da >= 35) & (da < 60), said("decent DA ", shown(da))),
         F.when(verdict == "LIVE", said("live")),
@@ -124,7 +129,7 @@ def with_score(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         F.when(present & ~r.flag("link_is_sitewide") & (r.text("link_placement") == "in-content"),
                said("editorial link")),
         F.when(spam_score <= 30, said("low spam score ", shown(spam_score), "%")),
-        F.when(quality & (relevance >= 50), said("on topic (", shown(relevance), "%)"))))
+        F.when(quality & (relevance >= 50), said("on topic (", shown(relevance), "%)")))
 
     base = F.lit(58.0)
     for name, value in cfg.tier_base.items():
@@ -154,7 +159,8 @@ def with_score(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     names = ["score", "spam_evidence", "verdict", "issues", "wins", "action", "issue_count"]
     scored = df.drop(*names).withColumns({
         "score": score, "spam_evidence": evidence, "_missing": missing,
-        "_issues": issues, "_wins": wins, "_status": verdict, "_root_note": r.text("root_note")})
+        "issues": F.coalesce(F.nullif(issues, F.lit("")), F.lit("none")), "wins": wins,
+        "issue_count": issue_count, "_status": verdict, "_root_note": r.text("root_note")})
     status = F.col("_status")
     final = (
         F.when(status.isin("DEAD", "GONE", "ERROR", "DNS_ERROR"), "DEAD")
@@ -169,7 +175,5 @@ def with_score(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         action = F.when(F.col("verdict") == name, text).otherwise(action)
     action = F.when((F.col("verdict") == "DEAD") & (F.col("_root_note") != ""),
                     F.concat(action, F.lit(" "), F.col("_root_note"))).otherwise(action)
-    return scored.withColumn("verdict", final).withColumns({
-        "issues": F.when(F.size("_issues") == 0, "none").otherwise(F.array_join("_issues", "; ")),
-        "wins": F.array_join("_wins", "; "), "issue_count": F.size("_issues"), "action": action,
-    }).drop("_issues", "_wins", "_missing", "_status", "_root_note")
+    return scored.withColumn("verdict", final).withColumn("action", action).drop(
+        "_missing", "_status", "_root_note")

@@ -14,19 +14,29 @@ from anchorlake.functions.text import contains_any_keyword, keyword_pattern
 from anchorlake.rules import DEFAULT_DIRECTORY, DEFAULT_PAID, DEFAULT_PARKED, Keyword
 
 
+def contains_any(low: Column, words: list[str]) -> Column:
+    """Does lower-cased text contain any of the words as a plain substring?"""
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | low.contains(word)
+    return hit
+
+
 def scan_urls(df: DataFrame, rules: list[Keyword], url_col: str = "url") -> DataFrame:
     """Distinct sorted categories and words that occur in the lower-cased URL."""
     url = F.lower(F.coalesce(F.col(url_col), F.lit("")))
     hits = F.array_compact(F.array(*[
         F.when(url.contains(r.word), F.struct(F.lit(r.category).alias("c"), F.lit(r.word).alias("w")))
         for r in rules]))
-    scanned = df.withColumn("_hits", hits)
+    scanned = df.withColumn("_hits", F.when(contains_any(url, [r.word for r in rules]), hits))
+
+    def listed(part: str) -> Column:
+        return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.col(part))), ", "), F.lit(""))
+
     return (
         scanned
-        .withColumn("url_spam_categories", F.array_join(
-            F.array_sort(F.array_distinct(F.col("_hits.c"))), ", "))
-        .withColumn("url_spam_keywords", F.array_join(
-            F.array_sort(F.array_distinct(F.col("_hits.w"))), ", "))
+        .withColumn("url_spam_categories", listed("_hits.c"))
+        .withColumn("url_spam_keywords", listed("_hits.w"))
         .drop("_hits"))
 
 
@@ -138,8 +148,8 @@ def scan_markers(
 
     return (
         scanned
-        .withColumn("parked_markers", _first_markers(
-            [F.when(text.contains(m), F.lit(m)) for m in parked]))
+        .withColumn("parked_markers", F.when(contains_any(text, parked), _first_markers(
+            [F.when(text.contains(m), F.lit(m)) for m in parked])).otherwise(""))
         .withColumn("paid_link_markers", matching(paid))
         .withColumn("link_directory_markers", matching(directory))
         .drop("_low"))

@@ -11,6 +11,7 @@ from anchorlake.operators import gate, network, report, rundiff, score
 from anchorlake.operators.keyed import first_per_key
 from anchorlake.plans.q_urls import STATUS_GROUP_SQL
 from anchorlake.plans.registry import columns, query
+from anchorlake.session import spread
 from anchorlake.sources import writers
 
 CFG = AuditConfig(target_site="example.com", relevance_keywords=("x",))
@@ -74,7 +75,7 @@ ROWS = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in LINK_COLUMNS.it
 
 
 def link_rows(t):
-    return t.lineitem.selectExpr(*columns(**LINK_COLUMNS))
+    return spread(t.lineitem).selectExpr(*columns(**LINK_COLUMNS))
 
 
 REACH = "status_verdict IN ('LIVE', 'REDIRECT_PERM', 'REDIRECT_TEMP')"

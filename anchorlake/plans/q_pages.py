@@ -19,12 +19,12 @@ CFG = AuditConfig(target_site="https://www.example.com/", target_aliases=("examp
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
   '<(script|style)>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')"""
-_ENTITIES = (("&amp;", "&"), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-             ("&nbsp;", " "))
+_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
+             ("&amp;", "&"), ("&amp", "&"))
 
 
 def _unescaped(sql: str) -> str:
-    for entity, char in reversed(_ENTITIES):
+    for entity, char in _ENTITIES:
         sql = f"replace({sql}, '{entity}', '{char}')"
     return sql
 
