@@ -32,27 +32,24 @@ def anchor_distribution(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
 
 
 def top_anchors(distribution: DataFrame, limit: int = 25) -> DataFrame:
-    total = distribution.agg(F.sum("n").alias("_total"))
-    top = distribution.orderBy(F.desc("n"), "anchor").limit(limit)
-    # one total row, joined to at most ``limit`` rows
-    return top.join(F.broadcast(total)).select(
-        "anchor", "kind", "n", F.bround(100.0 * F.col("n") / F.col("_total"), 1).alias("share"))
+    total = distribution.agg(F.sum("n")).scalar()
+    return distribution.orderBy(F.desc("n"), "anchor").limit(limit).select(
+        "anchor", "kind", "n", F.bround(100.0 * F.col("n") / total, 1).alias("share"))
 
 
 def anchor_summary(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
     """One row: totals, kinds, the most common anchor, followed links."""
     kinds = ["branded", "naked-url", "generic", "image-empty", "keyword"]
     dist = anchor_distribution(rows, cfg)
-    totals = dist.agg(
+    top = dist.orderBy(F.desc("n"), "anchor").limit(1).select("anchor").scalar()
+    followed = rows.agg(F.count_if(
+        F.coalesce("link_found", F.lit(False)) & F.coalesce("is_followed", F.lit(False)))).scalar()
+    return dist.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct_anchors"),
         F.max("n").alias("top_n"),
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(
-            k.replace("-", "_")) for k in kinds])
-    top = dist.orderBy(F.desc("n"), "anchor").limit(1).select(F.col("anchor").alias("top_anchor"))
-    followed = rows.agg(F.count_if(
-        F.coalesce("link_found", F.lit(False)) & F.coalesce("is_followed", F.lit(False))).alias("followed"))
-    # three one-row frames side by side
-    return totals.join(F.broadcast(followed)).join(F.broadcast(top), F.lit(True), "left")
+            k.replace("-", "_")) for k in kinds]).select(
+                "*", followed.alias("followed"), top.alias("top_anchor"))
 
 
 def anchor_warnings(rows: DataFrame, cfg: AuditConfig) -> DataFrame:

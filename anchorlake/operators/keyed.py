@@ -88,7 +88,8 @@ class Ordered:
         spark = df.sparkSession
         self.order = order
         self.columns = df.columns
-        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             spark.sparkContext.defaultParallelism)
         ranged = df.repartitionByRange(parts, *order)
         self.rows = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
 

@@ -102,6 +102,8 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
         .withColumn("link_count", F.size("_matches"))
         .withColumn("link_found", F.size("_matches") > 0)
         .withColumn("target_checked", target != "")
+        .withColumn("target_domains", F.col("_targets"))
+        .withColumn("linked_domains", F.array_distinct(F.col("_links.domain")))
         .withColumn("anchor_list", F.col("_matches.text"))
         .withColumn("anchor_texts", F.left(
             F.array_join(ordered(F.col("_matches.text")), " | "), F.lit(500)))
@@ -125,23 +127,32 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
 def sitewide_sample(rows: DataFrame, seen: DataFrame, n: int = 3) -> DataFrame:
     """How many of a page's first internal URLs carry the target link too.
 
-    ``rows`` has ``url``, ``link_found`` and ``internal_urls``; ``seen`` has one row
-    per readable page with ``url`` and ``link_found``. Candidates are the first
-    3n internal URLs, of which the first n readable ones are sampled.
+    ``rows`` has ``url``, ``link_found`` and ``internal_urls``, one row per page;
+    ``seen`` has one row per readable page with ``url`` and either ``link_found`` or,
+    for rows with targets of their own, the ``linked_domains`` to compare with the
+    rows' ``target_domains``. Candidates are the first 3n internal URLs, of which the
+    first n readable ones are sampled.
     """
     from anchorlake.operators.keyed import lookup
 
+    own_targets = "linked_domains" in seen.columns
+    carried = ["target_domains"] if own_targets else []
+    keys = [k for k in ("url", "input_target") if k in rows.columns]
     wanted = rows.where(F.col("link_found"))
     candidates = wanted.select(
-        "url", F.posexplode(F.slice("internal_urls", 1, 3 * n)).alias("pos", "candidate"))
-    readable = seen.select(F.col("url").alias("candidate"), F.col("link_found").alias("hit"))
-    looked_up = lookup(candidates, readable, "candidate").where(F.col("hit").isNotNull())
+        *keys, *carried, F.posexplode(F.slice("internal_urls", 1, 3 * n)).alias("pos", "candidate"))
+    readable = seen.select(
+        F.col("url").alias("candidate"),
+        F.col("linked_domains" if own_targets else "link_found").alias("seen"))
+    hit = F.arrays_overlap("seen", "target_domains") if own_targets else F.col("seen")
+    looked_up = lookup(candidates, readable, "candidate").where(
+        F.col("seen").isNotNull()).withColumn("hit", hit)
     # at most 3n candidates per page, so this list stays small for every page
-    sampled = looked_up.groupBy("url").agg(F.slice(F.array_sort(F.collect_list(
+    sampled = looked_up.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(
         F.struct("pos", "hit"))), 1, n).alias("sample")).select(
-            "url", F.size("sample").alias("sitewide_sampled"),
+            *keys, F.size("sample").alias("sitewide_sampled"),
             F.size(F.filter("sample", lambda s: s["hit"])).alias("sitewide_hits"))
-    out = rows.join(sampled, "url", "left")
+    out = rows.join(sampled, keys, "left")
     hits = F.coalesce("sitewide_hits", F.lit(0))
     checked = F.coalesce("sitewide_sampled", F.lit(0))
     note = (

@@ -129,11 +129,10 @@ def master_upsert(master: DataFrame, sheet: DataFrame, as_of: Column) -> DataFra
 
 def upsert_counts(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows read, imported, updated and skipped by an import."""
-    read = cells.agg(F.count("*").alias("read"))
+    read = cells.agg(F.count("*")).scalar()
     done = merged.agg(F.count_if(F.col("change") == "imported").alias("imported"),
                       F.count_if(F.col("change") == "updated").alias("updated"))
-    # two one-row frames side by side
-    return read.join(F.broadcast(done)).withColumn(
+    return done.select(read.alias("read"), "imported", "updated").withColumn(
         "skipped", F.col("read") - F.col("imported") - F.col("updated"))
 
 

@@ -34,13 +34,24 @@ class Observations:
 
 
 def page_rows(
-    obs: Observations, cfg: AuditConfig, rules: list[Keyword] = DEFAULT_KEYWORDS
+    obs: Observations, cfg: AuditConfig, rules: list[Keyword] = DEFAULT_KEYWORDS,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of every stored page; HTML is parsed once and dropped."""
+    """Features of every stored page; HTML is parsed once and dropped.
+
+    ``wanted`` (url, input_target) names the sites that pages should link to; a page
+    wanted for several targets gives one row for each.
+    """
     source = obs.pages
     if "content_type" in source.columns:
         source = pages.readable_pages(source)
-    return pages.page_features(pages.parse_pages(source.select("url", "html")), cfg, rules)
+    parsed = pages.parse_pages(source.select("url", "html"))
+    if wanted is None:
+        parsed = parsed.withColumn("input_target", F.lit(""))
+    else:
+        parsed = parsed.join(wanted, "url", "left").withColumn(
+            "input_target", F.coalesce("input_target", F.lit("")))
+    return pages.page_features(parsed, cfg, rules)
 
 
 def status_rows(backlinks: DataFrame, obs: Observations) -> DataFrame:
@@ -65,11 +76,14 @@ def status_rows(backlinks: DataFrame, obs: Observations) -> DataFrame:
 def audit(
     backlinks: DataFrame, obs: Observations, cfg: AuditConfig, authority: DataFrame,
     rules: list[Keyword] = DEFAULT_KEYWORDS, as_of: Column | None = None, cluster: bool = True,
+    own_targets: bool = False,
 ) -> DataFrame:
     """Audit rows with verdicts for ``backlinks`` (url, target, anchor, notes).
 
     Metrics are joined only for rows that passed the gates, and rows are scored
-    again once their link network is known.
+    again once their link network is known. Links are checked against
+    ``cfg.target_site``; with ``own_targets`` each link's own target goes first, at the
+    price of one shuffle of the page texts.
     """
     rows = classify.with_domain_parts(backlinks.withColumnsRenamed(
         {"target": "input_target", "anchor": "input_anchor"}), "url")
@@ -78,23 +92,30 @@ def audit(
     rows = scan_urls(classify.with_trust_tier(rows, authority), rules)
     if obs.master is not None:
         rows = master.master_lookup(rows, obs.master, keys)
-    rows = fetchlog.with_root_probe(status_rows(rows, obs))
+    # slim so far and read several times below: written once
+    rows = cut_lineage(fetchlog.with_root_probe(status_rows(rows, obs)).withColumn(
+        "input_target", F.coalesce("input_target", F.lit("")) if own_targets else F.lit("")))
+    wanted = rows.select(F.col("final_url").alias("url"), "input_target").distinct() if own_targets else None
     # pages are parsed once; their features serve links, home pages and samples
-    features = cut_lineage(page_rows(obs, cfg, rules))
-    facts = first_per_key(
-        features.withColumnRenamed("url", "_final"), ["_final"], [F.col("word_count"), F.col("h1")])
-    rows = lookup(rows.withColumn("_final", F.col("final_url")), facts, "_final").drop("_final")
-    rows = rows.withColumn("page_parsed", F.coalesce("page_parsed", F.lit(False))).withColumn(
-        "target_checked", F.coalesce("target_checked", F.lit(bool(cfg.target_site))))
-    homes = features.where(U.is_homepage(F.col("url"))).withColumn(
+    features = cut_lineage(page_rows(obs, cfg, rules, wanted))
+    facts = first_per_key(features, ["url", "input_target"], [F.col("word_count"), F.col("h1")])
+    if cfg.sitewide_sample:
+        seen = first_per_key(features.select("url", "linked_domains", "word_count"), ["url"], [F.col("word_count")])
+        facts = links.sitewide_sample(facts, seen, cfg.sitewide_sample)
+    page_key = F.concat_ws("\u0001", F.col("final_url"), F.col("input_target"))
+    facts = facts.withColumnRenamed("url", "final_url").withColumn("_page", page_key).drop(
+        "final_url", "input_target", "linked_domains")
+    rows = rows.withColumn("_page", page_key)
+    rows = lookup(rows, facts, "_page", key_source=rows.select("_page")).drop("_page")
+    rows = rows.withColumns({
+        "page_parsed": F.coalesce("page_parsed", F.lit(False)),
+        "link_found": F.coalesce("link_found", F.lit(False)),
+        "target_checked": (F.col("input_target") != "") | F.lit(bool(cfg.target_site))})
+    homes = features.where(U.is_homepage(F.col("url"))).drop("input_target").withColumn(
         "status_verdict", F.lit("LIVE")).withColumn("status_code", F.lit(200))
     rows = pages.with_homepage(rows, homes, key_source=keys)
     if obs.robots is not None:
         rows = observations.robots_verdict(rows, obs.robots, "final_url")
-    if cfg.sitewide_sample:
-        seen = first_per_key(features.select("url", "link_found"), ["url"], [F.col("link_found")])
-        checked = rows.withColumn("link_found", F.coalesce("link_found", F.lit(False)))
-        rows = links.sitewide_sample(checked, seen, cfg.sitewide_sample)
     rows = with_gate(with_render_flags(rows, cfg), cfg)
     rows = _with_metrics(rows, obs, cfg, as_of)
     if obs.rdap is not None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from anchorlake.operators import master, metrics, report
 from anchorlake.plans.q_status import _split_select
 from anchorlake.plans.registry import query
+from anchorlake.session import spread
 from anchorlake.sources import readers, writers
 
 AS_OF = "2024-06-30 00:00:00"
@@ -141,7 +142,7 @@ _CLEAN_SHEET = f"""i AS ({_SHEET}), n AS (SELECT * FROM (SELECT lower(replace(re
 
 
 def _sheet(t):
-    cells = t.lineitem.selectExpr(*_split_select(_SHEET))
+    cells = spread(t.lineitem).selectExpr(*_split_select(_SHEET))
     return cells, master.clean_sheet(cells, "new.csv")
 
 
@@ -306,7 +307,7 @@ def payload_results(t):
       '", "subdomain": "", "domain_authority": ', l_orderkey % 100,
       CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE concat(', "spam_score": ', l_orderkey % 50) END,
       ', "external_pages_to_root_domain": ', CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_orderkey END, ', "external_pages": 7}')"""
-    payloads = t.lineitem.where("l_linenumber <= 2").selectExpr(
+    payloads = spread(t.lineitem).where("l_linenumber <= 2").selectExpr(
         "l_orderkey AS seq", f"concat('{{\"results\": [', {item}, ']}}') AS payload")
     return metrics.normalise_payload(payloads, "results").select("registered", "da", "spam_score", "backlinks")
 
@@ -320,7 +321,7 @@ def payload_tasks(t):
     item = """concat('{"target": "sub.t', l_suppkey, '.com", ', CASE CAST(l_linenumber % 3 AS INT)
       WHEN 0 THEN concat('"rank": ', l_orderkey % 1000) WHEN 1 THEN concat('"spam_score": ', l_orderkey % 100)
       ELSE concat('"backlinks": ', l_orderkey, ', "referring_domains": ', l_orderkey % 7) END, '}')"""
-    payloads = t.lineitem.selectExpr(
+    payloads = spread(t.lineitem).selectExpr(
         "CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'rank' WHEN 1 THEN 'spam' ELSE 'links' END AS kind",
         "l_orderkey AS seq", f"concat('{{\"tasks\": [{{\"result\": [{{\"items\": [', {item}, ']}}]}}]}}') AS payload")
     return metrics.normalise_payload(payloads, "tasks")
@@ -352,7 +353,7 @@ WITH r AS ({_RAW_LINKS}), n AS (SELECT replace(replace(replace(trim(url), '"', '
 SELECT concat('https://', u) AS url, target FROM n WHERE u <> ''
 QUALIFY row_number() OVER (PARTITION BY u ORDER BY file, line) = 1""")
 def input_dedup(t):
-    raw = t.lineitem.selectExpr(*_split_select(_RAW_LINKS))
+    raw = spread(t.lineitem).selectExpr(*_split_select(_RAW_LINKS))
     return readers.dedup_first(raw, ["file", "line"]).select("url", "target")
 
 
@@ -406,8 +407,6 @@ def recorded_vs_live(t):
     """Recorded labels against a live scan of every document."""
     from anchorlake.operators.textscan import scan_text
     from anchorlake.rules import keyword_rules
-    from anchorlake.session import spread
-
     rules = keyword_rules([("x", "worthless"), ("x", "eaux"), ("x", "inger")])
     live = scan_text(spread(t.documents.select("doc_id", "text")), rules, "text", 1, 1).select(
         "doc_id", F.when(F.col("content_spam"), "TOXIC").otherwise("GOOD").alias("verdict"))

@@ -47,7 +47,7 @@ def write_partitions(rows: DataFrame, path: str, by: str = "verdict") -> None:
 
 
 def write_disavow(rows: DataFrame, path: str) -> None:
-    """A disavow file in one sorted part: comments on link networks, then entries."""
+    """A disavow file in sorted parts: comments on link networks, then entries."""
     networks = disavow_comments(rows).select(
         F.concat(F.lit("#   "), "network_id", F.lit(": "), "network_signals").alias("value"),
         F.lit(0).alias("_part"))

@@ -49,7 +49,10 @@ class HostPacing(StatefulProcessor):
 def pacing_stream(responses: DataFrame, cfg: AuditConfig) -> DataFrame:
     """Recommended delay per host from a stream of (host, ts, seq, status, retry_after).
 
-    Needs the RocksDB state store (see ``session.RUNTIME_DEFAULTS``).
+    A host's responses of one micro-batch are ordered in one task, so limit the size of
+    a micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); a
+    backlog of any size belongs in ``operators.pacing.pacing_batch``. Needs the RocksDB
+    state store (see ``session.RUNTIME_DEFAULTS``).
     """
     return responses.select(
         "host", "ts", "seq", F.col("status").cast("double").alias("status"),

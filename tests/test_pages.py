@@ -132,3 +132,13 @@ def test_home_page_is_its_own_home(spark):
     homes = spark.createDataFrame([("http://a.com/", 70)], "url string, word_count int")
     got = {r.url: (r.home_checked, r.home_same_as_page, r.home_word_count) for r in pages.with_homepage(rows, homes).collect()}
     assert got == {"http://a.com/": (True, True, 7), "http://a.com/x": (True, False, 70), "http://b.com/x": (False, False, None)}
+
+
+def test_links_with_their_own_targets(spark):
+    body = page(f"<article>{WORDS} <a href='https://mine.com/'>M</a></article>")
+    stored = spark.createDataFrame([("https://a.net/p", body), ("https://b.net/p", body)], "url string, html string")
+    listed = spark.createDataFrame([("https://a.net/p", "mine.com", "", ""), ("https://b.net/p", "", "", "")],
+                                   "url string, target string, anchor string, notes string")
+    cfg = AuditConfig(target_site="theirs.com")
+    out = audit(listed, Observations(stored), cfg, classify.authority_dim(spark), cluster=False, own_targets=True)
+    assert {r.url: r.link_found for r in out.collect()} == {"https://a.net/p": True, "https://b.net/p": False}
