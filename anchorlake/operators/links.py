@@ -76,52 +76,43 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
             link["rel"].alias("rel"), link["ancestors"].alias("ancestors"),
             U.registered_domain(link["absolute"]).alias("domain"))
 
-    base = (
-        parsed.withColumn("_page", page_domain).withColumn("_self", self_url)
-        .withColumn("_targets", target_domains(target, cfg))
-        .withColumn("_links", F.filter(F.transform("links", enriched), lambda a: a["domain"] != "")))
-    base = (
-        base.withColumn("_internal", F.filter("_links", lambda a: a["domain"] == F.col("_page")))
-        .withColumn("_matches", F.filter(
-            "_links", lambda a: F.array_contains(F.col("_targets"), a["domain"])))
-        .withColumn("_places", F.transform("_matches", lambda a: placement(a["ancestors"])))
-        .withColumn("_rels", F.array_sort(F.array_distinct(F.flatten(F.col("_matches.rel"))))))
+    base = parsed.withColumns({
+        "_page": page_domain, "_self": self_url, "_targets": target_domains(target, cfg),
+        "_links": F.filter(F.transform("links", enriched), lambda a: a["domain"] != ""),
+    }).withColumns({
+        "_internal": F.filter("_links", lambda a: a["domain"] == F.col("_page")),
+        "_matches": F.filter("_links", lambda a: F.array_contains(F.col("_targets"), a["domain"])),
+    }).withColumns({
+        "_places": F.transform("_matches", lambda a: placement(a["ancestors"])),
+        "_rels": F.array_sort(F.array_distinct(F.flatten(F.col("_matches.rel")))),
+    })
     other_urls = F.filter(
         F.transform("_internal", lambda a: U.without_fragment(a["absolute"])),
         lambda u: u != F.col("_self"))
     external = F.size("_links") - F.size("_internal")
-    ordered = F.array_distinct
-    out = (
-        base
-        .withColumn("internal_links", F.size("_internal"))
-        .withColumn("outbound_links", external)
-        .withColumn("total_links", F.size("_links"))
-        .withColumn("outbound_ratio", F.bround(
-            external / F.greatest(F.lit(1), F.size("_links")), 3))
-        .withColumn("internal_urls", ordered(F.slice(other_urls, 1, INTERNAL_URLS)))
-        .withColumn("link_count", F.size("_matches"))
-        .withColumn("link_found", F.size("_matches") > 0)
-        .withColumn("target_checked", target != "")
-        .withColumn("target_domains", F.col("_targets"))
-        .withColumn("linked_domains", F.array_distinct(F.col("_links.domain")))
-        .withColumn("anchor_list", F.col("_matches.text"))
-        .withColumn("anchor_texts", F.left(
-            F.array_join(ordered(F.col("_matches.text")), " | "), F.lit(500)))
-        .withColumn("link_target_urls", F.left(
-            F.array_join(ordered(F.col("_matches.absolute")), " | "), F.lit(600)))
-        .withColumn("link_rel", F.array_join("_rels", ", ")))
-    for flag in ("nofollow", "sponsored", "ugc"):
-        out = out.withColumn(f"is_{flag}", F.array_contains("_rels", flag))
-    return (
-        out
-        .withColumn("is_followed", F.col("link_found")
-                    & ~(F.col("is_nofollow") | F.col("is_sponsored") | F.col("is_ugc")))
-        .withColumn("link_placement", F.when(F.array_contains("_places", "in-content"), "in-content")
-                    .otherwise(F.coalesce(F.get("_places", F.lit(0)), F.lit(""))))
-        .withColumn("link_is_sitewide", F.col("link_placement") == "boilerplate")
-        .withColumn("link_in_hidden_block",
-                    F.exists("_matches", lambda a: in_hidden_block(a["ancestors"])))
-        .drop("_page", "_self", "_targets", "_links", "_internal", "_matches", "_places", "_rels"))
+    flags = {f"is_{flag}": F.array_contains("_rels", flag) for flag in ("nofollow", "sponsored", "ugc")}
+    out = base.withColumns({
+        "internal_links": F.size("_internal"), "outbound_links": external, "total_links": F.size("_links"),
+        "outbound_ratio": F.bround(external / F.greatest(F.lit(1), F.size("_links")), 3),
+        "internal_urls": F.array_distinct(F.slice(other_urls, 1, INTERNAL_URLS)),
+        "link_count": F.size("_matches"), "link_found": F.size("_matches") > 0,
+        "target_checked": target != "", "target_domains": F.col("_targets"),
+        "linked_domains": F.array_distinct(F.col("_links.domain")),
+        "anchor_list": F.col("_matches.text"),
+        "anchor_texts": F.left(
+            F.array_join(F.array_distinct(F.col("_matches.text")), " | "), F.lit(500)),
+        "link_target_urls": F.left(
+            F.array_join(F.array_distinct(F.col("_matches.absolute")), " | "), F.lit(600)),
+        "link_rel": F.array_join("_rels", ", "), **flags,
+        "link_placement": F.when(F.array_contains("_places", "in-content"), "in-content")
+        .otherwise(F.coalesce(F.get("_places", F.lit(0)), F.lit(""))),
+        "link_in_hidden_block": F.exists("_matches", lambda a: in_hidden_block(a["ancestors"])),
+    })
+    tagged = F.col("is_nofollow") | F.col("is_sponsored") | F.col("is_ugc")
+    return out.withColumns({
+        "is_followed": F.col("link_found") & ~tagged,
+        "link_is_sitewide": F.col("link_placement") == "boilerplate",
+    }).drop("_page", "_self", "_targets", "_links", "_internal", "_matches", "_places", "_rels")
 
 
 def sitewide_sample(rows: DataFrame, seen: DataFrame, n: int = 3) -> DataFrame:

@@ -206,11 +206,11 @@ def hidden_text(html: Column) -> Column:
 def with_indexability(df: DataFrame) -> DataFrame:
     """noindex / nofollow from meta robots, and a canonical pointing elsewhere."""
     robots = F.coalesce(F.col("meta_robots"), F.lit(""))
-    return (
-        df.withColumn("is_noindex", robots.contains("noindex") | robots.contains("none"))
-        .withColumn("is_nofollow_page", robots.contains("nofollow") | robots.contains("none"))
-        .withColumn("canonical_mismatch", (F.col("canonical") != "")
-                    & ~U.same_page(F.col("canonical"), F.col("url"))))
+    return df.withColumns({
+        "is_noindex": robots.contains("noindex") | robots.contains("none"),
+        "is_nofollow_page": robots.contains("nofollow") | robots.contains("none"),
+        "canonical_mismatch": (F.col("canonical") != "")
+        & ~U.same_page(F.col("canonical"), F.col("url"))})
 
 
 def page_features(
@@ -225,12 +225,10 @@ def page_features(
     from anchorlake.operators.relevance import with_relevance
     from anchorlake.operators.textscan import scan_markers, scan_text
 
-    out = with_indexability(parsed)
-    out = with_link_features(out, cfg)
-    out = (
-        out.withColumn("page_title", F.col("title")).withColumn("meta_description", F.col("description"))
-        .withColumn("word_count", X.word_count(F.col("text")))
-        .withColumn("lang_mismatch", X.language_mismatch(F.col("lang"), list(cfg.expected_languages))))
+    out = with_link_features(with_indexability(parsed), cfg).withColumns({
+        "page_title": F.col("title"), "meta_description": F.col("description"),
+        "word_count": X.word_count(F.col("text")),
+        "lang_mismatch": X.language_mismatch(F.col("lang"), list(cfg.expected_languages))})
     out = scan_text(out, rules, "text", cfg.content_total_hits, cfg.content_category_hits)
     out = scan_markers(out, "text")
     out = with_relevance(
@@ -274,9 +272,8 @@ def with_homepage(
     own = rows.withColumn("origin", U.origin_of(page)).withColumn(
         "home_same_as_page", U.is_homepage(page))
     joined = lookup(own, per_origin, "origin", key_source=key_source)
-    for home, source in available.items():
-        if source in rows.columns:
-            joined = joined.withColumn(
-                home, F.when(F.col("home_same_as_page"), F.col(source)).otherwise(F.col(home)))
+    joined = joined.withColumns({
+        home: F.when(F.col("home_same_as_page"), F.col(source)).otherwise(F.col(home))
+        for home, source in available.items() if source in rows.columns})
     return joined.withColumn(
         "home_checked", F.col("home_same_as_page") | F.col("home_url").isNotNull())

@@ -25,9 +25,7 @@ def with_relevance(
         return (df.withColumn("relevance_score", F.lit(0))
                 .withColumn("relevance_matched", F.lit(""))
                 .withColumn("relevance_missing", F.lit("")))
-    streams = df
-    for name, column in fields.items():
-        streams = streams.withColumn(f"_t_{name}", token_stream(F.col(column)))
+    streams = df.withColumns({f"_t_{name}": token_stream(F.col(c)) for name, c in fields.items()})
     # heaviest field first; among equal weights the declared order decides
     order = sorted((f for f in RELEVANCE_WEIGHTS if f in fields),
                    key=lambda f: -RELEVANCE_WEIGHTS[f])

@@ -78,24 +78,20 @@ def scan_text(
         F.when(F.get("_n", F.lit(i)) > 0, F.lit(r.word))
         for i, r in enumerate(rules) if r.unambiguous])) if any(
             r.unambiguous for r in rules) else F.array().cast("array<string>")
-    ranks = counted.withColumn("_cats", ranked(per_category)).withColumn("_words", ranked(words))
+    ranks = counted.withColumns({
+        "_cats": ranked(per_category), "_words": ranked(words),
+        "content_spam_total": F.coalesce(total(F.col("_n")), F.lit(0)),
+        "content_spam_unambiguous": F.coalesce(F.when(
+            F.col("_n").isNotNull(), F.array_join(F.array_sort(hard), ", ")), F.lit(""))})
     top = F.transform(F.slice("_words", 1, 6),
                       lambda w: F.concat(w["name"], F.lit(" x"), (-w["less"]).cast("string")))
-    return (
-        ranks
-        .withColumn("content_spam_total", F.coalesce(total(F.col("_n")), F.lit(0)))
-        .withColumn("_max", F.coalesce(-F.get("_cats.less", F.lit(0)), F.lit(0)))
-        .withColumn("_hard", F.when(F.col("_n").isNotNull(), F.array_sort(hard)))
-        .withColumn("content_spam_unambiguous",
-                    F.coalesce(F.array_join("_hard", ", "), F.lit("")))
-        .withColumn("content_spam",
-                    (F.col("content_spam_unambiguous") != "")
-                    | (F.col("content_spam_total") >= total_hits)
-                    | (F.col("_max") >= category_hits))
-        .withColumn("content_spam_categories",
-                    F.coalesce(F.array_join("_cats.name", ", "), F.lit("")))
-        .withColumn("content_spam_keywords", F.coalesce(F.array_join(top, ", "), F.lit("")))
-        .drop("_low", "_n", "_cats", "_words", "_max", "_hard"))
+    most = F.coalesce(-F.get("_cats.less", F.lit(0)), F.lit(0))
+    return ranks.withColumns({
+        "content_spam": (F.col("content_spam_unambiguous") != "")
+        | (F.col("content_spam_total") >= total_hits) | (most >= category_hits),
+        "content_spam_categories": F.coalesce(F.array_join("_cats.name", ", "), F.lit("")),
+        "content_spam_keywords": F.coalesce(F.array_join(top, ", "), F.lit("")),
+    }).drop("_low", "_n", "_cats", "_words")
 
 
 def keyword_hits(df: DataFrame, rules: list[Keyword], text_col: str = "text") -> DataFrame:
@@ -146,10 +142,8 @@ def scan_markers(
             _first_markers([F.when(text.rlike(keyword_pattern(m)), F.lit(m)) for m in markers])
         ).otherwise("")
 
-    return (
-        scanned
-        .withColumn("parked_markers", F.when(contains_any(text, parked), _first_markers(
-            [F.when(text.contains(m), F.lit(m)) for m in parked])).otherwise(""))
-        .withColumn("paid_link_markers", matching(paid))
-        .withColumn("link_directory_markers", matching(directory))
-        .drop("_low"))
+    return scanned.withColumns({
+        "parked_markers": F.when(contains_any(text, parked), _first_markers(
+            [F.when(text.contains(m), F.lit(m)) for m in parked])).otherwise(""),
+        "paid_link_markers": matching(paid), "link_directory_markers": matching(directory),
+    }).drop("_low")
