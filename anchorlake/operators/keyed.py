@@ -81,11 +81,15 @@ class Ordered:
     ``order`` must be a total order (end it with a unique column), so that equal
     values never force a range to grow. The ranges are written to the checkpoint
     folder once; every later step sees exactly the same cut, also after lost
-    executors.
+    executors. Finding the cuts reads the input once more, so an input that is
+    ``costly`` to compute is written first as well.
     """
 
-    def __init__(self, df: DataFrame, order: list[Column], parts: int | None = None):
+    def __init__(
+        self, df: DataFrame, order: list[Column], parts: int | None = None, costly: bool = False
+    ):
         spark = df.sparkSession
+        df = cut_lineage(df) if costly else df
         self.order = order
         self.columns = df.columns
         parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")),

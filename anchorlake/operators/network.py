@@ -122,7 +122,8 @@ def link_clusters(domains: DataFrame) -> DataFrame:
     clusters = distinct.select(
         F.col("n").cast("long").alias("size"), "c.labels", "c.signals", "c.first_member")
     numbered = Ordered(
-        clusters, [F.desc("size"), F.col("first_member"), F.col("signals")]).numbered("rank")
+        clusters, [F.desc("size"), F.col("first_member"), F.col("signals")],
+        costly=True).numbered("rank")
     return numbered.withColumn("cluster_id", F.concat(F.lit("NET-"), F.col("rank").cast("string")))
 
 

@@ -181,7 +181,7 @@ def outreach(rows: DataFrame) -> DataFrame:
     listed = rows.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(
         "registered", "url", r.number("da").alias("da"), "problem", ask.alias("ask"))
     order = [F.desc(F.coalesce("da", F.lit(0.0))), F.col("url")]
-    return Ordered(listed, order).numbered("priority")
+    return Ordered(listed, order, costly=True).numbered("priority")
 
 
 def disavow_entries(rows: DataFrame) -> DataFrame:

@@ -231,8 +231,8 @@ SELECT url, need AND have AS rendered, status_verdict, CASE WHEN used AND blocke
   link_found, {STAGE} AS gate_stage FROM m""")
 def render_merge(t):
     rows = gate.with_render_flags(_distinct(t), CFG)
-    seen = rows.where("seq % 3 <> 0").select(
-        F.col("final_url").alias("url"), F.expr("seq % 2 = 0").alias("link_found"),
+    seen = rows.select(
+        F.expr("CASE WHEN seq % 3 = 0 THEN concat('unrendered:', final_url) ELSE final_url END").alias("url"), F.expr("seq % 2 = 0").alias("link_found"),
         F.expr("seq % 7 = 0").alias("is_noindex"))
     out = gate.merge_rendered(rows, seen, CFG)
     return out.select("url", "rendered", "status_verdict", "original_status_verdict", "link_found", "gate_stage")

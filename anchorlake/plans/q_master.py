@@ -17,8 +17,10 @@ def now():
 
 # customers as the master list; some hosts are subdomains, so a domain can be listed twice
 _MASTER = f"""SELECT CASE WHEN c_custkey % 4 = 1 THEN concat('blog.m', CAST(c_custkey - 1 AS STRING), '.com')
+    WHEN c_custkey % 6 = 2 THEN concat('unlinked', CAST(c_custkey AS STRING), '.com')
     ELSE concat('m', CAST(c_custkey AS STRING), '.com') END AS host,
   CASE WHEN c_custkey % 4 = 1 THEN concat('m', CAST(c_custkey - 1 AS STRING), '.com')
+    WHEN c_custkey % 6 = 2 THEN concat('unlinked', CAST(c_custkey AS STRING), '.com')
     ELSE concat('m', CAST(c_custkey AS STRING), '.com') END AS registered,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 100 AS DOUBLE) END AS da,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 90 AS DOUBLE) END AS spam_score,
@@ -26,11 +28,11 @@ _MASTER = f"""SELECT CASE WHEN c_custkey % 4 = 1 THEN concat('blog.m', CAST(c_cu
   'sheet' AS source, c_mktsegment AS notes,
   CAST('2020-01-01 00:00:00' AS TIMESTAMP) AS first_seen,
   CASE WHEN c_custkey % 3 = 0 THEN CAST('2020-05-01 00:00:00' AS TIMESTAMP) ELSE CAST('2024-06-15 00:00:00' AS TIMESTAMP) END AS last_seen
-  FROM customer WHERE c_custkey % 6 <> 2"""
+  FROM customer"""
 
 
 def _master(t):
-    return t.customer.where("c_custkey % 6 <> 2").selectExpr(*_split_select(_MASTER.replace(" WHERE c_custkey % 6 <> 2", "")))
+    return t.customer.selectExpr(*_split_select(_MASTER))
 
 
 _LINKS = """SELECT o_orderkey, concat('https://', CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'www.' ELSE 'blog.' END,
@@ -81,8 +83,8 @@ _CACHE = """SELECT concat('m', CAST(s_suppkey * 7 AS STRING), '.com') AS registe
   CAST(s_nationkey AS DOUBLE) AS pa, 'cache' AS source,
   CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN CAST('2024-06-20 00:00:00' AS TIMESTAMP)
     ELSE CAST('2024-05-01 00:00:00' AS TIMESTAMP) END AS fetched_at FROM supplier"""
-_BOUGHT = """SELECT concat('m', CAST(p_partkey * 3 AS STRING), '.com') AS registered, CAST(p_size AS DOUBLE) AS da,
-  CAST(p_partkey AS DOUBLE) AS backlinks, 'import:x.csv' AS source FROM part WHERE p_partkey % 5 < 4"""
+_BOUGHT = """SELECT concat(CASE WHEN p_partkey % 5 = 4 THEN 'unlinked' ELSE 'm' END, CAST(p_partkey * 3 AS STRING), '.com') AS registered, CAST(p_size AS DOUBLE) AS da,
+  CAST(p_partkey AS DOUBLE) AS backlinks, 'import:x.csv' AS source FROM part"""
 _FRESH = f"""m AS ({_MASTER}), l AS ({_LINKS}), f AS (SELECT registered, da, spam_score FROM m
   WHERE (da IS NOT NULL OR spam_score IS NOT NULL) AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
   QUALIFY row_number() OVER (PARTITION BY registered ORDER BY length(host), host) = 1),
@@ -99,11 +101,11 @@ _FRESH = f"""m AS ({_MASTER}), l AS ({_LINKS}), f AS (SELECT registered, da, spa
 
 
 def _resolved(t):
-    links, picks = _links(t), _split_select(_BOUGHT.replace(" WHERE p_partkey % 5 < 4", ""))
+    links = _links(t)
     cache = master.fresh_cached_metrics(t.supplier.selectExpr(*_split_select(_CACHE)), 30, now())
     return metrics.resolve_metrics(links, [
         master.fresh_metrics(links, _master(t), now(), 30), cache,
-        t.part.where("p_partkey % 5 < 4").selectExpr(*picks)])
+        t.part.selectExpr(*_split_select(_BOUGHT))])
 
 
 @query("metric_precedence", f"WITH {_FRESH} SELECT * FROM x")
@@ -173,11 +175,11 @@ def upsert_counts(t):
     return master.upsert_counts(cells, master.master_upsert(_master(t), sheet, now()))
 
 
-_FOUND = """SELECT concat('m', CAST(o_custkey AS STRING), '.com') AS host, concat('m', CAST(o_custkey AS STRING), '.com') AS registered,
+_FOUND = """SELECT concat(CASE WHEN o_custkey % 9 < 4 THEN 'm' ELSE 'new' END, CAST(o_custkey AS STRING), '.com') AS host,
+  concat(CASE WHEN o_custkey % 9 < 4 THEN 'm' ELSE 'new' END, CAST(o_custkey AS STRING), '.com') AS registered,
   CASE o_orderstatus WHEN 'F' THEN 'TOXIC' WHEN 'O' THEN 'GOOD' ELSE 'DEAD' END AS verdict,
   CAST(o_orderkey % 70 AS DOUBLE) AS da, CAST(NULL AS DOUBLE) AS spam_score, concat('issue ', CAST(o_orderkey AS STRING)) AS issues,
-  concat('https://m', CAST(o_custkey AS STRING), '.com/', CAST(o_orderkey AS STRING)) AS url, o_orderkey FROM orders
-  WHERE o_custkey % 9 < 4"""
+  concat('https://m', CAST(o_custkey AS STRING), '.com/', CAST(o_orderkey AS STRING)) AS url, o_orderkey FROM orders"""
 
 
 @query("learn_toxic", f"""
@@ -189,7 +191,7 @@ SELECT coalesce(m.host, t.host) AS host, CASE WHEN m.host IS NOT NULL THEN m.da
   CASE WHEN m.host IS NULL THEN 'added' WHEN t.host IS NOT NULL AND trim(coalesce(m.status, '')) = '' THEN 'filled' ELSE 'kept' END AS change
 FROM m FULL JOIN t ON t.host = m.host""")
 def learn_toxic(t):
-    rows = t.orders.where("o_custkey % 9 < 4").selectExpr(*_split_select(_FOUND.split("\n  WHERE")[0]))
+    rows = t.orders.selectExpr(*_split_select(_FOUND))
     return master.learn_toxic(_master(t), rows, now(), order=F.col("o_orderkey")).select(
         "host", "da", "status", "source", "notes", "change")
 
@@ -208,8 +210,8 @@ _HISTORY = """SELECT concat('r', CAST(month(ts) * 100 + day(ts) AS STRING)) AS r
   CASE WHEN user_id % 3 = 0 THEN 'hot.com' ELSE concat('h', CAST(user_id % 40 AS STRING), '.com') END AS registered,
   CASE event_type WHEN 'view' THEN 'GOOD' WHEN 'click' THEN 'REVIEW' WHEN 'signup' THEN 'TOXIC' WHEN 'purchase' THEN 'DEAD'
     ELSE 'LINK_LOST' END AS verdict, CAST(event_id % 100 AS DOUBLE) AS score, event_id % 2 = 0 AS link_found FROM events"""
-_RUNS = """SELECT DISTINCT concat('r', CAST(month(ts) * 100 + day(ts) AS STRING)) AS run_id,
-  CAST(month(ts) * 100 + day(ts) AS INT) AS started_at FROM events WHERE day(ts) <> 13"""
+_RUN_ID = "concat(CASE WHEN day(ts) = 13 THEN 'lost' ELSE 'r' END, CAST(month(ts) * 100 + day(ts) AS STRING))"
+_RUNS = f"""SELECT DISTINCT {_RUN_ID} AS run_id, CAST(month(ts) * 100 + day(ts) AS INT) AS started_at FROM events"""
 
 
 def _history(t):
@@ -228,9 +230,8 @@ WITH h AS (SELECT * FROM ({_HISTORY}) QUALIFY row_number() OVER (PARTITION BY ru
     lag(verdict) OVER (PARTITION BY registered ORDER BY started_at, run_id, url) AS prev_verdict FROM h JOIN r USING (run_id))
 SELECT *, prev_verdict IS NOT NULL AND prev_verdict <> verdict AS changed FROM p""")
 def domain_history(t):
-    runs = t.events.where("day(ts) <> 13").selectExpr(
-        "concat('r', CAST(month(ts) * 100 + day(ts) AS STRING)) AS run_id",
-        "CAST(month(ts) * 100 + day(ts) AS INT) AS started_at").distinct()
+    runs = t.events.selectExpr(
+        f"{_RUN_ID} AS run_id", "CAST(month(ts) * 100 + day(ts) AS INT) AS started_at").distinct()
     return master.domain_history(_history(t), runs).select(
         "run_id", "url", "registered", "started_at", "verdict", "prev_verdict", "changed")
 
@@ -295,19 +296,18 @@ def metric_merge(t):
 
 # ------------------------------------------------------- provider payloads ---
 @query("payload_results", """
-WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_linenumber <= 2),
-  x AS (SELECT concat(CASE l_linenumber WHEN 1 THEN 'p' ELSE 'q' END, l_suppkey, '.com') AS registered, max(l_orderkey) AS last
-    FROM r GROUP BY 1)
+WITH x AS (SELECT concat(CASE l_linenumber % 2 WHEN 1 THEN 'p' ELSE 'q' END, l_suppkey, '.com') AS registered, max(l_orderkey) AS last
+    FROM lineitem GROUP BY 1)
 SELECT x.registered, CAST(last % 100 AS DOUBLE) AS da, CASE WHEN last % 3 = 0 THEN NULL ELSE CAST(last % 50 AS DOUBLE) END AS spam_score,
   CASE WHEN last % 2 = 0 THEN 7.0 ELSE CAST(last AS DOUBLE) END AS backlinks FROM x""")
 def payload_results(t):
-    """Line items as result lists: one payload per order with one or two entries."""
-    item = """concat('{"', CASE WHEN l_linenumber = 1 THEN 'page' ELSE 'root_domain' END, '": "',
-      CASE WHEN l_linenumber = 1 THEN 'http://www.p' ELSE 'q' END, l_suppkey, '.com', CASE WHEN l_linenumber = 1 THEN '/x' ELSE '' END,
+    """Line items as result lists of one entry; odd ones name a page, even ones a root domain."""
+    item = """concat('{"', CASE WHEN l_linenumber % 2 = 1 THEN 'page' ELSE 'root_domain' END, '": "',
+      CASE WHEN l_linenumber % 2 = 1 THEN 'http://www.p' ELSE 'q' END, l_suppkey, '.com', CASE WHEN l_linenumber % 2 = 1 THEN '/x' ELSE '' END,
       '", "subdomain": "", "domain_authority": ', l_orderkey % 100,
       CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE concat(', "spam_score": ', l_orderkey % 50) END,
       ', "external_pages_to_root_domain": ', CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_orderkey END, ', "external_pages": 7}')"""
-    payloads = spread(t.lineitem).where("l_linenumber <= 2").selectExpr(
+    payloads = spread(t.lineitem).selectExpr(
         "l_orderkey AS seq", f"concat('{{\"results\": [', {item}, ']}}') AS payload")
     return metrics.normalise_payload(payloads, "results").select("registered", "da", "spam_score", "backlinks")
 

@@ -148,7 +148,7 @@ def lang_mismatch(t):
 
 
 _OLDEST = f"""SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, min(page_id) AS home_id
-  FROM pages WHERE page_id % 3 <> 1 GROUP BY 1"""
+  FROM pages GROUP BY 1 HAVING length(origin) % 4 <> 0"""
 _WORDS = f"len(list_filter(string_split_regex({_unescaped(_CLEAN)}, '\\s+'), lambda x: x <> ''))"
 
 
@@ -159,11 +159,11 @@ SELECT p.page_id, h.origin IS NOT NULL AS home_checked, h.origin || '/' AS home_
 FROM pages p LEFT JOIN h ON h.origin = regexp_extract(p.url, '^(https?://[^/?#]+)', 1)
 LEFT JOIN f ON f.page_id = h.home_id""")
 def homepage_join(t):
-    """Each site's oldest page of two thirds plays its home page."""
+    """Each site's oldest page plays its home page; some are filed under another site's name."""
     origin = U.origin_of(F.col("url"))
     homes = first_per_key(
-        spread(t.pages).where("page_id % 3 <> 1").select(origin.alias("origin"), "page_id", "html"),
-        ["origin"], [F.col("page_id")]).select(F.concat("origin", F.lit("/")).alias("url"), "html")
+        spread(t.pages).select(origin.alias("origin"), "page_id", "html"), ["origin"], [F.col("page_id")]).selectExpr(
+            "concat(origin, CASE WHEN length(origin) % 4 = 0 THEN '.elsewhere.net/' ELSE '/' END) AS url", "html")
     features = pages.parse_pages(homes).select(
         "url", F.col("title").alias("page_title"), X.word_count(F.col("text")).cast("long").alias("word_count"))
     out = pages.with_homepage(t.pages.select("page_id", "url"), features)
@@ -185,8 +185,9 @@ def sitewide(t):
     """Link targets play the fetched pages; a URL's length says what was seen there."""
     found = links.with_link_features(pages.parse_pages(spread(t.pages)), CFG).select(
         "page_id", "url", "internal_urls", F.lit(True).alias("link_found"))
-    seen = found.select(F.explode("internal_urls").alias("url")).distinct().where(
-        F.length("url") % 4 != 0).withColumn("link_found", F.length("url") % 3 == 0)
+    seen = found.select(F.explode("internal_urls").alias("u")).distinct().select(
+        F.when(F.length("u") % 4 == 0, F.concat(F.lit("unread:"), "u")).otherwise(F.col("u")).alias("url"),
+        (F.length("u") % 3 == 0).alias("link_found"))
     return links.sitewide_sample(found, seen, 3).select(
         "page_id", F.col("sitewide_sampled").cast("long").alias("sitewide_sampled"),
         F.col("sitewide_hits").cast("long").alias("sitewide_hits"), "sitewide_ratio", "sitewide_checked")

@@ -19,8 +19,9 @@ _STATUS = """CASE WHEN event_type = 'error' OR user_id % 9 = 0 THEN NULL
 _ERROR = """CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'timeout' WHEN 1 THEN 'SSL certificate error'
   WHEN 2 THEN 'DNS: domain does not resolve' ELSE 'connection refused' END"""
 _LOG = f"SELECT event_id AS seq, {_URL} AS url, {_LABEL} AS label, {_STATUS} AS status, {_ERROR} AS error FROM events"
-_DNS = """SELECT DISTINCT concat('h', CAST(user_id AS STRING), '.example.com') AS host, user_id % 3 <> 0 AS resolved,
-  concat('10.0.', CAST(user_id % 256 AS STRING), '.1') AS ip FROM events WHERE user_id % 5 <> 4"""
+_DNS_HOST = "concat(CASE WHEN user_id % 5 = 4 THEN 'unasked' ELSE 'h' END, CAST(user_id AS STRING), '.example.com')"
+_DNS = f"""SELECT DISTINCT {_DNS_HOST} AS host, user_id % 3 <> 0 AS resolved,
+  concat('10.0.', CAST(user_id % 256 AS STRING), '.1') AS ip FROM events"""
 
 
 def _attempts(t):
@@ -29,8 +30,8 @@ def _attempts(t):
 
 
 def _dns(t):
-    return t.events.where("user_id % 5 <> 4").selectExpr(
-        "concat('h', CAST(user_id AS STRING), '.example.com') AS host", "user_id % 3 <> 0 AS resolved",
+    return t.events.selectExpr(
+        f"{_DNS_HOST} AS host", "user_id % 3 <> 0 AS resolved",
         "CASE WHEN user_id % 3 <> 0 THEN array(concat('10.0.', CAST(user_id % 256 AS STRING), '.1'), '::1') "
         "ELSE CAST(array() AS array<string>) END AS ips").distinct()
 
@@ -223,8 +224,8 @@ SELECT page_id, v <> 'LIVE' AND snap AS archive_available,
 def archive_recovery(t):
     rows = t.pages.selectExpr("page_id", "url", """CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE'
       WHEN 2 THEN 'DNS_ERROR' ELSE 'LIVE' END AS status_verdict""")
-    snap = t.pages.where("page_id % 5 <> 0").selectExpr(
-        "url", "concat('https://archive.example/', CAST(page_id AS STRING)) AS snapshot_url", "page_id % 3 = 0 AS link_found",
+    snap = t.pages.selectExpr(
+        "CASE WHEN page_id % 5 = 0 THEN concat('unlinked:', url) ELSE url END AS url", "concat('https://archive.example/', CAST(page_id AS STRING)) AS snapshot_url", "page_id % 3 = 0 AS link_found",
         "CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) ELSE '' END AS anchor_texts",
         "explode(array('20220115000000', concat('20230', CAST(1 + page_id % 9 AS STRING), '15120000'))) AS ts")
     newest = first_per_key(snap, ["url"], [-F.col("ts").cast("long")])
