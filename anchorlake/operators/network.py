@@ -71,6 +71,13 @@ def signal_groups(signals: DataFrame, min_size: int = 3) -> DataFrame:
     return groups.where(F.col("size") >= min_size).withColumn("counts", counts)
 
 
+def group_members(signals: DataFrame, groups: DataFrame) -> DataFrame:
+    """Domains of every reported group, one row each."""
+    known = groups.select("label", F.col("size"), F.col("counts"))
+    return lookup(signals.select("label", "registered"), known, "label",
+                  key_source=signals.select("label")).where(F.col("size").isNotNull())
+
+
 def domain_groups(signals: DataFrame, groups: DataFrame) -> DataFrame:
     """Each domain's sorted list of counting groups (at most five)."""
     counting = groups.where("counts").select("label", F.lit(True).alias("_counts"))

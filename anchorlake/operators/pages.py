@@ -29,7 +29,7 @@ PARSED = ("title string, description string, h1 string, generator string, lang s
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>",
     re.S)
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -58,6 +58,7 @@ def walk_page(html: str, url: str) -> dict:
     heading: list[str] | None = None
     hidden = 0
     at, size = 0, len(html)
+    stop_at = html.rfind(">") + 1  # no markup ends after this; searching on would be quadratic
 
     def seen(raw: str) -> None:
         if hidden or not raw.strip():
@@ -88,13 +89,14 @@ def walk_page(html: str, url: str) -> dict:
                 return
 
     while at < size:
-        mark = _MARKUP.search(html, at)
+        mark = _MARKUP.search(html, at, stop_at) if at < stop_at else None
         if mark is None:
-            seen(html[at:])
+            seen(html[at:].split("<!--", 1)[0])
             break
         seen(html[at:mark.start()])
         at = mark.end()
         if mark["name"] is None:
+            at = size if mark[0].startswith("<!--") and not mark[0].endswith("-->") else at
             continue
         name = mark["name"].lower()
         if mark["end"]:

@@ -507,6 +507,13 @@ def signal_groups(t):
     return network.signal_groups(signals, 3).select("label", "kind", "size", "any_shared", "counts")
 
 
+@query("signal_members", f"""WITH {_FOOTPRINT}
+SELECT sig.label, registered, size, ok.label IS NOT NULL AS counts FROM sig JOIN grp USING (label) LEFT JOIN ok ON ok.label = sig.label""")
+def signal_members(t):
+    signals = network.footprint_signals(_sites(t), [F.col("seq")])
+    return network.group_members(signals, network.signal_groups(signals, 3))
+
+
 @query("shared_ips", f"""WITH {_FOOTPRINT}
 SELECT DISTINCT ip FROM f WHERE ip <> '' AND shared""")
 def shared_ips(t):
