@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,27 +70,34 @@ def local_session(cores: int | str = "*", name: str = "anchorlake") -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, or a local one in tests.
+    """The folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    On a cluster the folder must be reachable from every executor, so a missing
-    setting is an error there rather than a reason to use a machine's own disk.
+    On a cluster the folder must be reachable from every executor, so a missing setting
+    is an error there. A single-process session without the setting gets a folder of its
+    own, which goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     named = tempfile.mkdtemp(prefix="anchorlake-")
+    atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
+    """Write ``df`` as Parquet to the shared folder and continue from the files.
+
+    Later steps read only the columns they need, with filters and statistics, and lost
+    executors cost nothing that was computed before.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    folder = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:
