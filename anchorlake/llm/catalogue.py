@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from anchorlake.llm import prefix_counts, quality_rules  # noqa: F401
+from anchorlake.llm import prefix_counts, quality_rules, source_mix  # noqa: F401
 from anchorlake.llm.registry import ORACLES, QUERIES  # noqa: F401
