@@ -130,9 +130,9 @@ t AS (
   SELECT page_id, url AS target_uri, body, strlen(body) AS size,
     'sha256:' || sha256(body) AS source_digest,
     md5(concat_ws(chr(31), 'response', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), body)) AS r,
-    replace(replace(replace(replace(replace(replace(
+    replace(replace(replace(replace(replace(replace(replace(replace(replace(
       regexp_replace(regexp_replace(regexp_replace(body, '{DROP}', ' ', 'g'), '{LINE}', chr(10), 'g'), '{TAG}', '', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS bare FROM p),
+      '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&') AS bare FROM p),
 x AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(bare, '[ \\t\\r\\f\\x0B]+', ' ', 'g'),
       ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS text,
