@@ -1,4 +1,14 @@
 """Importing this module registers every query of the package."""
 
-from anchorlake.llm import language_id, near_duplicates, preference_pairs, prefix_counts, quality_rules, source_mix, warc_derivatives  # noqa: F401
+from anchorlake.llm import (  # noqa: F401
+    language_id,
+    near_duplicates,
+    packing,
+    preference_pairs,
+    prefix_counts,
+    quality_rules,
+    quality_score,
+    source_mix,
+    warc_derivatives,
+)
 from anchorlake.llm.registry import ORACLES, QUERIES  # noqa: F401
