@@ -1,6 +1,8 @@
 """Importing this module registers every query of the package."""
 
+import corpus_pipeline
 from anchorlake.llm import (  # noqa: F401
+    decontamination,
     language_id,
     near_duplicates,
     packing,
@@ -12,3 +14,7 @@ from anchorlake.llm import (  # noqa: F401
     warc_derivatives,
 )
 from anchorlake.llm.registry import ORACLES, QUERIES  # noqa: F401
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -264,6 +264,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         (alone | (F.col("_kept") & F.col("doc_id").eqNullSafe(F.col("_first")))).alias("keep"), "key")
 
 
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near duplicates, with all its columns; null texts all stay.
+
+    Of rows equal in id and text, which stand for the same document, one stays.
+    """
+    kept = cut_lineage(near_duplicates(docs, similarity).where("keep").where("key is not null").groupBy(
+        F.col("key").alias("_key"), F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
+    text = F.col("text").cast("string").cast("binary")
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5(text)).alias("key"))
+    here = whole.join(kept, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = here.where("_rows = 1").select("row")
+    twins = here.where("_rows > 1").groupBy("_key", "_id").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return one.union(twins).union(whole.where("key is null").select("row")).select("row.*")
+
+
 @query("op10_near_duplicates")
 def op10(t):
     return near_duplicates(t.documents).drop("key")

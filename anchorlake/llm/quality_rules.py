@@ -101,10 +101,10 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarra
     return lines, lines - np.bincount((distinct >> np.uint64(56)).astype(np.int64), minlength=texts)
 
 
-def text_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the whole-text counts of every document."""
+def text_measures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """The carried columns and the whole-text counts of every document."""
     def measure(batches):
-        for block, data, offsets in blocks(batches):
+        for block, data, offsets in blocks(batches, "_text"):
             words = words_of(data, offsets)
             hashes = range_hashes(data, words.start, words.end)
             leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -115,12 +115,11 @@ def text_measures(docs: DataFrame) -> DataFrame:
                 lines, sums(_UPPER[data], offsets), sums(_LETTER[data], offsets),
                 stutters(hashes, words.first)]
             yield pa.RecordBatch.from_arrays(
-                [block.column(c) for c in ("doc_id", "lang", "source")]
-                + [pa.array(c.astype(np.int64)) for c in counts], ["doc_id", "lang", "source", *_COUNTS])
+                [block.column(c) for c in carried] + [pa.array(c.astype(np.int64)) for c in counts],
+                [*carried, *_COUNTS])
 
-    return docs.select("doc_id", "lang", "source", F.col("text").cast("string").alias("text")).mapInArrow(
-        measure, ", ".join([*(f"{c} {type_of(docs, c)}" for c in ("doc_id", "lang", "source")),
-                            *(f"{c} long" for c in _COUNTS)]))
+    return docs.select(*carried, F.col("text").cast("string").alias("_text")).mapInArrow(
+        measure, ", ".join([*(f"{c} {type_of(docs, c)}" for c in carried), *(f"{c} long" for c in _COUNTS)]))
 
 
 def _values() -> dict[str, Column]:
@@ -168,15 +167,13 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         pick(f"{m}_{name}").alias(f"{m}_{name}") for m in MEASURES for name in ("low", "high")])
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per document: the counts, base_failed, kept, and the measures out of range.
+def group_limits(measured: DataFrame) -> DataFrame:
+    """The stored thresholds of every language and source in ``measured``."""
+    return cut_lineage(thresholds(cut_lineage(sketches(measured))))
 
-    ``docs`` needs doc_id, text, lang and source; other columns are ignored. A null or empty
-    text has no words, so it fails the base rule. Null languages and sources form groups of
-    their own. Repeated rows each get their row; an empty table gives an empty result.
-    """
-    measured = cut_lineage(text_measures(docs))
-    limits = cut_lineage(thresholds(cut_lineage(sketches(measured))))
+
+def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """``measured`` with base_failed, out_of_range (the measures beyond their fence) and kept."""
     out = []
     for name, value in _values().items():
         margin, more = MEASURES[name]
@@ -189,9 +186,31 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return attach(measured, limits, ["lang", "source"]).withColumn("base_failed", failed).withColumn(
-        "out_of_range", F.array_compact(F.array(*out))).select(
-        "doc_id", *_COUNTS[:5], "base_failed",
-        (~F.col("base_failed") & (F.size("out_of_range") == 0)).alias("kept"), "out_of_range")
+        "out_of_range", F.array_compact(F.array(*out))).withColumn(
+        "kept", ~F.col("base_failed") & (F.size("out_of_range") == 0))
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """One row per document: the counts, base_failed, kept, and the measures out of range.
+
+    ``docs`` needs doc_id, text, lang and source; other columns are ignored. A null or empty
+    text has no words, so it fails the base rule. Null languages and sources form groups of
+    their own. Repeated rows each get their row; an empty table gives an empty result.
+    """
+    measured = cut_lineage(text_measures(docs))
+    return judged(measured, group_limits(measured)).select(
+        "doc_id", *_COUNTS[:5], "base_failed", "kept", "out_of_range")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass the rules, with all their columns.
+
+    Only the thresholds are stored; every text is measured again where it lies, so no text
+    is shuffled and rows with equal or null ids are judged by their own text.
+    """
+    limits = group_limits(text_measures(docs, ("lang", "source")))
+    whole = docs.select(F.struct("*").alias("row"), "lang", "source", "text")
+    return judged(text_measures(whole, ("row", "lang", "source")), limits).where("kept").select("row.*")
 
 
 @query("op4_quality_rules")

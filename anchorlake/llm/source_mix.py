@@ -121,14 +121,26 @@ def _plan(groups: pd.DataFrame) -> pd.DataFrame:
     return groups.assign(copies=copies, picks=picks)[["source", "size", "copies", "picks"]]
 
 
-def _picked(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """``sized`` with copies and whether the row is among the first ``picks`` of its length.
+def _measured(docs: DataFrame, seed: int, *more: str) -> DataFrame:
+    """doc_id, source, size, a seeded draw with its hash cell, and ``more`` columns."""
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
+    return (docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw"), *more)
+            .withColumn("cell", F.pmod("draw", F.lit(CELLS)).cast("int"))
+            .withColumn("twin", F.monotonically_increasing_id()))
+
+
+def mix_plan(sized: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]:
+    """Targets per source, and per source and length how much of it the mix takes.
 
-    Rows are ordered by a seeded hash. Whole hash cells are taken or left by their counts
-    alone; only the cell in which the last pick lies is ranked row by row, so a length that
-    holds a third of all rows never meets in one task.
+    Rows are taken in the order of a seeded hash: all hash cells up to ``whole``, and the
+    first ``room`` rows of the cell ``edge``. ``sized`` is stored.
     """
     keys = ["source", "size"]
+    lengths = cut_lineage(sized.groupBy(*keys).agg(F.count("*").alias("n")))
+    goals = cut_lineage(targets(lengths.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("n")).alias("source_size"))))
+    schema = f"source {source_type}, size long, copies int, picks long"
+    plan = cut_lineage(attach(lengths, goals, ["source"]).groupBy("source").applyInPandas(_plan, schema))
     cells = sized.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy(*keys).orderBy("cell")) - F.col("n")
     bounds = cells.withColumn("before", before).join(
@@ -137,17 +149,27 @@ def _picked(sized: DataFrame, plan: DataFrame) -> DataFrame:
     edge = bounds.where("before < picks and before + n > picks").select(
         *keys, F.col("cell").alias("edge"), (F.col("picks") - F.col("before")).alias("room"))
     whole = bounds.where("before + n <= picks").groupBy(*keys).agg(F.max("cell").alias("whole"))
-    by_key = cut_lineage(
+    return goals, cut_lineage(
         plan.alias("p").join(whole.alias("w"), F.expr("p.source <=> w.source and p.size = w.size"), "left")
         .join(edge.alias("e"), F.expr("p.source <=> e.source and p.size = e.size"), "left")
         .selectExpr("p.source", "p.size", "p.copies", "w.whole", "e.edge", "e.room"))
-    rows = attach(sized, by_key, keys)
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with ``times``, how often the mix takes each.
+
+    Whole hash cells are taken or left by the plan alone; only the cell in which the last
+    pick lies is ranked row by row, so a length that holds a third of all rows never meets
+    in one task.
+    """
+    rows = attach(rows, plan, ["source", "size"])
     inside = F.col("cell") == F.col("edge")
-    rank = F.row_number().over(W.partitionBy(*keys, "cell").orderBy("draw", "doc_id", "twin"))
-    ranked = rows.where(inside).withColumn("rank", rank).withColumn("pick", F.col("rank") <= F.col("room"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "cell").orderBy("draw", "doc_id", "twin"))
+    ranked = rows.where(inside).withColumn("rank", rank).withColumn(
+        "pick", F.col("rank") <= F.col("room")).drop("rank")
     others = rows.where(F.coalesce(~inside, F.lit(True))).withColumn(
         "pick", F.coalesce(F.col("cell") <= F.col("whole"), F.lit(False)))
-    return ranked.drop("rank").unionByName(others)
+    return ranked.unionByName(others).withColumn("times", F.col("copies") + F.col("pick").cast("int"))
 
 
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -156,22 +178,24 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     A document is taken as often as its source is copied whole, and once more if it is
     picked; taken is that many times its size, never over ``MAX_REPEATS`` times. Null texts
     and texts without words have size 0 and are never picked. Null sources form one source,
-    the last in order. Rows with equal id and text are told apart only by their order in
-    ``twin``, so either may be picked, with the same result. Other columns are ignored; an
-    empty table gives an empty result.
+    the last in order. Of rows with equal id and text either may be picked, with the same
+    result. Other columns are ignored; an empty table gives an empty result.
     """
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw"))
-                        .withColumn("cell", F.pmod("draw", F.lit(CELLS)).cast("int"))
-                        .withColumn("twin", F.monotonically_increasing_id()))
-    lengths = cut_lineage(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    goals = cut_lineage(targets(lengths.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("n")).alias("source_size"))))
-    schema = f"source {type_of(docs, 'source')}, size long, copies int, picks long"
-    plan = cut_lineage(attach(lengths, goals, ["source"]).groupBy("source").applyInPandas(_plan, schema))
-    rows = attach(_picked(sized, plan), goals, ["source"])
-    repeats = F.col("copies") + F.col("pick").cast("int")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"))
+    sized = cut_lineage(_measured(docs, seed))
+    goals, plan = mix_plan(sized, type_of(docs, "source"))
+    return attach(_taken(sized, plan), goals, ["source"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of the mix with all their columns, each as often as the mix takes it.
+
+    Documents without words go, except where their source is copied whole.
+    """
+    _, plan = mix_plan(cut_lineage(_measured(docs, seed)), type_of(docs, "source"))
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+    rows = _taken(_measured(whole, seed, "row"), plan).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("_n")).select("row.*")
 
 
 @query("op2_source_mix")

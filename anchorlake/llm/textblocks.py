@@ -73,8 +73,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
             at += block.num_rows
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~_SPACE[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that are not ``between`` words (a flag for each byte value)."""
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     open_before = np.empty(len(data), dtype=bool)
@@ -87,6 +88,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offsets))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NOT_ALNUM = np.ones(256, dtype=bool)
+_NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
+    """The bytes in lower case (ASCII and Latin letters), and their runs of letters and digits."""
+    lower = _LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    lower[capital] += 32
+    return lower, words_of(lower, offsets, _NOT_ALNUM)
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
