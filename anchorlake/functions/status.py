@@ -48,7 +48,7 @@ def short_error(kind: Column, message: Column) -> Column:
               "too many redirects (redirect loop)")
         .when(message.contains("Connection aborted")
               | message.contains("RemoteDisconnected"), "connection aborted by server")
-        .otherwise(F.concat(kind, F.lit(": "), F.left(detail, F.lit(110))))
+        .otherwise(F.concat(kind, F.lit(": "), detail))
     )
 
 

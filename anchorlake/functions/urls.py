@@ -1,63 +1,75 @@
 """URL and domain functions.
 
-Suffix handling is a rule plus two short lists, not a table: a second-level
-label such as ``co`` or ``edu`` in front of a two-letter country code is a
-public suffix. Pass ``Suffixes(exact=[...])`` to use a complete list instead.
+Public suffixes come from an explicit table: what national registries offer, and hosting
+companies whose customers are sites of their own. ``Suffixes.from_list`` takes a complete
+public suffix list instead.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from anchorlake import fixed_values as fixed
 
-COMMERCIAL = ["com", "co", "net", "ne", "org", "or", "web", "asso"]
-ACADEMIC = ["edu", "ac", "ed", "sch", "school", "sc", "k12", "res", "nic"]
-PUBLIC = ["gov", "gob", "gouv", "gub", "govt", "go", "gv", "mil", "mod", "nhs",
-          "police", "judiciary", "muni", "lg", "bel", "jus"]
-NATIONAL = [
-    "me.uk", "ltd.uk", "plc.uk", "tm.fr", "nom.es", "waw.pl", "info.pl", "kiev.ua",
-    "msk.ru", "firm.in", "gen.in", "ind.in", "gr.jp", "re.kr", "idv.tw", "idv.hk",
-    "per.sg", "my.id", "in.th", "asn.au", "id.au", "geek.nz", "med.sa", "sci.eg",
-    "press.ma", "art.br", "blog.br", "adv.br", "eng.br", "med.br", "ind.br", "inf.br",
-    "int.ar", "nom.co", "nom.pe", "fin.ec", "med.ec", "fi.cr",
-]
-MAX_EXACT_SUFFIXES = 5_000
+
+def national_suffixes() -> list[str]:
+    return [f"{label}.{country}" for country, labels in fixed.NATIONAL_SUFFIXES.items() for label in labels.split()]
 
 
 @dataclass(frozen=True)
 class Suffixes:
-    """Which label sequences are public suffixes."""
+    """Suffixes of two or more labels under which anyone may hold a site.
+
+    A last label alone always counts as a suffix, so single labels need no entry.
+    """
 
-    second_level: tuple[str, ...] = tuple(COMMERCIAL + ACADEMIC + PUBLIC)
-    extra: tuple[str, ...] = tuple(NATIONAL + fixed.HOSTED_SUFFIXES)
-    exact: tuple[str, ...] | None = field(default=None)
+    listed: frozenset[str]
 
-    def __post_init__(self):
-        if self.exact is not None and len(self.exact) > MAX_EXACT_SUFFIXES:
-            raise ValueError(f"{len(self.exact)} suffixes; the limit is {MAX_EXACT_SUFFIXES}")
+    @classmethod
+    def from_list(cls, lines: Iterable[str]) -> Suffixes:
+        """From the lines of a public suffix list: comments and blanks are skipped, a
+        leading ``*.`` or ``!`` rule is read as its plain parent."""
+        rules = (line.strip().lower() for line in lines)
+        bare = (re.sub(r"^(\*\.|!)", "", r.split()[0]) for r in rules if r and not r.startswith("//"))
+        return cls(frozenset(r.strip(".") for r in bare if "." in r.strip(".")))
 
     def pattern(self) -> str:
-        """Regex over a host: subdomain, registered domain, and suffix inside it.
+        """Regex over a host read backwards: group 1 the registered domain, group 2 the suffix.
 
-        A leading ``www`` in front of two more labels is not part of the site, the
-        longest listed suffix wins, and a host that is itself a suffix, an address
-        or a single label falls through to plain label rules.
+        The suffixes form a tree of labels from the last one on, so a host is compared with
+        the suffixes of its own country only, however many are listed. The longest listed
+        suffix that leaves one more label wins; addresses match nothing.
         """
-        listed = self.extra if self.exact is None else self.exact
-        parts = [re.escape(s) for s in sorted(listed, key=lambda s: -s.count("."))]
-        if self.exact is None:
-            parts.append("(?:" + "|".join(self.second_level) + r")\.[a-z]{2}")
-        suffix = "|".join(parts + ["[^.]+"])
-        return (r"^(?![\d.]+$)(?:www\.(?=[^.]+\.))?(?:(.*?)\.)??"
-                rf"([^.]+\.({suffix}))$")
+        return _backwards(self.listed)
+
+
+@lru_cache(maxsize=8)
+def _backwards(listed: frozenset[str]) -> str:
+    tree: dict = {}
+    for suffix in listed:
+        below = tree
+        for label in reversed(suffix.split(".")):
+            below = below.setdefault(label, {})
+        below[""] = {}
 
+    def alternatives(below: dict) -> str:
+        options = [re.escape(label[::-1]) + (
+            "(?:" + r"\." + alternatives(rest) + ")" + ("?" if "" in rest else "")
+            if set(rest) - {""} else "") for label, rest in sorted(below.items()) if label]
+        return "(?:" + "|".join(options) + ")"
 
-DEFAULT_SUFFIXES = Suffixes()
+    # a listed suffix is followed by one more label, or the last label alone is the suffix
+    some = alternatives(tree) + r"(?=\.[^.])|" if tree else ""
+    return rf"^(?![\d.]+$)(({some}[^.]+)\.[^.]+)(?:\.(.*))?$"
+
+
+DEFAULT_SUFFIXES = Suffixes(frozenset([*national_suffixes(), *fixed.HOSTED_SUFFIXES]))
 
 
 def normalize_url(url: Column) -> Column:
@@ -123,17 +135,23 @@ def subnet24(ip: Column) -> Column:
     )
 
 
+def _part(host: Column, suffixes: Suffixes, group: int) -> Column:
+    """A group of the suffix pattern, read forwards; a leading ``www`` is no part of a site."""
+    bare = F.regexp_replace(host, r"^www\.(?=[^.]+\.)", "")
+    return F.reverse(F.regexp_extract(F.reverse(bare), suffixes.pattern(), group))
+
+
 def registered_of_host(host: Column, suffixes: Suffixes = DEFAULT_SUFFIXES) -> Column:
-    """The domain one would buy, e.g. ``uncp.edu.pe``; one regex per host."""
-    return F.regexp_replace(host, suffixes.pattern(), "$2")
+    """The domain one would buy, e.g. ``uncp.edu.pe``; other hosts as they are."""
+    return F.coalesce(F.nullif(_part(host, suffixes, 1), F.lit("")), host)
 
 
 def suffix_of_host(host: Column, suffixes: Suffixes = DEFAULT_SUFFIXES) -> Column:
-    return F.regexp_extract(host, suffixes.pattern(), 3)
+    return _part(host, suffixes, 2)
 
 
 def subdomain_of_host(host: Column, suffixes: Suffixes = DEFAULT_SUFFIXES) -> Column:
-    return F.regexp_extract(host, suffixes.pattern(), 1)
+    return _part(host, suffixes, 3)
 
 
 def registered_domain(url: Column, suffixes: Suffixes = DEFAULT_SUFFIXES) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,18 @@ from anchorlake import fixed_values as fixed
 from anchorlake.functions import urls as U
 from anchorlake.rules import DEFAULT_AUTHORITY, authority_rows
 
-MAX_AUTHORITY_SITES = 200_000
+# Beyond so many sites the list is joined by a shuffle instead of a broadcast.
+BROADCAST_SITES = 200_000
 
-INSTITUTIONAL = ["gov", "edu", "mil", "int"]
 NONPROFIT = ["org", "ngo", "ong", "foundation", "charity", "asso.fr", "asn.au"]
 NONPROFIT_SECOND_LEVEL = ["org", "or"]
 
 
+def any_of(parts: list[str]) -> str:
+    """Regex that finds any of the given pieces of text."""
+    return "|".join(map(re.escape, parts))
+
+
 def with_domain_parts(
     df: DataFrame, url_col: str = "url", suffixes: U.Suffixes = U.DEFAULT_SUFFIXES
 ) -> DataFrame:
@@ -33,8 +40,6 @@ def with_domain_parts(
 def authority_dim(spark: SparkSession, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Site -> group; a listed host also covers its registered domain."""
     rows = authority_rows(DEFAULT_AUTHORITY if groups is None else groups)
-    if len(rows) > MAX_AUTHORITY_SITES:
-        raise ValueError(f"{len(rows)} authority sites; the limit is {MAX_AUTHORITY_SITES}")
     listed = spark.createDataFrame(
         [(i, site, group) for i, (site, group) in enumerate(rows)],
         "rank int, site string, authority_group string")
@@ -46,25 +51,29 @@ def authority_dim(spark: SparkSession, groups: dict[str, list[str]] | None = Non
 def with_trust_tier(df: DataFrame, authority: DataFrame) -> DataFrame:
     """Tier A (restricted suffix), B (authority list), C (non-profit suffix) or D.
 
-    ``authority`` is the size-checked output of ``authority_dim`` and is broadcast.
+    ``authority`` is the output of ``authority_dim``; it is counted, and broadcast if it
+    has at most ``BROADCAST_SITES`` rows.
     """
+    small = authority.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+    side = F.broadcast if small else lambda df: df
     by_host = authority.select(
         F.col("site").alias("host"), F.col("authority_group").alias("_by_host"))
     by_domain = authority.select(
         F.col("site").alias("registered"), F.col("authority_group").alias("_by_domain"))
     suffix = F.col("suffix")
     second = F.substring_index(suffix, ".", 1)
+    # only listed national suffixes have two labels here
     national = suffix.rlike(r"^[^.]+\.[^.]{2}$")
-    restricted = suffix.isin(INSTITUTIONAL) | (national & second.isin(U.ACADEMIC + U.PUBLIC))
+    restricted = suffix.isin(fixed.INSTITUTION_SUFFIXES) | (national & second.isin(fixed.INSTITUTION_LABELS))
     nonprofit = suffix.isin(NONPROFIT) | (national & second.isin(NONPROFIT_SECOND_LEVEL))
     kind = (
-        F.when(suffix.rlike(fixed.GOVERNMENT_SUFFIX), "government")
-        .when(suffix.rlike(fixed.EDUCATION_SUFFIX), "education")
+        F.when(suffix.rlike(any_of(fixed.GOVERNMENT_PARTS)), "government")
+        .when(suffix.rlike(any_of(fixed.EDUCATION_PARTS)), "education")
         .otherwise("institutional"))
     group = F.coalesce("_by_host", "_by_domain")
     out = (
-        df.join(F.broadcast(by_host), "host", "left")
-        .join(F.broadcast(by_domain), "registered", "left")
+        df.join(side(by_host), "host", "left")
+        .join(side(by_domain), "registered", "left")
         .withColumn("spam_tld", suffix.isin(fixed.SPAM_TLDS))
         .withColumn("tier", F.when(restricted, "A").when(group.isNotNull(), "B")
                     .when(nonprofit, "C").otherwise("D"))

@@ -70,7 +70,7 @@ def resolve_attempts(attempts: DataFrame, dns: DataFrame | None = None) -> DataF
         out = out.withColumn("dns_said_no", F.lit(False)).withColumn("ip", F.lit(""))
     else:
         hints = dns.select(
-            "host", (~F.col("resolved")).alias("_no"), F.array_join(F.slice("ips", 1, 4), ", ").alias("ips"),
+            "host", (~F.col("resolved")).alias("_no"), F.array_join("ips", ", ").alias("ips"),
             F.coalesce(F.get("ips", F.lit(0)), F.lit("")).alias("ip"))
         out = lookup(out, hints, "host").withColumn(
             "dns_said_no", F.coalesce("_no", F.lit(False))).drop("_no")

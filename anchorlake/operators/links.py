@@ -9,32 +9,6 @@ from anchorlake import fixed_values as fixed
 from anchorlake.config import AuditConfig
 from anchorlake.functions import urls as U
 
-INTERNAL_URLS = 25
-
-
-def placement(ancestors: Column) -> Column:
-    """in-content, boilerplate or unknown: the nearest ancestor that decides.
-
-    ``ancestors`` is ordered nearest first; nothing above ``body`` is looked at.
-    """
-    def signal(a: Column) -> Column:
-        named = F.trim(a["ident"]) != ""
-        return (
-            F.when(a["tag"].isin(fixed.BOILERPLATE_TAGS), "boilerplate")
-            .when(named & a["ident"].rlike("(?i)" + fixed.BOILERPLATE_HINTS), "boilerplate")
-            .when(named & a["ident"].rlike("(?i)" + fixed.CONTENT_HINTS), "in-content")
-            .when(a["tag"].isin(fixed.CONTENT_TAGS), "in-content")
-            .when(a["tag"] == "body", "unknown"))
-    return F.coalesce(F.get(F.array_compact(F.transform(ancestors, signal)), F.lit(0)),
-                      F.lit("unknown"))
-
-
-def in_hidden_block(ancestors: Column) -> Column:
-    """Do any of the nearest five ancestors hide their content by style?"""
-    return F.exists(F.slice(ancestors, 1, 5),
-                    lambda a: a["style"].rlike("(?i)" + fixed.HIDDEN_STYLE))
-
-
 def explode_links(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """One row per link of each parsed page, with the link's registered domain."""
     rows = parsed.select(*keep, F.explode("links").alias("link")).select(*keep, "link.*")
@@ -71,9 +45,8 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
     def enriched(link: Column) -> Column:
         return F.struct(
             link["pos"].alias("pos"), link["absolute"].alias("absolute"),
-            F.when(link["text"] == "", fixed.EMPTY_ANCHOR)
-            .otherwise(F.left(link["text"], F.lit(120))).alias("text"),
-            link["rel"].alias("rel"), link["ancestors"].alias("ancestors"),
+            F.when(link["text"] == "", fixed.EMPTY_ANCHOR).otherwise(link["text"]).alias("text"),
+            link["rel"].alias("rel"), link["placement"].alias("placement"), link["hidden"].alias("hidden"),
             U.registered_domain(link["absolute"]).alias("domain"))
 
     base = parsed.withColumns({
@@ -83,7 +56,7 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
         "_internal": F.filter("_links", lambda a: a["domain"] == F.col("_page")),
         "_matches": F.filter("_links", lambda a: F.array_contains(F.col("_targets"), a["domain"])),
     }).withColumns({
-        "_places": F.transform("_matches", lambda a: placement(a["ancestors"])),
+        "_places": F.col("_matches.placement"),
         "_rels": F.array_sort(F.array_distinct(F.flatten(F.col("_matches.rel")))),
     })
     other_urls = F.filter(
@@ -94,19 +67,18 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
     out = base.withColumns({
         "internal_links": F.size("_internal"), "outbound_links": external, "total_links": F.size("_links"),
         "outbound_ratio": F.bround(external / F.greatest(F.lit(1), F.size("_links")), 3),
-        "internal_urls": F.array_distinct(F.slice(other_urls, 1, INTERNAL_URLS)),
+        # as many as a sample asks for, see ``sitewide_sample``
+        "internal_urls": F.slice(F.array_distinct(other_urls), 1, max(1, 3 * cfg.sitewide_sample)),
         "link_count": F.size("_matches"), "link_found": F.size("_matches") > 0,
         "target_checked": target != "", "target_domains": F.col("_targets"),
         "linked_domains": F.array_distinct(F.col("_links.domain")),
         "anchor_list": F.col("_matches.text"),
-        "anchor_texts": F.left(
-            F.array_join(F.array_distinct(F.col("_matches.text")), " | "), F.lit(500)),
-        "link_target_urls": F.left(
-            F.array_join(F.array_distinct(F.col("_matches.absolute")), " | "), F.lit(600)),
+        "anchor_texts": F.array_join(F.array_distinct(F.col("_matches.text")), " | "),
+        "link_target_urls": F.array_join(F.array_distinct(F.col("_matches.absolute")), " | "),
         "link_rel": F.array_join("_rels", ", "), **flags,
         "link_placement": F.when(F.array_contains("_places", "in-content"), "in-content")
         .otherwise(F.coalesce(F.get("_places", F.lit(0)), F.lit(""))),
-        "link_in_hidden_block": F.exists("_matches", lambda a: in_hidden_block(a["ancestors"])),
+        "link_in_hidden_block": F.exists("_matches", lambda a: a["hidden"]),
     })
     tagged = F.col("is_nofollow") | F.col("is_sponsored") | F.col("is_ugc")
     return out.withColumns({

@@ -144,7 +144,7 @@ def learn_toxic(
     facts = rows.where(F.col("verdict").isin(*verdicts) & (F.coalesce("host", F.lit("")) != "")).select(
         "host", F.col("registered"), F.col("da").cast("double").alias("da"),
         F.col("spam_score").cast("double").alias("spam_score"),
-        F.left(F.coalesce("issues", F.lit("")), F.lit(400)).alias("notes"),
+        F.coalesce("issues", F.lit("")).alias("notes"),
         (order if order is not None else F.col("url")).alias("_order"))
     toxic = first_per_key(facts, ["host"], [F.col("_order")]).drop("_order")
     old = master.select("host", F.struct(*[c for c in master.columns if c != "host"]).alias("o"))

@@ -39,7 +39,7 @@ def footprint_signals(rows: DataFrame, order: list[Column]) -> DataFrame:
         "registered", F.trim(r.text("ip")).alias("ip"), shared.alias("shared"),
         X.generator_shape(r.text("generator")).alias("cms"),
         X.title_shape(r.text("page_title")).alias("title"),
-        F.when(shared, "").otherwise(F.left(org, F.lit(60))).alias("host"),
+        F.when(shared, "").otherwise(org).alias("host"),
         *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     first = first_per_key(facts, ["registered"], [F.col(f"_o{i}") for i in range(len(order))])
     first = first.withColumn("subnet", U.subnet24(F.col("ip")))

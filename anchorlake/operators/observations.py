@@ -82,7 +82,7 @@ def hosting_from_rdap(df: DataFrame) -> DataFrame:
         names = F.filter(items, lambda item: (F.size(item) >= 4) & (F.get(item, F.lit(0)) == "fn"))
         return F.when(
             F.arrays_overlap(roles, F.array(*[F.lit(x) for x in ("registrant", "administrative", "owner")])),
-            F.left(F.get(F.get(names, F.lit(0)), F.lit(3)), F.lit(80)))
+            F.get(F.get(names, F.lit(0)), F.lit(3)))
 
     owners = F.filter(F.transform("_d.entities", owner), lambda o: o.isNotNull() & (o != ""))
     ranges = F.filter(
@@ -91,13 +91,13 @@ def hosting_from_rdap(df: DataFrame) -> DataFrame:
             F.concat(F.coalesce(c["v4prefix"], c["v6prefix"]), F.lit("/"), c["length"].cast("string")))),
         lambda r: r.isNotNull())
     out = d.withColumns({
-        "net_name": F.left(F.coalesce("_d.name", F.lit("")), F.lit(80)),
-        "net_handle": F.left(F.coalesce("_d.handle", F.lit("")), F.lit(40)),
+        "net_name": F.coalesce("_d.name", F.lit("")),
+        "net_handle": F.coalesce("_d.handle", F.lit("")),
         "net_org": F.coalesce(F.get(owners, F.lit(0)), F.lit("")),
-        "net_range": F.left(F.coalesce(
+        "net_range": F.coalesce(
             F.get(ranges, F.lit(0)),
             F.concat("_d.startAddress", F.lit("-"), F.coalesce("_d.endAddress", F.lit(""))),
-            F.lit("")), F.lit(60))})
+            F.lit(""))})
     label = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("net_org", "net_name", "net_handle")],
                        F.lit(""))
     shared, vps = hosting_class(F.col("_label"))
@@ -144,17 +144,17 @@ def recover_from_archive(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     ts = F.col("_ts")
     date = F.when(~have, "").when(F.length(ts) >= 8, F.concat_ws(
         "-", F.substring(ts, 1, 4), F.substring(ts, 5, 2), F.substring(ts, 7, 2))).otherwise(ts)
-    found, anchor = F.coalesce("_found", F.lit(False)), F.left(F.coalesce("_anchor", F.lit("")), F.lit(200))
+    found, anchor = F.coalesce("_found", F.lit(False)), F.coalesce("_anchor", F.lit(""))
     note = (
         F.when(~dead, "").when(~have, "no snapshot")
         .when(F.col("_found").isNull(), "the snapshot could not be read")
         .when(found & (anchor != ""), F.concat(
-            F.lit("the snapshot of "), date, F.lit(" shows the link as "), F.left(anchor, F.lit(60))))
+            F.lit("the snapshot of "), date, F.lit(" shows the link as "), anchor))
         .when(found, F.concat(F.lit("the snapshot of "), date, F.lit(" shows the link")))
         .otherwise(F.concat(F.lit("the snapshot of "), date, F.lit(" has no link"))))
     return out.withColumns({
         "archive_available": dead & have,
         "archive_url": F.when(have, F.col("snapshot_url")).otherwise(""),
-        "archive_date": date, "archive_title": F.left(F.coalesce("_title", F.lit("")), F.lit(200)),
+        "archive_date": date, "archive_title": F.coalesce("_title", F.lit("")),
         "archive_link_found": found, "archive_anchor": anchor, "archive_note": note,
     }).drop("_dead", "snapshot_url", "_ts", "_title", "_found", "_anchor")

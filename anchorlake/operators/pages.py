@@ -1,13 +1,14 @@
 """Page parsing and page features.
 
 Only the HTML walk itself runs in Python, over Arrow batches. It emits the raw
-pieces of a page (text, meta values, links with their ancestors); every decision
+pieces of a page (text, meta values, links with where they stand); every other decision
 about them is a Spark expression in this module and in ``links.py``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import Iterator
 from urllib.parse import urljoin
@@ -23,9 +24,9 @@ from anchorlake.functions import urls as U
 from anchorlake.rules import DEFAULT_KEYWORDS, Keyword
 
 LINK = ("array<struct<pos:int,href:string,absolute:string,text:string,rel:array<string>,"
-        "ancestors:array<struct<tag:string,ident:string,style:string>>>>")
+        "placement:string,hidden:boolean>>")
 PARSED = ("title string, description string, h1 string, generator string, lang string, "
-          f"canonical string, meta_robots string, text string, links {LINK}")
+          f"canonical string, meta_robots string, text string, page_error string, links {LINK}")
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -42,6 +43,9 @@ _BLOCK = frozenset(
 # an opening tag ends an open element of these kinds
 _ENDS = {"li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"),
          "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "body": ("head",)}
+_HIDING = re.compile(fixed.HIDDEN_STYLE, re.I)
+_BOILERPLATE = re.compile(fixed.BOILERPLATE_HINTS, re.I)
+_CONTENT = re.compile(fixed.CONTENT_HINTS, re.I)
 _SCOPE = frozenset(("ul", "ol", "table", "div", "article", "section", "body", "select", "dl", "nav"))
 
 
@@ -50,10 +54,11 @@ def _squeeze(pieces: list[str]) -> str:
 
 
 def walk_page(html: str, url: str) -> dict:
-    """One pass over a page's markup: texts, meta values, and links with ancestors."""
+    """One pass over a page's markup: texts, meta values, and links with where they stand."""
     page = dict(title=None, description="", h1=None, generator="", lang="", canonical="",
                 meta_robots=[], text=[], links=[])
-    stack: list[tuple[str, dict]] = []
+    stack: list[tuple[str, str, bool]] = []  # name; placement and hiddenness of what is inside
+    opened: Counter[str] = Counter()  # open elements by name, so that hopeless searches are skipped
     open_link: dict | None = None
     heading: list[str] | None = None
     hidden = 0
@@ -73,7 +78,8 @@ def walk_page(html: str, url: str) -> dict:
     def close(count: int) -> None:
         nonlocal hidden, open_link, heading
         for _ in range(count):
-            name, _attrs = stack.pop()
+            name = stack.pop()[0]
+            opened[name] -= 1
             hidden -= name in _UNSEEN
             if name == "a":
                 open_link = None
@@ -81,6 +87,8 @@ def walk_page(html: str, url: str) -> dict:
                 page["h1"], heading = heading, None
 
     def end_open(kinds: tuple[str, ...], scope: frozenset) -> None:
+        if not any(opened[kind] for kind in kinds):
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] in kinds:
                 close(len(stack) - depth)
@@ -100,8 +108,8 @@ def walk_page(html: str, url: str) -> dict:
             continue
         name = mark["name"].lower()
         if mark["end"]:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), None)
-            if depth is not None:
+            if opened[name]:
+                depth = next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name)
                 close(len(stack) - depth)
             continue
         attrs: dict[str, str] = {}
@@ -129,14 +137,17 @@ def walk_page(html: str, url: str) -> dict:
         if name == "a":
             end_open(("a",), frozenset())
             href = attrs.get("href", "").strip()
+            _, place, unseen = stack[-1] if stack else ("", "unknown", False)
             link = dict(text=[], href=href, rel=attrs.get("rel", "").lower().split(),
-                        ancestors=_ancestors(stack))
+                        placement=place, hidden=unseen)
             if "href" in attrs and not hidden:
                 page["links"].append(link)
                 open_link = link
         elif name == "h1" and page["h1"] is None and heading is None:
             heading = []
-        stack.append((name, attrs))
+        _, place, unseen = stack[-1] if stack else ("", "unknown", False)
+        stack.append((name, _placement(name, attrs, place), unseen or bool(_HIDING.search(attrs.get("style", "")))))
+        opened[name] += 1
         hidden += name in _UNSEEN
         if name in _RAW:
             stop = re.compile("</" + name, re.I).search(html, at)
@@ -148,12 +159,15 @@ def walk_page(html: str, url: str) -> dict:
     return page
 
 
-def _ancestors(stack: list[tuple[str, dict]]) -> list[dict]:
-    """The nearest eight enclosing elements, nearest first."""
-    return [
-        dict(tag=name, style=attrs.get("style", ""),
-             ident=" ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))))
-        for name, attrs in reversed(stack[-8:])]
+def _placement(name: str, attrs: dict, around: str) -> str:
+    """in-content, boilerplate or unknown for what stands in an element: the nearest
+    enclosing element that decides it, up to the body."""
+    ident = " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))).strip()
+    if name in fixed.BOILERPLATE_TAGS or ident and _BOILERPLATE.search(ident):
+        return "boilerplate"
+    if ident and _CONTENT.search(ident) or name in fixed.CONTENT_TAGS:
+        return "in-content"
+    return "unknown" if name == "body" else around
 
 
 def _links(found: list[dict], url: str) -> list[dict]:
@@ -183,11 +197,10 @@ def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             for url, html in zip(batch[url_col], batch[html_col]):
                 page = walk_page(html or "", url or "")
                 rows.append((
-                    (page["title"] or "")[:300], page["description"][:400],
-                    _squeeze(page["h1"] or [])[:250], page["generator"][:120],
-                    page["lang"][:12], page["canonical"],
-                    ", ".join(v for v in page["meta_robots"] if v),
-                    _squeeze(page["text"]), _links(page["links"], url or "")))
+                    page["title"] or "", page["description"], _squeeze(page["h1"] or []), page["generator"],
+                    page["lang"], page["canonical"], ", ".join(v for v in page["meta_robots"] if v),
+                    _squeeze(page["text"]), "" if html and html.strip() else "no content",
+                    _links(page["links"], url or "")))
             parsed = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch[kept], parsed], axis=1)
 
@@ -238,7 +251,7 @@ def page_features(
         {k: list(v) for k, v in cfg.relevance_synonyms.items()},
         {"title": "page_title", "h1": "h1", "anchor": "anchor_texts",
          "meta": "meta_description", "body": "text"})
-    return out.withColumn("page_parsed", F.lit(True)).drop("text", "links", "title", "description")
+    return out.withColumn("page_parsed", F.col("page_error") == "").drop("text", "links", "title", "description")
 
 
 # Page columns a home page contributes to the rows of its site.

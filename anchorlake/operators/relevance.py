@@ -53,7 +53,7 @@ def with_relevance(
     ceiling = len(concepts) * RELEVANCE_WEIGHTS["title"]
     percent = F.bround(F.lit(100.0) * earned / ceiling, 0).cast("int")
     ranked = F.array_sort("_hit")
-    detail = F.transform(F.slice(ranked, 1, 6), lambda s: F.concat(
+    detail = F.transform(ranked, lambda s: F.concat(
         s["concept"], F.lit(" ("), s["field"], F.lit(")")))
     missing = F.transform(F.filter("_found", lambda s: s["field"].isNull()),
                           lambda s: s["concept"])
@@ -62,5 +62,5 @@ def with_relevance(
         .withColumn("relevance_score", F.when(F.size("_hit") == 0, 0).otherwise(
             F.least(F.lit(100), F.greatest(F.lit(1), percent))))
         .withColumn("relevance_matched", F.array_join(detail, ", "))
-        .withColumn("relevance_missing", F.array_join(F.slice(missing, 1, 8), ", "))
+        .withColumn("relevance_missing", F.array_join(missing, ", "))
         .drop("_found", "_hit", *[f"_t_{f}" for f in fields]))

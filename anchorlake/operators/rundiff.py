@@ -62,15 +62,15 @@ def run_diff(old: DataFrame, new: DataFrame, score_delta: float = 10.0) -> DataF
         "revived": ((va == "DEAD") & vb.isin(ALIVE), F.lit("the page answers again")),
         "link_lost": (a["link_found"] & ~b["link_found"] & b["target_checked"] & reachable,
                       F.lit("the page loads without the link")),
-        "link_restored": (restored, F.concat(F.lit("anchor: "), F.left(b["anchor_texts"], F.lit(60)))),
+        "link_restored": (restored, F.concat(F.lit("anchor: "), b["anchor_texts"])),
         "went_nofollow": (went, F.concat(F.lit("rel: "), F.when(
             b["link_rel"] == "", "nofollow").otherwise(b["link_rel"]))),
         "became_followed": (b["link_found"] & tagged_was & ~tagged_now & b["is_followed"],
                             F.lit("rel attribute dropped")),
-        "turned_toxic": (toxic, F.left(b["issues"], F.lit(110))),
+        "turned_toxic": (toxic, b["issues"]),
         "cleared": ((va == "TOXIC") & (vb != "TOXIC"), F.lit("no spam signals any more")),
         "redirect_new": ((a["redirect_hops"] == 0) & (b["redirect_hops"] > 0),
-                         F.concat(F.lit("now at "), F.left(b["final_url"], F.lit(70)))),
+                         F.concat(F.lit("now at "), b["final_url"])),
         "score_up": (sb - sa >= score_delta, F.lit("")),
         "score_down": (sa - sb >= score_delta, F.lit("")),
         "verdict_worse": (worse, F.lit("")),

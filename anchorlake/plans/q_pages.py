@@ -36,8 +36,8 @@ _HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 
 
 @query("page_parse", f"""
-SELECT page_id, left({_TITLE}, 300) AS title,
-  left({_unescaped("trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g'))")}, 250) AS h1,
+SELECT page_id, {_TITLE} AS title,
+  {_unescaped("trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g'))")} AS h1,
   regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
   len(list_filter(string_split_regex({_unescaped(_CLEAN)}, '\\s+'), lambda x: x <> '')) AS word_count,
   len({_HREFS}) AS n_links
@@ -101,9 +101,9 @@ SELECT page_id, {_FOUND} AS link_found, CASE WHEN {_FOUND} THEN len({_HREFS}) EL
   CASE WHEN NOT {_FOUND} THEN '' WHEN page_id % 5 = 0 THEN 'nofollow, ugc' WHEN page_id % 5 = 1 THEN 'sponsored'
     ELSE '' END AS link_rel,
   {_FOUND} AND page_id % 5 > 1 AS is_followed,
-  CASE WHEN {_FOUND} THEN left({_unescaped(f'''(SELECT string_agg(x, ' | ' ORDER BY i) FROM (
-    SELECT min(i) AS i, left(trim(x), 120) AS x FROM (SELECT unnest({_TEXTS}) AS x, generate_subscripts({_TEXTS}, 1) AS i)
-    GROUP BY 2))''')}, 500) ELSE '' END AS anchor_texts
+  CASE WHEN {_FOUND} THEN {_unescaped(f'''(SELECT string_agg(x, ' | ' ORDER BY i) FROM (
+    SELECT min(i) AS i, trim(x) AS x FROM (SELECT unnest({_TEXTS}) AS x, generate_subscripts({_TEXTS}, 1) AS i)
+    GROUP BY 2))''')} ELSE '' END AS anchor_texts
 FROM pages""")
 def target_links(t):
     found = links.with_link_features(pages.parse_pages(_varied(t)), CFG)
@@ -153,7 +153,7 @@ _WORDS = f"len(list_filter(string_split_regex({_unescaped(_CLEAN)}, '\\s+'), lam
 
 
 @query("homepage_join", f"""
-WITH h AS ({_OLDEST}), f AS (SELECT *, {_WORDS} AS words, left({_TITLE}, 300) AS title FROM pages)
+WITH h AS ({_OLDEST}), f AS (SELECT *, {_WORDS} AS words, {_TITLE} AS title FROM pages)
 SELECT p.page_id, h.origin IS NOT NULL AS home_checked, h.origin || '/' AS home_url,
   f.title AS home_title, f.words AS home_word_count
 FROM pages p LEFT JOIN h ON h.origin = regexp_extract(p.url, '^(https?://[^/?#]+)', 1)
@@ -173,7 +173,7 @@ def homepage_join(t):
 @query("sitewide_sample", f"""
 WITH l AS (SELECT page_id, {_unescaped("concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), href)")} AS u, i
     FROM (SELECT page_id, url, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) AS i FROM pages)),
-  d AS (SELECT page_id, u, min(i) AS i FROM l WHERE i <= 25 GROUP BY 1, 2),
+  d AS (SELECT page_id, u, min(i) AS i FROM l GROUP BY 1, 2),
   c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS pos FROM d),
   r AS (SELECT page_id, u, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM c
     WHERE pos <= 9 AND length(u) % 4 <> 0),
@@ -195,7 +195,7 @@ def sitewide(t):
 
 ANCHOR_CFG = CFG.with_changes(brand_terms=("the", "sch"), max_single_anchor_share=1.0, max_keyword_share=10.0)
 _ANCHORS = f"""a AS (SELECT lower(x) AS anchor, page_id FROM (
-    SELECT DISTINCT page_id, left(trim({_unescaped('y')}), 120) AS x FROM (
+    SELECT DISTINCT page_id, trim({_unescaped('y')}) AS x FROM (
       SELECT page_id, unnest({_TEXTS}) AS y FROM pages WHERE {_DOMAIN} IN ('example.com', 'example.org')))
     WHERE x <> ''),
   k AS (SELECT anchor, CASE WHEN contains(anchor, 'the') OR contains(anchor, 'sch') THEN 'branded'

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from anchorlake import fixed_values as fixed
 from anchorlake.functions import text as X
 from anchorlake.operators import textscan
 from anchorlake.operators.relevance import with_relevance
@@ -91,9 +92,8 @@ CONCEPTS = ["then things", "was", "ands", "studies in programmes", "inlying", "o
 SYNONYMS = {"was": ["is"], "ands": ["und", "et"], "studies in programmes": ["of the an", "de la"],
             "staff people": ["employees person", "die"]}
 _STEM_TABLE = "MAP {" + ", ".join(
-    f"'{k}': '{v}'" for k, v in __import__("anchorlake.fixed_values", fromlist=["x"]).STEM_TABLE.items()) + "}"
-_SUFFIXES = ["iveness", "fulness", "ousness", "ments", "ment", "ings", "ing", "edly", "edness",
-             "ies", "ied", "ed", "ly", "es", "s"]
+    f"'{k}': '{v}'" for k, v in fixed.STEM_TABLE.items()) + "}"
+_SUFFIXES = fixed.STEM_SUFFIXES
 
 
 def _stem_sql(w: str) -> str:

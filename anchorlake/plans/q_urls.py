@@ -42,6 +42,16 @@ _KINDS = [  # host pattern, registered domain, suffix, free subdomain
     ("site{k}.altervista.org", "site{k}.altervista.org", "altervista.org", True),
     ("en.wikipedia.org", "wikipedia.org", "org", False),
     ("m.site{k}.org.au", "site{k}.org.au", "org.au", False),
+    # labels that are suffixes in some countries only
+    ("mail{k}.web.de", "web.de", "de", False),
+    ("x{k}.nic.io", "nic.io", "io", False),
+    ("site{k}.edu.tk", "edu.tk", "tk", False),
+    ("site{k}.go.it", "go.it", "it", False),
+    ("a.site{k}.ed.ws", "ed.ws", "ws", False),
+    ("x.site{k}.res.in", "site{k}.res.in", "res.in", False),
+    ("site{k}.education", "site{k}.education", "education", False),
+    ("www.x.site{k}.school.nz", "site{k}.school.nz", "school.nz", False),
+    ("gov.uk", "gov.uk", "uk", False),
 ]
 
 
@@ -67,8 +77,8 @@ _SITE = {
 @query("domain_parts", f"""
 SELECT c_custkey, {_pick(0, _KEY)} AS host, {_pick(1, _KEY)} AS registered, {_pick(2, _KEY)} AS suffix,
   {_pick(3, _KEY)} AS free_subdomain,
-  CASE WHEN {_pick(0, _KEY)} LIKE 'www.%' OR {_pick(0, _KEY)} = {_pick(1, _KEY)} THEN ''
-       ELSE replace({_pick(0, _KEY)}, concat('.', {_pick(1, _KEY)}), '') END AS subdomain
+  CASE WHEN regexp_replace({_pick(0, _KEY)}, '^www[.]', '') = {_pick(1, _KEY)} THEN ''
+       ELSE replace(regexp_replace({_pick(0, _KEY)}, '^www[.]', ''), concat('.', {_pick(1, _KEY)}), '') END AS subdomain
 FROM customer""")
 def domain_parts(t):
     sites = t.customer.selectExpr(*columns(**_SITE))
@@ -79,12 +89,13 @@ def domain_parts(t):
 @query("trust_tier", f"""
 WITH s AS (SELECT c_custkey, {_pick(1, _KEY)} AS registered, {_pick(2, _KEY)} AS suffix FROM customer)
 SELECT c_custkey, registered,
-  CASE WHEN suffix IN ('edu.pe', 'gov.in') THEN 'A' WHEN registered = 'wikipedia.org' THEN 'B'
+  CASE WHEN suffix IN ('edu.pe', 'gov.in', 'res.in', 'school.nz') THEN 'A' WHEN registered = 'wikipedia.org' THEN 'B'
        WHEN suffix IN ('org', 'org.au') THEN 'C' ELSE 'D' END AS tier,
   CASE suffix WHEN 'edu.pe' THEN 'Institutional (education)' WHEN 'gov.in' THEN 'Institutional (government)'
+       WHEN 'res.in' THEN 'Institutional (education)' WHEN 'school.nz' THEN 'Institutional (education)'
        ELSE CASE WHEN registered = 'wikipedia.org' THEN 'High authority (curated)'
             WHEN suffix IN ('org', 'org.au') THEN 'Non-profit TLD (weak signal)' ELSE 'Unproven' END END AS tier_label,
-  suffix = 'xyz' AS spam_tld,
+  suffix IN ('xyz', 'tk', 'ws') AS spam_tld,
   CASE WHEN registered = 'wikipedia.org' THEN 'reference' ELSE '' END AS authority_group
 FROM s""")
 def trust_tier(t):

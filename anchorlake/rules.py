@@ -11,9 +11,6 @@ from typing import Iterable
 
 from anchorlake import fixed_values as fixed
 
-# Rule tables become literals inside the plan, so their size is checked.
-MAX_RULES = 5_000
-
 
 @dataclass(frozen=True)
 class Keyword:
@@ -32,10 +29,7 @@ def keyword_rules(rows: Iterable[tuple]) -> list[Keyword]:
     for category, word, *rest in rows:
         words = by_category.setdefault(category, {})
         words.setdefault(word, Keyword(category, word, bool(rest and rest[0])))
-    rules = [rule for words in by_category.values() for rule in words.values()]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} keyword rules; the limit is {MAX_RULES}")
-    return rules
+    return [rule for words in by_category.values() for rule in words.values()]
 
 
 # A compact starting set. ``True`` marks words with no innocent reading.

@@ -87,7 +87,7 @@ def history_rows(rows: DataFrame, run_id: str | Column) -> DataFrame:
         "score": r.number("score"), "da": r.number("da"), "spam_score": r.number("spam_score"),
         "status_code": r.text("status_code"), "tier": r.text("tier"),
         "link_found": r.flag("link_found"), "is_followed": r.flag("is_followed"),
-        "action": r.text("action_group"), "issues": F.left(r.text("issues"), F.lit(900))}
+        "action": r.text("action_group"), "issues": r.text("issues")}
     from anchorlake.operators.keyed import last_per_key
 
     order = F.col("seq") if "seq" in rows.columns else F.lit(0)

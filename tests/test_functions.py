@@ -32,13 +32,22 @@ def test_domains_and_tiers(spark, rows):
     assert got["10.0.0.1"][0] == "10.0.0.1"
 
 
-def test_exact_suffix_list(rows):
-    suffixes = U.Suffixes(exact=("co.uk", "a.b.c"))
-    df = rows("h string", ("x.y.co.uk",), ("x.y.com.br",), ("q.z.a.b.c",))
+def test_given_suffix_list(rows):
+    """Any number of suffixes may be given, in the form of a public suffix list."""
+    many = [f"s{i}.t{i % 300}" for i in range(9_000)]
+    suffixes = U.Suffixes.from_list(["// comment", "", "com", "co.uk", "a.b.c", "b.c", *many])
+    df = rows("h string", ("x.y.co.uk",), ("x.y.com.br",), ("q.z.a.b.c",), ("q.z.b.c",), ("a.b.c",), ("u.v.s7.t7",))
     got = [r[0] for r in df.select(U.registered_of_host(F.col("h"), suffixes)).collect()]
-    assert got == ["y.co.uk", "com.br", "z.a.b.c"]
-    with pytest.raises(ValueError):
-        U.Suffixes(exact=tuple(str(i) for i in range(6_000)))
+    assert got == ["y.co.uk", "com.br", "z.a.b.c", "z.b.c", "a.b.c", "v.s7.t7"]
+
+
+def test_labels_that_are_suffixes_in_some_countries_only(rows):
+    hosts = {"mail.web.de": ("web.de", "D"), "x.nic.io": ("nic.io", "D"), "x.edu.tk": ("edu.tk", "D"),
+             "shop.go.it": ("go.it", "D"), "a.ed.ws": ("ed.ws", "D"), "x.res.fr": ("res.fr", "D"),
+             "a.b.res.in": ("b.res.in", "A"), "a.b.co.uk": ("b.co.uk", "D"), "a.b.edu.pe": ("b.edu.pe", "A")}
+    df = rows("url string", *[(h,) for h in hosts])
+    out = classify.with_trust_tier(classify.with_domain_parts(df), classify.authority_dim(df.sparkSession)).collect()
+    assert {r.host: (r.registered, r.tier) for r in out} == hosts
 
 
 def test_normalise_and_home(rows):
