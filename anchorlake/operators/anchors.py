@@ -32,24 +32,37 @@ def anchor_distribution(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
 
 
 def top_anchors(distribution: DataFrame, limit: int = 25) -> DataFrame:
-    total = distribution.agg(F.sum("n")).scalar()
-    return distribution.orderBy(F.desc("n"), "anchor").limit(limit).select(
-        "anchor", "kind", "n", F.bround(100.0 * F.col("n") / total, 1).alias("share"))
+    total = distribution.agg(F.sum("n").alias("_total"))  # one row
+    return distribution.orderBy(F.desc("n"), "anchor").limit(limit).crossJoin(F.broadcast(total)).select(
+        "anchor", "kind", "n", F.bround(100.0 * F.col("n") / F.col("_total"), 1).alias("share"))
 
 
 def anchor_summary(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """One row: totals, kinds, the most common anchor, followed links."""
+    """One row: totals, kinds, the most common anchor, followed links.
+
+    Rows are read once: every row gives one entry for itself and one for each anchor.
+    """
     kinds = ["branded", "naked-url", "generic", "image-empty", "keyword"]
-    dist = anchor_distribution(rows, cfg)
-    top = dist.orderBy(F.desc("n"), "anchor").limit(1).select("anchor").scalar()
-    followed = rows.agg(F.count_if(
-        F.coalesce("link_found", F.lit(False)) & F.coalesce("is_followed", F.lit(False)))).scalar()
-    return dist.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct_anchors"),
-        F.max("n").alias("top_n"),
-        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(
-            k.replace("-", "_")) for k in kinds]).select(
-                "*", followed.alias("followed"), top.alias("top_anchor"))
+    found = F.coalesce(F.col("link_found"), F.lit(False))
+    if "anchor_list" in rows.columns:
+        pieces = F.array_distinct("anchor_list")
+    else:
+        pieces = F.split(F.coalesce("anchor_texts", F.lit("")), r"\|")
+    anchors = F.filter(F.transform(pieces, lambda p: F.lower(F.trim(p))), lambda a: a != "")
+    entry = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.when(found, anchors).otherwise(
+        F.array().cast("array<string>")))).alias("anchor")
+    followed = (found & F.coalesce("is_followed", F.lit(False))).cast("int").alias("followed")
+    counted = rows.select(entry, followed).groupBy("anchor").agg(
+        F.count("*").alias("n"), F.sum("followed").alias("followed")).withColumn(
+        "kind", anchor_kind(F.col("anchor"), cfg.brands()))
+    real = F.col("anchor").isNotNull()
+    n = F.when(real, F.col("n"))
+    return counted.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.count("anchor").alias("distinct_anchors"),
+        F.max(n).alias("top_n"),
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(k.replace("-", "_")) for k in kinds],
+        F.coalesce(F.sum(F.when(~real, F.col("followed"))), F.lit(0)).alias("followed"),
+        F.min(F.when(real, F.struct((-F.col("n")).alias("less"), "anchor")))["anchor"].alias("top_anchor"))
 
 
 def anchor_warnings(rows: DataFrame, cfg: AuditConfig) -> DataFrame:

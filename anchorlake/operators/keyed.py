@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from anchorlake.session import cut_lineage
 
-# A key with more rows than this on the probing side counts as hot. At most
-# rows / HOT_KEY_ROWS keys can be hot, which bounds what is broadcast.
-HOT_KEY_ROWS = 1_000_000
+# A key counts as hot if it holds more than 1 / HOT_KEYS of all rows of the probing side, so
+# there are at most HOT_KEYS of them however large the tables are.
+HOT_KEYS = 1_000
 
 
 def _whole_row(df: DataFrame, keys: list[str]) -> Column:
@@ -45,16 +45,17 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 def lookup(
     left: DataFrame, right: DataFrame, key: str, key_source: DataFrame | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left join to ``right``, which holds one row per ``key``.
 
     Null keys are spread instead of meeting in one task. Hot keys are split at run
     time by adaptive execution, which costs no extra pass. Where the keys can be
     counted cheaply (a scan or a checkpointed frame, given as ``key_source``), they
-    are also routed explicitly: rows of a key with more than ``hot_rows`` rows get
-    their right row from a broadcast of just those keys and take an evenly spread
-    key through the shuffle. Nothing is dropped or sampled either way.
+    are also routed explicitly: rows of a key that holds more than 1 / ``hot_keys`` of
+    all rows get their right row from a broadcast of just those keys, at most ``hot_keys``
+    rows, and take an evenly spread key through the shuffle. Nothing is dropped or
+    sampled either way.
     """
     values = [c for c in right.columns if c != key]
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
@@ -63,8 +64,10 @@ def lookup(
     if key_source is None:
         joined = left.withColumn("_key", F.coalesce(own, spread)).join(cold, "_key", "left")
         return joined.select(*left.columns, *[F.col("_cold")[c].alias(c) for c in values])
-    hot = key_source.groupBy(key).agg(F.count("*").alias("_n")).where(
-        (F.col("_n") > hot_rows) & F.col(key).isNotNull()).select(key)
+    counts = key_source.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).where(
+        (F.col("_n") * hot_keys > F.col("_all")) & F.col(key).isNotNull()).select(key)
     hot_right = right.join(F.broadcast(hot), key, "left_semi").select(
         key, F.struct(*values).alias("_hot"))
     marked = left.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), key, "left").join(

@@ -18,7 +18,6 @@ from anchorlake.session import cut_lineage
 
 METRICS = list(fixed.METRIC_HEADERS)
 POSITIONAL = ["da", "pa", "spam_score", "backlinks", "quality_backlinks"]
-HEADER_ROWS = 25
 
 
 def _column_of(cells: Column, pattern: str) -> Column:
@@ -29,19 +28,11 @@ def _column_of(cells: Column, pattern: str) -> Column:
 
 
 def find_headers(cells: DataFrame, enough: Column, columns: dict[str, Column]) -> DataFrame:
-    """Header row per file: the first row of the first 25 for which ``enough`` holds.
-
-    Only rows that look like headers survive the first aggregate; their position is
-    then checked by counting, so no file is ever collected or numbered as a whole.
-    """
+    """Header row per file: the first row for which ``enough`` holds, wherever it stands."""
     candidates = cells.select("file", "row_no", F.struct(*[
         c.alias(n) for n, c in columns.items()]).alias("at"), enough.alias("ok")).where("ok")
-    first = candidates.groupBy("file").agg(
+    return candidates.groupBy("file").agg(
         F.min("row_no").alias("header_row"), F.min_by("at", "row_no").alias("at"))
-    before = lookup(cells.select("file", "row_no"), first.select("file", "header_row"), "file",
-                    key_source=cells.select("file")).groupBy("file").agg(
-                        F.count_if(F.col("row_no") < F.col("header_row")).alias("_before"))
-    return first.join(before, "file").where(F.col("_before") < HEADER_ROWS).drop("_before")
 
 
 def parse_metric_cells(cells: DataFrame) -> DataFrame:
@@ -183,13 +174,24 @@ def _records(node: Any) -> Iterator[dict]:
         pending.extend(reversed(children))
 
 
+def unreadable_payloads(payloads: DataFrame) -> DataFrame:
+    """How many payloads are null or no JSON."""
+    return payloads.agg(F.count_if(F.col("payload").isNull() | F.try_parse_json("payload").isNull()).alias("unreadable"))
+
+
 def walk_payload(payloads: DataFrame) -> DataFrame:
-    """Metrics found anywhere in JSON payloads of unknown shape."""
+    """Metrics found anywhere in JSON payloads of unknown shape; unreadable ones hold none."""
     fields = ["target", *_METRIC_KEYS]
 
+    def records_of(text: str | None) -> list[dict]:
+        try:
+            return list(_records(json.loads(text))) if text else []
+        except ValueError:
+            return []
+
     @F.pandas_udf("array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>")
     def records(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(_records(json.loads(t))))
+        return texts.map(records_of)
 
     rows = payloads.select("seq", F.posexplode(records("payload")).alias("pos", "i")).select(
         "seq", "pos", U.registered_domain(F.col("i.target")).alias("registered"),

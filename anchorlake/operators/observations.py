@@ -2,53 +2,74 @@
 
 from __future__ import annotations
 
-import urllib.parse
-from urllib.robotparser import RobotFileParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from anchorlake import fixed_values as fixed
 from anchorlake.functions import urls as U
 from anchorlake.operators.columns import Row
-from anchorlake.operators.keyed import first_per_key, lookup
+from anchorlake.operators.keyed import first_per_key, last_per_key, lookup
 
 ROBOTS_AGENT = "Googlebot"
-ROBOTS_MAX_BYTES = 500_000
 
 
 # ---------------------------------------------------------------- robots -----
-_RULES = T.ArrayType(T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())]))
+def robots_lines(robots: DataFrame) -> DataFrame:
+    """origin, at, kind, value for the lines of stored robots files that mean something.
+
+    Kinds: ``agent``, ``allow``, ``disallow``, ``other`` (a directive that closes a list of
+    agents) and ``blank``.
+    """
+    usable = first_per_key(robots.where(F.col("status") == 200).select("origin", "body"), ["origin"], [F.col("body")])
+    lines = usable.select("origin", F.posexplode(F.split("body", "\r\n|\n|\r")).alias("at", "line"))
+    bare = F.trim(F.regexp_replace(F.substring_index("line", "#", 1), r"^\s+|\s+$", ""))
+    field = F.lower(F.trim(F.substring_index(bare, ":", 1)))
+    value = F.regexp_replace(F.regexp_replace(bare, "^[^:]*:", ""), r"^\s+|\s+$", "")
+    kind = (
+        F.when(F.col("line").rlike(r"^\s*$"), "blank").when(~bare.contains(":"), None)
+        .when(field == "user-agent", "agent").when(field.isin("allow", "disallow"), field)
+        .when(field.isin("crawl-delay", "request-rate"), "other"))
+    return lines.select("origin", "at", kind.alias("kind"), value.alias("value")).where(F.col("kind").isNotNull())
 
 
-@F.pandas_udf(_RULES)
-def _agent_rules(bodies: pd.Series) -> pd.Series:
-    """The rules of the group that applies to our agent, in file order."""
-    def rules(body: str) -> list[dict]:
-        parser = RobotFileParser()
-        parser.parse(body.splitlines())
-        groups = parser.entries + ([parser.default_entry] if parser.default_entry else [])
-        mine = next((g for g in groups if g.applies_to(ROBOTS_AGENT)), None)
-        return [{"path": urllib.parse.unquote(line.path), "allow": line.allowance}
-                for line in (mine.rulelines if mine else [])]
-    return bodies.map(rules)
+def _decoded(path: Column) -> Column:
+    """Percent-decoded; a path that is no valid encoding stays as it is."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path)
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """Rules per origin from stored robots files; a missing or huge file allows all."""
-    usable = robots.where((F.col("status") == 200) & (F.octet_length("body") < ROBOTS_MAX_BYTES))
-    one = first_per_key(usable.select("origin", "body"), ["origin"], [F.col("body")])
-    return one.select("origin", _agent_rules("body").alias("rules"))
+    """The rules of the group that applies to our agent, in file order, for each origin.
+
+    Agent lines in a row and the rules below them, up to a blank line, are a group. The
+    first group that names our agent applies, else the first one for all agents. A missing
+    or failed file has no rules, and so does a group without any: everything is allowed.
+    """
+    in_file = W.partitionBy("origin").orderBy("at")
+    lines = robots_lines(robots).withColumn("before", F.lag("kind").over(in_file))
+    opens = (F.col("kind") == "blank") | (F.col("kind") == "agent") & (
+        F.coalesce("before", F.lit("")) != "agent")
+    grouped = lines.withColumn("part", F.sum(opens.cast("int")).over(in_file))
+    agent, named = F.lower("value"), F.col("kind") == "agent"
+    groups = grouped.groupBy("origin", "part").agg(
+        F.count_if(named).alias("agents"), F.count_if(~named & (F.col("kind") != "blank")).alias("rules"),
+        F.max(named & (F.col("value") == "*")).alias("for_all"),
+        F.max(named & (F.instr(F.lit(ROBOTS_AGENT.lower()), agent) > 0)).alias("for_us"))
+    rank = F.when(F.col("for_all"), 1).when(F.col("for_us"), 0)
+    ours = groups.where((F.col("agents") > 0) & (F.col("rules") > 0) & rank.isNotNull()).groupBy("origin").agg(
+        F.min_by("part", F.struct(rank.alias("rank"), "part")).alias("part"))
+    rules = grouped.where(F.col("kind").isin("allow", "disallow")).join(ours, ["origin", "part"])
+    # one file's rules are one value; closing nothing means allowing everything
+    rule = F.struct("at", _decoded(F.col("value")).alias("path"), (
+        (F.col("kind") == "allow") | (F.col("value") == "")).alias("allow"))
+    return rules.groupBy("origin").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
 
 
 def robots_verdict(urls: DataFrame, robots: DataFrame, url_col: str = "url") -> DataFrame:
     """Add robots_blocked: the first rule whose path prefixes the URL's path decides."""
     path = F.regexp_extract(
         F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?[^/?#]*([^#]*)", 1)
-    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path)
+    decoded = _decoded(path)
     keyed = urls.withColumn("_origin", U.origin_of(F.col(url_col))).withColumn(
         "_path", F.when(decoded == "", "/").otherwise(decoded))
     rules = robots_rules(robots).withColumnRenamed("origin", "_origin")
@@ -127,7 +148,7 @@ def hosting_stats(hosting: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- archive -----
 def recover_from_archive(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """What dead pages used to say, from analysed snapshots.
+    """What dead pages used to say, from the newest analysed snapshot of each.
 
     ``snapshots`` has url, snapshot_url, ts (YYYYMMDD...) and, where the snapshot
     could be read, the page features page_title, link_found and anchor_texts.
@@ -137,7 +158,7 @@ def recover_from_archive(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.col("url").alias("_dead"), F.col("snapshot_url"), r.text("ts").alias("_ts"),
         r.get("page_title").cast("string").alias("_title"),
         r.get("link_found").cast("boolean").alias("_found"), r.text("anchor_texts").alias("_anchor"))
-    newest = first_per_key(facts, ["_dead"], [F.col("_ts"), F.col("snapshot_url")])
+    newest = last_per_key(facts, ["_dead"], [F.col("_ts"), F.col("snapshot_url")])
     dead = F.col("status_verdict").isin("DEAD", "GONE", "DNS_ERROR")
     out = lookup(rows.withColumn("_dead", F.when(dead, F.col("url"))), newest, "_dead")
     have = F.coalesce("snapshot_url", F.lit("")) != ""

@@ -434,10 +434,13 @@ def headline_counts(t):
     return rundiff.headline_counts(rundiff.run_diff(*_runs(t)))
 
 
-@query("domain_fold", f"""WITH r AS ({NEW}) SELECT registered, url, verdict FROM r
+@query("domain_fold", f"""WITH r AS ({_RUN.split(' WHERE month')[0]}) SELECT registered, url, verdict FROM r
 QUALIFY row_number() OVER (PARTITION BY registered ORDER BY {_SEVERITY.format(v='verdict')} DESC, seq) = 1""")
 def domain_fold(t):
-    return rundiff.fold_domains(_runs(t)[1])
+    """One run over all orders."""
+    from anchorlake.plans.q_status import _split_select
+
+    return rundiff.fold_domains(t.orders.selectExpr(*_split_select(_RUN.split(" WHERE month")[0])))
 
 
 @query("domain_changes", f"""WITH o AS (SELECT DISTINCT registered FROM ({OLD})), n AS (SELECT DISTINCT registered FROM ({NEW}))

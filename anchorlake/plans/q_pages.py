@@ -92,6 +92,11 @@ _TEXTS = "regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)"
 _FOUND = f"({_DOMAIN} IN ('example.com', 'example.org') AND len({_HREFS}) > 0)"
 
 
+_ANCHOR_TEXTS = _unescaped(f'''(SELECT string_agg(x, ' | ' ORDER BY i) FROM (
+    SELECT min(i) AS i, trim(x) AS x FROM (SELECT unnest({_TEXTS}) AS x, generate_subscripts({_TEXTS}, 1) AS i)
+    GROUP BY 2))''')
+
+
 @query("target_links", f"""
 SELECT page_id, {_FOUND} AS link_found, CASE WHEN {_FOUND} THEN len({_HREFS}) ELSE 0 END AS link_count,
   CASE WHEN NOT {_FOUND} THEN '' ELSE CASE page_id % 7 WHEN 1 THEN 'in-content' WHEN 2 THEN 'boilerplate'
@@ -101,9 +106,7 @@ SELECT page_id, {_FOUND} AS link_found, CASE WHEN {_FOUND} THEN len({_HREFS}) EL
   CASE WHEN NOT {_FOUND} THEN '' WHEN page_id % 5 = 0 THEN 'nofollow, ugc' WHEN page_id % 5 = 1 THEN 'sponsored'
     ELSE '' END AS link_rel,
   {_FOUND} AND page_id % 5 > 1 AS is_followed,
-  CASE WHEN {_FOUND} THEN {_unescaped(f'''(SELECT string_agg(x, ' | ' ORDER BY i) FROM (
-    SELECT min(i) AS i, trim(x) AS x FROM (SELECT unnest({_TEXTS}) AS x, generate_subscripts({_TEXTS}, 1) AS i)
-    GROUP BY 2))''')} ELSE '' END AS anchor_texts
+  CASE WHEN {_FOUND} THEN {_ANCHOR_TEXTS} ELSE '' END AS anchor_texts
 FROM pages""")
 def target_links(t):
     found = links.with_link_features(pages.parse_pages(_varied(t)), CFG)
@@ -125,16 +128,18 @@ def indexability(t):
         "description", "hidden_text")
 
 
-@query("readable_pages", """
+@query("readable_pages", f"""
 WITH k AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/HTML; charset=utf-8'
   WHEN 2 THEN NULL WHEN 3 THEN 'image/png' ELSE 'application/xhtml+xml' END AS content_type FROM pages)
-SELECT coalesce(content_type, '') AS content_type, count(*) AS n FROM k WHERE page_id % 5 NOT IN (0, 3) GROUP BY 1""")
+SELECT coalesce(content_type, '') AS content_type, count(*) AS n, sum(len({_HREFS}))::BIGINT AS links
+FROM k JOIN pages USING (page_id) WHERE page_id % 5 NOT IN (0, 3) GROUP BY 1""")
 def readable(t):
-    kinds = t.pages.selectExpr("page_id", """CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'application/pdf'
+    kinds = spread(t.pages).selectExpr("page_id", "url", "html", """CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'application/pdf'
       WHEN 1 THEN 'text/HTML; charset=utf-8' WHEN 2 THEN NULL WHEN 3 THEN 'image/png'
       ELSE 'application/xhtml+xml' END AS content_type""")
-    return pages.readable_pages(kinds).groupBy(
-        F.coalesce("content_type", F.lit("")).alias("content_type")).agg(F.count("*").alias("n"))
+    return pages.parse_pages(pages.readable_pages(kinds)).groupBy(
+        F.coalesce("content_type", F.lit("")).alias("content_type")).agg(
+        F.count("*").alias("n"), F.sum(F.size("links")).cast("long").alias("links"))
 
 
 @query("lang_mismatch", """

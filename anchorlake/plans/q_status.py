@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from anchorlake.config import AuditConfig
-from anchorlake.operators import fetchlog, observations, pacing
-from anchorlake.operators.keyed import first_per_key
+from anchorlake.operators import fetchlog, links, observations, pacing, pages
+from anchorlake.plans.q_pages import _ANCHOR_TEXTS, _FOUND, _TITLE, CFG
 from anchorlake.plans.q_urls import STATUS_GROUP_SQL, _VERDICT_SQL
 from anchorlake.plans.registry import query
+from anchorlake.session import spread
 
 # events as a log of attempts: a user is a host, an event type a rung of the ladder
 _URL = """concat(CASE WHEN user_id % 4 = 0 THEN 'http' ELSE 'https' END, '://h', CAST(user_id AS STRING),
@@ -214,23 +215,28 @@ def hosting_stats(t):
     return observations.hosting_stats(named.withColumn("shared_host", shared).withColumn("vps_host", vps))
 
 
-@query("archive_recovery", """
-WITH r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE' WHEN 2 THEN 'DNS_ERROR' ELSE 'LIVE' END AS v,
-    page_id % 5 <> 0 AS snap, page_id % 3 = 0 AS found, regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1) AS anchor FROM pages)
-SELECT page_id, v <> 'LIVE' AND snap AS archive_available,
-  CASE WHEN v <> 'LIVE' AND snap THEN concat('2023-0', 1 + page_id % 9, '-15') ELSE '' END AS archive_date,
-  v <> 'LIVE' AND snap AND found AS archive_link_found,
-  CASE WHEN v <> 'LIVE' AND snap AND found THEN anchor ELSE '' END AS archive_anchor FROM r""")
+@query("archive_recovery", f"""
+WITH r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE' WHEN 2 THEN 'DNS_ERROR' ELSE 'LIVE' END <> 'LIVE'
+    AND page_id % 5 <> 0 AS known, {_FOUND} AND page_id % 3 = 0 AS found, {_TITLE} AS title, {_ANCHOR_TEXTS} AS anchors FROM pages)
+SELECT page_id, known AS archive_available,
+  CASE WHEN known THEN concat('2023-0', 1 + page_id % 9, '-15') ELSE '' END AS archive_date,
+  CASE WHEN known THEN title ELSE '' END AS archive_title, known AND found AS archive_link_found,
+  CASE WHEN known AND found THEN anchors ELSE '' END AS archive_anchor FROM r""")
 def archive_recovery(t):
+    """Three snapshots per page, the newest with links on every third page only; all are parsed."""
     rows = t.pages.selectExpr("page_id", "url", """CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE'
       WHEN 2 THEN 'DNS_ERROR' ELSE 'LIVE' END AS status_verdict""")
-    snap = t.pages.selectExpr(
-        "CASE WHEN page_id % 5 = 0 THEN concat('unlinked:', url) ELSE url END AS url", "concat('https://archive.example/', CAST(page_id AS STRING)) AS snapshot_url", "page_id % 3 = 0 AS link_found",
-        "CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) ELSE '' END AS anchor_texts",
-        "explode(array('20220115000000', concat('20230', CAST(1 + page_id % 9 AS STRING), '15120000'))) AS ts")
-    newest = first_per_key(snap, ["url"], [-F.col("ts").cast("long")])
-    return observations.recover_from_archive(rows, newest).select(
-        "page_id", "archive_available", "archive_date", "archive_link_found", "archive_anchor")
+    bare = "regexp_replace(html, '<a href=\"[^\"]*\">[^<]*</a>', '')"
+    copies = f"""explode(array(struct('20220115000000' AS ts, {bare} AS html),
+      struct(concat('20230', CAST(1 + page_id % 9 AS STRING), '15120000') AS ts, CASE WHEN page_id % 3 = 0 THEN html ELSE {bare} END AS html),
+      struct('20211231235959' AS ts, html AS html))) AS s"""
+    snaps = spread(t.pages).selectExpr("page_id", "url", copies).select("page_id", "url", "s.ts", "s.html")
+    seen = links.with_link_features(pages.parse_pages(snaps), CFG).select(
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("unlinked:"), "url")).otherwise(F.col("url")).alias("url"),
+        F.concat(F.lit("https://archive.example/"), "page_id", F.lit("/"), "ts").alias("snapshot_url"), "ts",
+        F.col("title").alias("page_title"), "link_found", "anchor_texts")
+    return observations.recover_from_archive(rows, seen).select(
+        "page_id", "archive_available", "archive_date", "archive_title", "archive_link_found", "archive_anchor")
 
 
 # responses: a user is a host

@@ -1,6 +1,6 @@
 """Rule tables that users replace: spam keywords, markers, authority sites.
 
-The defaults are small. Pass a longer list, or load one with ``keyword_rules``,
+The defaults are small. Pass a longer list, or load one with ``load_keyword_rules``,
 to match your own niche; every scan takes its rules as a parameter.
 """
 
@@ -32,32 +32,48 @@ def keyword_rules(rows: Iterable[tuple]) -> list[Keyword]:
     return [rule for words in by_category.values() for rule in words.values()]
 
 
-# A compact starting set. ``True`` marks words with no innocent reading.
+def load_keyword_rules(path: str) -> list[Keyword]:
+    """Rules from a YAML file: category -> words, a leading ``!`` marks an unambiguous word.
+
+    The file is read on the driver; it is configuration, not data.
+    """
+    import yaml
+
+    with open(path, encoding="utf-8") as file:
+        given = yaml.safe_load(file) or {}
+    return keyword_rules((category, str(word).lstrip("!"), str(word).startswith("!"))
+                         for category, words in given.items() for word in words or [])
+
+
+def load_authority(path: str) -> dict[str, list[str]]:
+    """Group -> sites from a YAML file, for ``authority_dim``."""
+    import yaml
+
+    with open(path, encoding="utf-8") as file:
+        return {str(group): [str(site) for site in sites or []]
+                for group, sites in (yaml.safe_load(file) or {}).items()}
+
+
+def _words(category: str, plain: str, unambiguous: str) -> list[tuple]:
+    return [(category, w.strip()) for w in plain.split(",")] + [(category, w.strip(), True) for w in unambiguous.split(",")]
+
+
+# A starting set of our own; give complete lists with ``load_keyword_rules``. The second list
+# of each category holds words without an innocent reading.
 DEFAULT_KEYWORDS = keyword_rules([
-    ("adult / 18+", "porn"), ("adult / 18+", "escort"), ("adult / 18+", "hentai"),
-    ("adult / 18+", "nsfw"), ("adult / 18+", "sexcam"), ("adult / 18+", "sex"),
-    ("adult / 18+", "bokep", True), ("adult / 18+", "pornhub", True),
-    ("adult / 18+", "порно", True),
-    ("gambling / betting", "casino"), ("gambling / betting", "betting"),
-    ("gambling / betting", "poker"), ("gambling / betting", "roulette"),
-    ("gambling / betting", "jackpot"), ("gambling / betting", "sportsbook"),
-    ("gambling / betting", "togel", True), ("gambling / betting", "gacor", True),
-    ("gambling / betting", "situs slot", True), ("gambling / betting", "judi", True),
-    ("gambling / betting", "deneme bonusu", True), ("gambling / betting", "casino siteleri", True),
-    ("gambling / betting", "1xbet", True), ("gambling / betting", "казино", True),
-    ("gambling / betting", "букмекер", True), ("gambling / betting", "สล็อต", True),
-    ("gambling / betting", "온라인카지노", True), ("gambling / betting", "博彩", True),
-    ("pharma / pills", "viagra", True), ("pharma / pills", "cialis", True),
-    ("pharma / pills", "steroids"), ("pharma / pills", "online-pharmacy"),
-    ("pharma / pills", "buy-pills"), ("pharma / pills", "no-prescription", True),
-    ("financial scam / payday", "payday-loan"), ("financial scam / payday", "ponzi"),
-    ("financial scam / payday", "binary-option"), ("financial scam / payday", "get-rich"),
-    ("blackhat SEO / essay mills", "buy-backlinks"), ("blackhat SEO / essay mills", "link-farm"),
-    ("blackhat SEO / essay mills", "write-my-essay"), ("blackhat SEO / essay mills", "cloaking"),
-    ("piracy / warez", "warez"), ("piracy / warez", "keygen"), ("piracy / warez", "torrent"),
-    ("piracy / warez", "123movies", True),
-    ("counterfeit goods", "replica-watch"), ("counterfeit goods", "counterfeit"),
-    ("counterfeit goods", "aaa-replica", True),
+    *_words("adult", "porn, escort, striptease, sex chat, webcam girls, erotic massage, nude photos",
+            "sex videos free, live sex cams, порно видео"),
+    *_words("gambling", "casino, poker, roulette, blackjack, slot machine, sports bet, free spins, odds calculator",
+            "situs slot, gacor, deneme bonusu, no deposit bonus, казино, สล็อต, 온라인카지노, 博彩"),
+    *_words("medicines", "viagra, weight-loss pills, painkillers online, sleeping pills, miracle cure",
+            "no-prescription needed, cheap viagra, buy oxycodone"),
+    *_words("money schemes", "quick loan, payday advance, get-rich, binary trading, crypto giveaway",
+            "double your bitcoin, guaranteed returns"),
+    *_words("link trade", "buy links, link exchange, cloaking, paid guest posts, essay service",
+            "buy cheap backlinks, private blog network links"),
+    *_words("pirated works", "crack download, torrent, license key generator, full movie download",
+            "free keygen download, watch pirated movies"),
+    *_words("fake goods", "replica handbags, imitation watches, counterfeit", "fake passports for sale, replica rolex"),
 ])
 
 DEFAULT_PARKED = list(fixed.PARKED_MARKERS)

@@ -147,9 +147,17 @@ def dedup_first(df: DataFrame, order: list[str], url_col: str = "url") -> DataFr
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of saved run files; ``seq`` is the row's place in its file."""
-    runs = spark.read.option("multiLine", True).json(path)
-    return runs.select(F.posexplode("rows").alias("seq", "r")).select("r.*", "seq")
+    """Rows of saved runs; ``seq`` grows with a row's place in its file.
+
+    Runs that ``write_run`` saved are JSON lines and are read in parallel; a file that is one
+    document with a list of ``rows`` is exploded.
+    """
+    lines = spark.read.json(path)
+    if "rows" in lines.columns or "_corrupt_record" in lines.columns:
+        runs = spark.read.option("multiLine", True).json(path)
+        return runs.select(F.posexplode("rows").alias("seq", "r")).select(
+            "r.*", F.col("seq").cast("long").alias("seq"))
+    return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
 def select_rerun(rows: DataFrame, verdicts: list[str] | None, default_target: str = "") -> DataFrame:
@@ -168,7 +176,6 @@ def select_rerun(rows: DataFrame, verdicts: list[str] | None, default_target: st
 
 # ------------------------------------------------------------ cell files -----
 SKIPPED_NAMES = ["readme", "read-me", "instructions", "notes", "help"]
-MAX_CELLS = 64
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
@@ -188,12 +195,14 @@ def split_cells(lines: DataFrame) -> DataFrame:
     from anchorlake.operators.keyed import lookup
 
     known = lookup(lines, votes.select("file", chosen.alias("_sep")), "file")
-    schema = ", ".join(f"c{i} string" for i in range(MAX_CELLS))
 
     def by_delimiter(d: str) -> Column:
-        cells = F.from_csv("line", schema, {"sep": d})
-        return F.slice(F.array(*[F.trim(cells[f"c{i}"]) for i in range(MAX_CELLS)]), F.lit(1),
-                       F.least(F.lit(MAX_CELLS), F.regexp_count("line", F.lit(f"[{d}]")) + 1))
+        """A row's own cells, however many: quoted ones, with doubled quotes, or plain ones."""
+        cell = rf'(?:^|[{d}])\s*(?:"((?:[^"]|"")*)"[^{d}]*|([^{d}]*))'
+        quoted = F.regexp_extract_all("line", F.lit(cell), F.lit(1))
+        plain = F.regexp_extract_all("line", F.lit(cell), F.lit(2))
+        return F.zip_with(quoted, plain, lambda q, p: F.trim(
+            F.when(q != "", F.regexp_replace(q, '""', '"')).otherwise(p)))
 
     wide = F.split(F.trim("line"), r"\t+|\s{2,}")
     loose = F.when(F.size(wide) == 1, F.split(F.trim("line"), r"\s+")).otherwise(wide)
@@ -215,8 +224,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 def read_sheet(cells: DataFrame) -> DataFrame:
     """Master-sheet cells to (file, row_no, host, da, spam_score, status, notes) texts.
 
-    The first row with a host header among the first 25 names the columns, the first
-    match per field counts; a file without one has its hosts in the first column.
+    The first row with a host header names the columns, the first match per field counts; a file without one has its hosts in the first column.
     """
     from anchorlake.functions.text import clean_host_cell
     from anchorlake.operators.keyed import lookup

@@ -19,7 +19,7 @@ def test_lookup_hot_null_and_missing_keys(spark):
     right = spark.createDataFrame([("hot", 1, "x"), ("k4", 2, None), ("k7", None, "z")], "k string, a int, b string")
     plain = sorted(map(tuple, left.join(right, "k", "left").select("id", "k", "a", "b").collect()), key=str)
     for source in (None, left):
-        out = lookup(left, right, "k", key_source=source, hot_rows=50)
+        out = lookup(left, right, "k", key_source=source, hot_keys=20)
         assert out.columns == ["id", "k", "a", "b"]
         assert sorted(map(tuple, out.collect()), key=str) == plain
 

@@ -140,5 +140,5 @@ def test_links_with_their_own_targets(spark):
     listed = spark.createDataFrame([("https://a.net/p", "mine.com", "", ""), ("https://b.net/p", "", "", "")],
                                    "url string, target string, anchor string, notes string")
     cfg = AuditConfig(target_site="theirs.com")
-    out = audit(listed, Observations(stored), cfg, classify.authority_dim(spark), cluster=False, own_targets=True)
+    out = audit(listed, Observations(stored), cfg, classify.authority_dim(spark), cluster=False)
     assert {r.url: r.link_found for r in out.collect()} == {"https://a.net/p": True, "https://b.net/p": False}
