@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorlake.config import AuditConfig
-from anchorlake.operators.keyed import Ordered
+from anchorlake.operators.keyed import Ordered, lookup
 
 
 @dataclass(frozen=True)
@@ -65,34 +65,41 @@ def _segments(batches: Iterator[pd.DataFrame]):
             yield key, rows
 
 
-def pacing_batch(responses: DataFrame, cfg: AuditConfig, seq: str = "seq") -> DataFrame:
+def pacing_batch(
+    responses: DataFrame, cfg: AuditConfig, seq: str = "seq", before: DataFrame | None = None
+) -> DataFrame:
     """Per host: current delay, peak delay, pushbacks and responses.
 
     ``responses`` has host, ts, status, retry_after and a unique ``seq`` that orders
-    equal timestamps.
+    equal timestamps. ``before`` is the result for all earlier responses, to go on from.
     """
     pace = Pace.of(cfg)
     rows = responses.where(F.coalesce("host", F.lit("")) != "").select(
         "host", "ts", F.col(seq).alias("seq"), F.col("status").cast("double").alias("status"),
         F.col("retry_after").cast("double").alias("retry_after"))
+    if before is None:
+        rows = rows.withColumn("_from", F.lit(pace.base))
+    else:
+        rows = lookup(rows, before.select("host", F.col("delay").alias("_from")), "host").withColumn(
+            "_from", F.coalesce("_from", F.lit(pace.base)))
     ordered = Ordered(rows, [F.col("host"), F.col("ts"), F.col("seq")])
 
     def composed(batches):
-        at, total = None, IDENTITY
+        at, total, begun, names = None, IDENTITY, pace.base, ["range", "host", "m", "lo", "hi", "begun"]
         for key, part in _segments(batches):
             if key != at:
                 if at is not None:
-                    yield pd.DataFrame([(*at, *total)], columns=["range", "host", "m", "lo", "hi"])
-                at, total = key, IDENTITY
+                    yield pd.DataFrame([(*at, *total, begun)], columns=names)
+                at, total, begun = key, IDENTITY, part["_from"].iloc[0]
             for status, retry in zip(part["status"].to_numpy(), part["retry_after"].to_numpy()):
                 step = pace.step(status, retry)
                 if step:
                     total = compose(total, step)
         if at is not None:
-            yield pd.DataFrame([(*at, *total)], columns=["range", "host", "m", "lo", "hi"])
+            yield pd.DataFrame([(*at, *total, begun)], columns=names)
 
     def starts(segments: pd.DataFrame) -> pd.DataFrame:
-        out, delay = [], pace.base
+        out, delay = [], segments["begun"].iloc[0]
         for s in segments.sort_values("range").itertuples():
             out.append((s.range, s.host, delay))
             delay = apply((s.m, s.lo, s.hi), delay)
@@ -103,8 +110,8 @@ def pacing_batch(responses: DataFrame, cfg: AuditConfig, seq: str = "seq") -> Da
         (F.min("_range") != F.max("_range")).alias("cut")).where("cut").select("host")
     cut_rows = ordered.rows.join(F.broadcast(spans), "host", "left_semi")
     first_delays = cut_rows.sortWithinPartitions("_range", "host", "ts", "seq").select(
-        "_range", "host", "status", "retry_after").mapInPandas(
-            composed, "range int, host string, m double, lo double, hi double"
+        "_range", "host", "status", "retry_after", "_from").mapInPandas(
+            composed, "range int, host string, m double, lo double, hi double, begun double"
         ).groupBy("host").applyInPandas(starts, "_range int, host string, _start double")
 
     def replay(batches):
@@ -115,7 +122,7 @@ def pacing_batch(responses: DataFrame, cfg: AuditConfig, seq: str = "seq") -> Da
                 if at is not None:
                     yield pd.DataFrame([(*at, delay, peak, pushed, seen)], columns=names)
                 start = part["_start"].iloc[0]
-                delay = pace.base if start != start or start is None else start
+                delay = part["_from"].iloc[0] if start != start or start is None else start
                 at, peak, pushed, seen = key, 0.0, 0, 0
             seen += len(part)
             for status, retry in zip(part["status"].to_numpy(), part["retry_after"].to_numpy()):
@@ -130,11 +137,17 @@ def pacing_batch(responses: DataFrame, cfg: AuditConfig, seq: str = "seq") -> Da
 
     replayed = ordered.rows.join(F.broadcast(first_delays), ["_range", "host"], "left") \
         .sortWithinPartitions("_range", "host", "ts", "seq").select(
-            "_range", "host", "status", "retry_after", "_start").mapInPandas(
+            "_range", "host", "status", "retry_after", "_from", "_start").mapInPandas(
                 replay, "range int, host string, delay double, peak double, pushbacks long, responses long")
-    return replayed.groupBy("host").agg(
+    paced = replayed.groupBy("host").agg(
         F.max_by("delay", "range").alias("delay"), F.max("peak").alias("peak"),
         F.sum("pushbacks").alias("pushbacks"), F.sum("responses").alias("responses"))
+    if before is None:
+        return paced
+    both = paced.alias("n").join(before.alias("b"), "host", "full_outer")
+    total = lambda c: (F.coalesce(f"n.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))).alias(c)
+    return both.select("host", F.coalesce("n.delay", "b.delay").alias("delay"),
+                       F.greatest("n.peak", "b.peak").alias("peak"), total("pushbacks"), total("responses"))
 
 
 def pacing_stats(paced: DataFrame, cfg: AuditConfig) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from anchorlake.functions import text as X
 from anchorlake.operators import links, pages
-from anchorlake.operators.keyed import last_per_key
 from anchorlake.plans.q_audit import _RUN, _diff_sql, _runs
 from anchorlake.plans.q_pages import _FOUND, _WORDS, CFG
 from anchorlake.plans.q_status import PACE_CFG, _RESPONSE, _split_select, pacing_sql
@@ -37,12 +36,8 @@ def stream_pacing(t):
     place = _place(t)
     responses = _stream(t, "events").selectExpr("event_id AS seq", "ts", *_split_select(f"SELECT {_RESPONSE} FROM x"))
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{place}/out/batch={batch_id}")
-
-    _finish(jobs.pacing_stream(responses, PACE_CFG).writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", f"{place}/state"))
-    newest = last_per_key(t.spark.read.parquet(f"{place}/out"), ["host"], [F.col("responses")])
+    _finish(jobs.pacing_stream(responses, PACE_CFG, f"{place}/out", f"{place}/state"))
+    newest = jobs.latest_pacing(t.spark, f"{place}/out")
     return newest.select("host", F.round("delay", 6).alias("delay"), F.round("peak", 6).alias("peak"),
                          "pushbacks", "responses")
 
@@ -52,10 +47,8 @@ SELECT DISTINCT concat('https://u', user_id, '.com/', event_id % 5) AS url FROM
 def stream_unique_urls(t):
     place = _place(t)
     urls = _stream(t, "events").selectExpr(
-        "CAST(ts AS TIMESTAMP) AS ts", """concat(CASE WHEN event_id % 2 = 0 THEN ' ' ELSE 'https://' END,
-          'u', user_id, '.com/', event_id % 5) AS url""")
-    _finish(jobs.unique_urls(urls, "ts", "60 days").writeStream.format("parquet").option(
-        "checkpointLocation", f"{place}/state").option("path", f"{place}/out"))
+        """concat(CASE WHEN event_id % 2 = 0 THEN ' ' ELSE 'https://' END, 'u', user_id, '.com/', event_id % 5) AS url""")
+    _finish(jobs.unique_urls(urls, f"{place}/out", f"{place}/state"))
     return t.spark.read.parquet(f"{place}/out").select("url")
 
 

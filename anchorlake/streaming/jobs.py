@@ -2,69 +2,57 @@
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from anchorlake.config import AuditConfig
 from anchorlake.functions.urls import normalize_url
-from anchorlake.operators.pacing import Pace, apply
+from anchorlake.operators.pacing import pacing_batch
 from anchorlake.operators.rundiff import run_diff
 
 PACE = "host string, delay double, peak double, pushbacks long, responses long"
 
 
-class HostPacing(StatefulProcessor):
-    """Keeps one host's delay; emits it after every micro-batch that touched the host."""
+def pacing_stream(responses: DataFrame, cfg: AuditConfig, path: str, checkpoint: str) -> DataStreamWriter:
+    """Recommended delay per host from a stream of (host, ts, seq, status, retry_after).
 
-    def __init__(self, pace: Pace):
-        self.pace = pace
+    Every micro-batch goes on from the state the one before it left under ``path``, one
+    folder per batch, and replays its responses in range partitions. So a backlog of any
+    size, and a host that owns a third of it, are spread over all tasks, and a retried
+    batch writes the same state again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = batch.sparkSession.read.schema(PACE).parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
+        pacing_batch(batch, cfg, before=before).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "pace", "delay double, peak double, pushbacks long, responses long")
+    return responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        delay, peak, pushed, seen = self.state.get() if self.state.exists() else (self.pace.base, 0.0, 0, 0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for status, retry in zip(batch["status"].to_numpy(), batch["retry_after"].to_numpy()):
-            step = self.pace.step(status, retry)
-            if step:
-                pushed += int(step[0] == 2.0)
-                delay = apply(step, delay)
-                if delay > self.pace.base:
-                    peak = max(peak, delay)
-        seen += len(batch)
-        self.state.update((delay, peak, int(pushed), int(seen)))
-        yield pd.DataFrame({"host": [key[0]], "delay": [delay], "peak": [peak],
-                            "pushbacks": [int(pushed)], "responses": [int(seen)]})
 
-    def close(self) -> None:
-        pass
+def latest_pacing(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the last micro-batch under ``path``."""
+    states = spark.read.option("basePath", path).parquet(path)
+    last = states.select(F.max("batch")).first()[0]  # one number
+    return states.where(F.col("batch") == last).drop("batch")
 
 
-def pacing_stream(responses: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """Recommended delay per host from a stream of (host, ts, seq, status, retry_after).
+def unique_urls(urls: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Each normalised URL once, on its first arrival, however late it arrives again.
 
-    A host's responses of one micro-batch are ordered in one task, so limit the size of
-    a micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); a
-    backlog of any size belongs in ``operators.pacing.pacing_batch``. Needs the RocksDB
-    state store (see ``session.RUNTIME_DEFAULTS``).
+    The URLs found so far are the output itself; a batch adds those it does not hold. A
+    retried batch overwrites its own folder.
     """
-    return responses.select(
-        "host", "ts", "seq", F.col("status").cast("double").alias("status"),
-        F.col("retry_after").cast("double").alias("retry_after")).groupBy("host").transformWithStateInPandas(
-            statefulProcessor=HostPacing(Pace.of(cfg)), outputStructType=PACE,
-            outputMode="Update", timeMode="None")
-
-
-def unique_urls(urls: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Each normalised URL once, on its first arrival within the watermark."""
-    clean = urls.withColumn("url", normalize_url(F.col("url"))).where(F.col("url") != "")
-    return clean.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["url"])
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        clean = batch.select(normalize_url(F.col("url")).alias("url")).where(F.col("url") != "").distinct()
+        if batch_id:
+            known = spark.read.schema("url string").parquet(*[f"{path}/batch={k}" for k in range(batch_id)])
+            clean = clean.join(known, "url", "left_anti")
+        clean.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return urls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def incremental_audit(

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from anchorlake.config import AuditConfig
-from anchorlake.operators.keyed import last_per_key
 from anchorlake.operators.pacing import pacing_batch
 from anchorlake.streaming import jobs
 
@@ -19,14 +18,9 @@ def test_pacing_stream_equals_batch_over_several_batches(spark, tmp_path):
         df.where(f"seq div 30 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={batch_id}"))
-
-    drain(jobs.pacing_stream(stream, AuditConfig()).writeStream.outputMode("update").foreachBatch(write)
-          .option("checkpointLocation", str(tmp_path / "state")))
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.select("batch").distinct().count() == 4
-    newest = last_per_key(out.drop("batch"), ["host"], [F.col("responses")])
+    drain(jobs.pacing_stream(stream, AuditConfig(), str(tmp_path / "out"), str(tmp_path / "state")))
+    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 4
+    newest = jobs.latest_pacing(spark, str(tmp_path / "out"))
     key = lambda r: (r.host, round(r.delay, 9), round(r.peak, 9), r.pushbacks, r.responses)
     assert sorted(map(key, newest.collect())) == sorted(map(key, pacing_batch(df, AuditConfig()).collect()))
 
@@ -49,11 +43,12 @@ def test_incremental_audit_resumes(spark, tmp_path):
 
 def test_unique_urls_stream(spark, tmp_path):
     source = str(tmp_path / "in")
-    spark.createDataFrame([("2024-01-01 00:00:00", "a.com"), ("2024-01-01 00:01:00", "https://a.com"), ("2024-01-01 00:02:00", "b.com"),
-                           ("2024-01-01 00:02:00", " ")], "ts string, url string").selectExpr("CAST(ts AS timestamp) ts", "url").write.parquet(source)
-    stream = spark.readStream.schema("ts timestamp, url string").parquet(source)
-    drain(jobs.unique_urls(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")))
-    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://a.com", "https://b.com"]
+    for urls in (["a.com", "https://a.com", "b.com", " "], ["c.com", "http://a.com"], ["https://b.com", "a.com", None]):
+        spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(source)
+    drain(jobs.unique_urls(stream, str(tmp_path / "out"), str(tmp_path / "state")))
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [
+        "http://a.com", "https://a.com", "https://b.com", "https://c.com"]
 
 
 def test_change_alerts(spark, tmp_path):
