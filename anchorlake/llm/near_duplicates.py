@@ -5,12 +5,16 @@ an inverse document frequency between 1 (in every document) and ``IDF_TOP`` (in
 ``IDF_FLOOR`` of them), so passages that much of the corpus shares count for less. Each of
 BANDS * ROWS samples picks one shingle with the chance its weight gives it, and two texts
 pick the same with the probability of their weighted Jaccard similarity. Texts that agree on
-all samples of a band meet in a bucket, and meetings are verified on the whole texts.
-
-Work in a bucket stays near linear: exact copies are one node from the start, every node is
-verified against one leader of its bucket (the node that meets most others), and only nodes
-that this leaves in different components are compared with each other, except where the
-triangle inequality of the Jaccard distance rules a link out.
+all samples of a band meet in a bucket, and meetings are verified on the whole texts. Weights
+may not hide a pair that shares 0.8 of its shingles: the larger of the weighted and the plain
+Jaccard similarity counts.
+
+Exact copies are one node from the start, and every node is verified against one leader of
+each bucket (the node that meets most others), so a group around a middle text takes one
+comparison per node. Only nodes around one leader that this leaves in different components
+are compared with each other, in blocks of bounded size and only where the triangle
+inequality of the Jaccard distances leaves a link possible. Within a block, a matrix product
+bounds all similarities from above and the pairs it leaves are verified one by one.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from anchorlake.llm.common import type_of
 from anchorlake.llm.components import components
 from anchorlake.llm.registry import query
-from anchorlake.llm.textblocks import blocks, mix, range_hashes, text_bytes, window_hashes, windows, words_of
+from anchorlake.llm.textblocks import BLOCK_ROWS, blocks, mix, range_hashes, text_bytes, window_hashes, windows, words_of
 from anchorlake.session import cut_lineage
 
 SHINGLE = 5
@@ -34,7 +38,8 @@ BANDS, ROWS = 20, 5   # a pair at 0.8 meets with probability 1 - (1 - 0.8 ** 5)
 SEED = 20240607
 DRAWS = 1 << 16       # random draws each sample chooses from by hash
 CELLS = 1 << 16       # cells in which document frequencies are counted
-IDF_FLOOR, IDF_TOP = 0.05, 1.5
+IDF_FLOOR, IDF_TOP = 0.05, 1.2
+BLOCK_NODES, BLOCK_TEXT = 512, 8 << 20  # nodes and bytes of text in one side of a block
 _SLACK = 1e-6
 
 
@@ -134,7 +139,7 @@ def band_keys(ids: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndar
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (of the exact text) and bands; texts under five words have no bands."""
+    """doc_id, key (of the exact text), bytes and bands; texts under five words have no bands."""
     def sign(batches):
         for block, data, offsets in blocks(batches):
             text, ids, counts = shingles(data, offsets)
@@ -145,11 +150,12 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys = band_keys(ids, weights(ids, counts, idf), first).reshape(-1).view(np.int64)
                 ends[some + 1] = BANDS
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("key"),
+                [block.column("doc_id"), block.column("key"), pa.array(np.diff(offsets)),
                  pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys))],
-                ["doc_id", "key", "bands"])
+                ["doc_id", "key", "bytes", "bands"])
 
-    return keyed(docs).mapInArrow(sign, f"doc_id {type_of(docs, 'doc_id')}, key binary, bands array<long>")
+    return keyed(docs).mapInArrow(
+        sign, f"doc_id {type_of(docs, 'doc_id')}, key binary, bytes long, bands array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -158,34 +164,107 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
+def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and text of the given nodes; a document that occurs twice brings its text along twice."""
+    wanted = nodes.select("key", "doc_id").join(keys, "key").withColumnRenamed("doc_id", "_first")
+    return keyed(docs).join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("key", "text")
+
+
+def _weighted_sets(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray):
+    """Shingle keys (with the text number on top), their weights, and for each text the sum
+    of its weights and its number of shingles."""
+    text, ids, counts = shingles(data, offsets)
+    w = weights(ids, counts, idf)
+    texts = len(offsets) - 1
+    return (text.astype(np.uint64) << np.uint64(56) | ids, w,
+            np.bincount(text, w, minlength=texts), np.bincount(text, minlength=texts))
+
+
+def _jaccard(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return shared / np.maximum(a + b - shared, 1e-9)
+
+
+def _with_similarity(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("similarity", F.greatest("weighted", "plain"))
+
+
 def similarities(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b and the weighted Jaccard similarity of the whole texts of each pair of nodes."""
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("key", "doc_id").join(asked, "key").withColumnRenamed("doc_id", "_first")
-    texts = keyed(docs).join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("key", "text")
+    """a, b and the weighted and plain Jaccard similarity of the whole texts of each pair of nodes."""
+    texts = texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), nodes, docs)
     side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
 
     def compare(batches):
         for block, data, offsets in blocks(batches, "text_a"):
-            other, other_offsets = text_bytes(block.column("text_b"))
-            sets = []
-            for d, o in ((data, offsets), (other, other_offsets)):
-                text, ids, counts = shingles(d, o)
-                w = weights(ids, counts, idf)
-                sets.append((text.astype(np.uint64) << np.uint64(56) | ids, w,
-                             np.bincount(text, w, minlength=block.num_rows)))
-            (keys_a, w_a, sum_a), (keys_b, w_b, sum_b) = sets
+            keys_a, w_a, sum_a, size_a = _weighted_sets(data, offsets, idf)
+            keys_b, w_b, sum_b, size_b = _weighted_sets(*text_bytes(block.column("text_b")), idf)
             keys, at_a, at_b = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
-            shared = np.bincount((keys >> np.uint64(56)).astype(np.int64), np.minimum(w_a[at_a], w_b[at_b]),
-                                 minlength=block.num_rows)
+            pair = (keys >> np.uint64(56)).astype(np.int64)
+            shared = np.bincount(pair, np.minimum(w_a[at_a], w_b[at_b]), minlength=block.num_rows)
+            alike = np.bincount(pair, minlength=block.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [block.column("a"), block.column("b"), pa.array(shared / np.maximum(sum_a + sum_b - shared, 1e-9))],
-                ["a", "b", "similarity"])
+                [block.column("a"), block.column("b"), pa.array(_jaccard(shared, sum_a, sum_b)),
+                 pa.array(_jaccard(alike, size_a, size_b))], ["a", "b", "weighted", "plain"])
 
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    # repeated rows of one document bring their text along twice
-    return both.mapInArrow(compare, "a binary, b binary, similarity double").groupBy("a", "b").agg(
-        F.max("similarity").alias("similarity"))
+    return _with_similarity(both.mapInArrow(compare, "a binary, b binary, weighted double, plain double").groupBy(
+        "a", "b").agg(F.max("weighted").alias("weighted"), F.max("plain").alias("plain")))
+
+
+def _block_links(idf: np.ndarray, similarity: float):
+    """Links between nodes of different components in one block of nodes around one leader."""
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, w, sums, sizes = [], [], [], []
+        for batch in rows.to_batches(max_chunksize=BLOCK_ROWS):
+            data, offsets = text_bytes(batch.column("text"))
+            keys, weight, total, size = _weighted_sets(data, offsets, idf)
+            cut = np.searchsorted(keys >> np.uint64(56), np.arange(1, batch.num_rows))
+            ids += np.split(keys & np.uint64((1 << 56) - 1), cut)
+            w += np.split(weight, cut)
+            sums.append(total)
+            sizes.append(size)
+        sums, sizes = np.concatenate(sums), np.concatenate(sizes)
+        # shingles that only one node has share nothing
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        every, which, times = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        use = times[which] > 1
+        owner, place, root = owner[use], column[which[use]], np.sqrt(np.concatenate(w)[use])
+        bound, alike = (np.zeros((len(ids), len(ids)), dtype=np.float32) for _ in range(2))
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            here = (place >= low) & (place < low + 4096)
+            part = np.zeros((len(ids), 4096), dtype=np.float32)
+            part[owner[here], place[here] - low] = root[here]
+            bound += part @ part.T  # the geometric mean of two weights is at least their minimum
+            part = (part > 0).astype(np.float32)
+            alike += part @ part.T
+        side, low, high = (rows[c].to_numpy() for c in ("part", "low", "high"))
+        _, component = np.unique(np.array(rows["component"].to_pylist(), dtype="S16"), return_inverse=True)
+
+        def possible(most: np.ndarray, totals: np.ndarray, measure: str) -> np.ndarray:
+            near = rows[measure].to_numpy()
+            return (most * (1 + similarity) >= similarity * (totals[:, None] + totals[None, :]) * (1 - 1e-5)) & (
+                np.abs(near[:, None] - near[None, :]) <= 1 - similarity + _SLACK)
+
+        open_pairs = possible(bound, sums, "weighted") | possible(alike, sizes, "plain")
+        open_pairs &= component[:, None] != component[None, :]
+        if low[0] != high[0]:
+            open_pairs &= (side == low[0])[:, None] & (side == high[0])[None, :]
+        else:
+            open_pairs &= np.triu(np.ones_like(open_pairs), 1)
+        found = []
+        for a, b in zip(*np.nonzero(open_pairs)):
+            _, at_a, at_b = np.intersect1d(ids[a], ids[b], assume_unique=True, return_indices=True)
+            score = max(_jaccard(np.minimum(w[a][at_a], w[b][at_b]).sum(), sums[a], sums[b]),
+                        _jaccard(len(at_a), sizes[a], sizes[b]))
+            if score >= similarity:
+                found.append((a, b, score))
+        first, second, score = zip(*found) if found else ((), (), ())
+        return pa.table({
+            "a": rows["key"].take(pa.array(first, pa.int64())), "b": rows["key"].take(pa.array(second, pa.int64())),
+            "similarity": pa.array(score, pa.float64())})
+
+    return compare
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
@@ -207,28 +286,31 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
         nodes, docs, idf))
     found = to_leader.where(F.col("similarity") >= similarity)
     parts = components(found)
-    # how far every node is from the leader of its bucket, and where the first links put it
-    far = to_leader.select(F.col("a").alias("leader"), F.col("b").alias("key"), (1 - F.col("similarity")).alias("far"))
-    spread = met.join(far, ["leader", "key"], "left").join(
-        parts.withColumnsRenamed({"node": "key"}), "key", "left").select(
-        "band", "key", F.coalesce("component", "key").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-        "low != high").select("band")
-    left = cut_lineage(spread.where("far > 0").join(mixed, "band"))
-    near = 1 - similarity + _SLACK
-    x, y = left.alias("x"), left.alias("y")
-    cross = cut_lineage(
-        x.join(y, F.expr(f"x.band = y.band and x.component < y.component and abs(x.far - y.far) <= {near}"))
-        .selectExpr("least(x.key, y.key) as a", "greatest(x.key, y.key) as b").distinct()
-        .join(to_leader.selectExpr("least(a, b) as a", "greatest(a, b) as b"), ["a", "b"], "left_anti"))
-    more = cut_lineage(similarities(cross, nodes, docs, idf)).where(F.col("similarity") >= similarity)
-    return found.unionByName(more)
+    # around each leader: how near every node is to it, and where the first links put it
+    around = to_leader.select(F.col("a").alias("leader"), F.col("b").alias("key"), "weighted", "plain").join(
+        nodes.select("key", "bytes"), "key").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.coalesce("component", "key"))
+    mixed = around.groupBy("leader").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"),
+        F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_TEXT)).cast("int").alias("parts"),
+    ).where("_low != _high").select("leader", "parts")
+    left = cut_lineage(around.join(mixed, "leader").withColumn(
+        "part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+    placed = left.join(texts_of(left.select("key").distinct(), nodes, docs), "key").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    more = placed.select(
+        "leader", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "key",
+        "component", "weighted", "plain", "text").groupBy("leader", "low", "high").applyInArrow(
+        _block_links(idf, similarity), "a binary, b binary, similarity double")
+    least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return found.select(least, most, "similarity").union(more.select(least, most, "similarity")).groupBy(
+        "a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, exact_copies, n_links, keep.
 
-    Documents belong to one class if they are equal or joined by links of weighted Jaccard
+    Documents belong to one class if they are equal or joined by links of Jaccard
     ``similarity`` or more; class_id is the least doc_id in it. exact_copies counts the rows
     with the same text, n_links the verified links of that text to different ones. keep marks
     the row to stay: the least doc_id of each class, and of rows equal in id and text the
@@ -240,7 +322,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     idf = idf_of_cells(docs.select(F.col("text").cast("string").alias("text")).where("text is not null"))
     signed = cut_lineage(signatures(docs, idf))
     nodes = cut_lineage(signed.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"),
+        F.first("bands").alias("bands")))
     linked = cut_lineage(links(nodes, docs, idf, similarity))
     degree = linked.select(F.col("a").alias("key")).union(linked.select("b")).groupBy("key").agg(
         F.count("*").alias("n_links"))
@@ -254,7 +337,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     of_node = placed.join(classes, "component").select(
         "key", "class_id", "class_size", F.col("copies").alias("exact_copies"), "n_links",
         F.col("doc_id").alias("_first"), (F.col("key") == F.col("kept_key")).alias("_kept"))
-    out = signed.drop("bands").join(of_node, "key", "left")
+    out = signed.drop("bands", "bytes").join(of_node, "key", "left")
     alone = F.col("key").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
