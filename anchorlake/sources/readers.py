@@ -1,15 +1,11 @@
 """Readers for link lists, metric exports, master sheets, run files and disavow files.
 
-Files are read as distributed text. Only a small head of a link list is looked at on
-the driver, to learn its delimiter and header.
+Files are read as distributed text, all in one pass; their delimiters and headers are
+aggregates per file.
 """
 
 from __future__ import annotations
 
-import csv
-from collections import Counter
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +14,10 @@ from anchorlake.functions.urls import normalize_url
 from anchorlake.operators.keyed import first_per_key
 
 DELIMITERS = [",", ";", "\t", "|"]
-HEAD_LINES = 25
 ALL_HEADERS = set(fixed.URL_HEADERS + fixed.TARGET_HEADERS + fixed.ANCHOR_HEADERS + fixed.NOTE_HEADERS)
 BACKLINK_COLUMNS = ["url", "target", "anchor", "notes"]
 
 
-def list_files(spark: SparkSession, path: str) -> list[tuple[str, float]]:
-    """(path, modification time) of the files under a folder, glob or file."""
-    found = spark.read.format("binaryFile").load(path).select(
-        "path", F.col("modificationTime").cast("double").alias("mtime"))
-    return sorted((r.path, r.mtime) for r in found.toLocalIterator())
-
-
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their file and a number that grows with their position in the file."""
     raw = spark.read.text(path).select(
@@ -42,76 +30,51 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
                       F.monotonically_increasing_id().alias("at"))
 
 
-def guess_delimiter(head: list[str]) -> str:
-    """The candidate that splits most lines into the same number (>1) of cells."""
-    best = (0, 0, ",")
-    for rank, delimiter in enumerate(DELIMITERS):
-        widths = Counter(len(row) for row in csv.reader(head, delimiter=delimiter) if row)
-        width, lines = max(widths.items(), key=lambda kv: (kv[0] > 1, kv[1])) if widths else (1, 0)
-        if width > 1:
-            best = max(best, (lines, -rank, delimiter))
-    return best[2]
-
-
-def match_header(names: list[str], candidates: list[str]) -> int | None:
-    """Index of the header that equals a candidate, else of one that contains it."""
-    low = [n.strip().lower() for n in names]
-    for test in (lambda name, c: name == c, lambda name, c: c in name):
-        for candidate in candidates:
-            for i, name in enumerate(low):
-                if name and test(name, candidate):
-                    return i
-    return None
-
-
-def has_header(head: list[list[str]]) -> bool:
-    """A known column name in the first row, or a first row unlike the data below it."""
-    if not head:
-        return False
-    if any(cell.strip().lower() in ALL_HEADERS for cell in head[0]):
-        return True
-
-    def url_like(cell: str) -> bool:
-        return "." in cell and " " not in cell.strip()
-
-    body = [row[0] for row in head[1:] if row]
-    return bool(body) and not url_like(head[0][0]) and all(url_like(c) for c in body)
-
-
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """One .csv or .tsv link list."""
-    head = [r.value for r in spark.read.text(path).take(HEAD_LINES)]
-    head = [line.lstrip("﻿") for line in head]
-    delimiter = guess_delimiter(head)
-    rows = list(csv.reader(head, delimiter=delimiter))
-    width = max((len(r) for r in rows), default=1)
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    cells = F.from_csv("line", schema, {"sep": delimiter, "mode": "PERMISSIVE"})
-    parsed = lines_of(spark, path).withColumn("c", cells).where(F.trim("line") != "")
-
-    def cell(i: int | None) -> Column:
-        return F.lit("") if i is None else F.trim(F.coalesce(F.col(f"c.c{i}"), F.lit("")))
-
-    if has_header(rows):
-        found = [match_header(rows[0], c) for c in (
-            fixed.URL_HEADERS, fixed.TARGET_HEADERS, fixed.ANCHOR_HEADERS, fixed.NOTE_HEADERS)]
-        found[0] = 0 if found[0] is None else found[0]
-        first = [c.strip() for c in rows[0]]
-        is_header = reduce(lambda a, b: a & b, [
-            cell(i) == value for i, value in enumerate(first)])
-        parsed = parsed.where(~is_header)
-    else:
-        found = [0, 1 if width > 1 else None, None, None]
-        parsed = parsed.where(~F.lower(cell(0)).isin(sorted(ALL_HEADERS)))
-    values = [cell(i).alias(n) for i, n in zip(found, BACKLINK_COLUMNS)]
-    return parsed.select(*values, "file", "block", "at").where(F.col("url") != "")
-
-
-def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """A text file of one URL per line; # starts a comment line."""
+def header_at(names: Column, candidates: list[str]) -> Column:
+    """0-based place of the name that equals a candidate, else of one that contains it."""
+    low = F.transform(names, lambda n: F.lower(F.trim(F.coalesce(n, F.lit("")))))
+    equal = [F.array_position(low, c) for c in candidates]
+
+    def holds(candidate: str) -> Column:
+        return F.array_position(F.transform(low, lambda n: n.contains(candidate)), True)
+
+    inside = [holds(c) for c in candidates]
+    return F.coalesce(*[F.when(spot > 0, (spot - 1).cast("int")) for spot in equal + inside])
+
+
+def read_delimited(cells: DataFrame) -> DataFrame:
+    """Link lists from cells (file, block, at, cells) of any number of .csv and .tsv files.
+
+    A file's first row is its header if it holds a known column name, or if it is the only
+    row that does not start with something like a URL. Without a header the first column is
+    the URL and the second the target.
+    """
+    place = F.struct("block", "at")
+    first = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    url_like = first.contains(".") & ~first.contains(" ")
+    layout = cells.groupBy("file").agg(
+        F.min_by("cells", place).alias("head"), F.min_by(url_like, place).alias("_like"),
+        F.count_if(~url_like).alias("_unlike"), F.count("*").alias("_rows"), F.max(F.size("cells")).alias("_width"))
+    known = F.exists("head", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(sorted(ALL_HEADERS)))
+    headed = known | ~F.col("_like") & (F.col("_unlike") == 1) & (F.col("_rows") > 1)
+    names = zip(BACKLINK_COLUMNS, (fixed.URL_HEADERS, fixed.TARGET_HEADERS, fixed.ANCHOR_HEADERS, fixed.NOTE_HEADERS))
+    at = {name: F.when(headed, header_at(F.col("head"), words)) for name, words in names}
+    at["url"] = F.coalesce(at["url"], F.lit(0))
+    at["target"] = F.coalesce(at["target"], F.when(~headed & (F.col("_width") > 1), 1))
+    layout = layout.select("file", F.when(headed, F.col("head")).alias("_head"), F.struct(*[
+        c.alias(n) for n, c in at.items()]).alias("_at"))
+    from anchorlake.operators.keyed import lookup
+
+    rows = lookup(cells, layout, "file", key_source=cells.select("file"))
+    is_header = F.coalesce(F.col("cells") == F.col("_head"), F.lower(first).isin(sorted(ALL_HEADERS)))
+    values = [F.coalesce(F.get("cells", F.col(f"_at.{n}")), F.lit("")).alias(n) for n in BACKLINK_COLUMNS]
+    return rows.where(~is_header).select(*values, "file", "block", "at").where(F.col("url") != "")
+
+
+def read_plain(lines: DataFrame) -> DataFrame:
+    """Text files of one URL per line; # starts a comment line."""
     line = F.trim("line")
-    return lines_of(spark, path).where((line != "") & ~line.startswith("#")).select(
+    return lines.where((line != "") & ~line.startswith("#")).select(
         F.get(F.split(line, r"\s+"), F.lit(0)).alias("url"),
         *[F.lit("").alias(c) for c in BACKLINK_COLUMNS[1:]], "file", "block", "at")
 
@@ -119,25 +82,21 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 def read_backlinks(spark: SparkSession, path: str, urls: list[str] | None = None) -> DataFrame:
     """All link lists under a path as (url, target, anchor, notes), normalised, first wins.
 
-    Files count in name order, lines in file order; URLs given directly come first.
+    Files count in name order, lines in file order; URLs given directly come first. All
+    files are read in one pass, whatever their number; a quoted cell stays within its line.
     """
-    parts: list[DataFrame] = []
+    lines = lines_of(spark, path)
+    base = F.lower(F.element_at(F.split("file", "/"), -1))
+    lines = lines.where(~base.startswith("~$") & ~base.startswith(".") & base.rlike(r"\.(csv|tsv|txt)$"))
+    if not urls and not lines.limit(1).count():
+        raise FileNotFoundError(f"no link lists under {path}")
+    found = read_delimited(split_cells(lines.where(base.rlike(r"\.(csv|tsv)$")))).unionByName(
+        read_plain(lines.where(base.endswith(".txt"))))
     if urls:
-        parts.append(spark.createDataFrame(
+        found = found.unionByName(spark.createDataFrame(
             [(u, "", "", "given", "", 0, i) for i, u in enumerate(urls)],
             "url string, target string, anchor string, notes string, file string, block long, at long"))
-    for name, _ in list_files(spark, path):
-        base = name.rsplit("/", 1)[-1].lower()
-        if base.startswith(("~$", ".")):
-            continue
-        if base.endswith((".csv", ".tsv")):
-            parts.append(read_delimited(spark, name))
-        elif base.endswith(".txt"):
-            parts.append(read_plain(spark, name))
-    if not parts:
-        raise FileNotFoundError(f"no link lists under {path}")
-    return dedup_first(reduce(DataFrame.unionByName, parts), ["file", "block", "at"]).select(
-        *BACKLINK_COLUMNS)
+    return dedup_first(found, ["file", "block", "at"]).select(*BACKLINK_COLUMNS)
 
 
 def dedup_first(df: DataFrame, order: list[str], url_col: str = "url") -> DataFrame:
@@ -181,20 +140,21 @@ SKIPPED_NAMES = ["readme", "read-me", "instructions", "notes", "help"]
 def split_cells(lines: DataFrame) -> DataFrame:
     """Lines of exports to cells: by delimiter for csv/tsv, by tabs or wide gaps for text.
 
-    A file's delimiter is the one its lines contain most; quoted cells are honoured.
+    A file's delimiter is the one that cuts most of its lines into the same number of cells,
+    more than one; quoted cells are honoured.
     """
     base = F.lower(F.element_at(F.split("file", "/"), -1))
     delimited = base.rlike(r"\.(csv|tsv)$")
-    counts = [F.regexp_count("line", F.lit(f"[{d}]")) for d in DELIMITERS]
-    votes = lines.where(delimited).groupBy("file").agg(
-        *[F.sum(c).alias(f"n{i}") for i, c in enumerate(counts)])
-    best = F.greatest(*[F.col(f"n{i}") for i in range(len(DELIMITERS))])
-    chosen = F.when(best == 0, ",")
-    for i, d in enumerate(DELIMITERS):
-        chosen = chosen.when(F.col(f"n{i}") == best, d)
+    cuts = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.regexp_count("line", F.lit(f"[{d}]")).alias("cuts"))
+                               for i, d in enumerate(DELIMITERS)]))
+    same = lines.where(delimited & (F.trim("line") != "")).select("file", cuts.alias("c")).groupBy(
+        "file", "c.rank", "c.cuts").agg(F.count("*").alias("n"))
+    separators = F.array(*[F.lit(d) for d in DELIMITERS])
+    votes = same.groupBy("file").agg(F.max_by("rank", F.struct((F.col("cuts") > 0).alias("cut"), F.when(
+        F.col("cuts") > 0, F.col("n")).alias("n"), (-F.col("rank")).alias("first"))).alias("rank"))
     from anchorlake.operators.keyed import lookup
 
-    known = lookup(lines, votes.select("file", chosen.alias("_sep")), "file")
+    known = lookup(lines, votes.select("file", F.get(separators, F.col("rank")).alias("_sep")), "file")
 
     def by_delimiter(d: str) -> Column:
         """A row's own cells, however many: quoted ones, with doubled quotes, or plain ones."""

@@ -75,6 +75,20 @@ def write_changes(changes: DataFrame, path: str) -> None:
     changes.orderBy(rank, "url").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_anchor_report(distribution: DataFrame, path: str) -> None:
+    """Every anchor with its kind and number of links."""
+    distribution.select(F.col("anchor").alias("Anchor"), F.col("kind").alias("Kind"), F.col("n").alias("Links")).orderBy(
+        F.desc("Links"), "Anchor").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_network_report(members: DataFrame, groups: DataFrame, path: str) -> None:
+    """One line per signal and domain, with the size of the signal's group."""
+    sizes = groups.select("label", F.col("size").alias("Domains"))
+    members.join(sizes, "label").select(
+        F.col("label").alias("Signal"), "Domains", F.col("registered").alias("Domain")).write.mode(
+        "overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 HISTORY_COLUMNS = ["url", "host", "registered", "verdict", "score", "da", "spam_score", "status_code",
                    "tier", "link_found", "is_followed", "action", "issues"]
 

@@ -20,12 +20,20 @@ def test_link_lists(spark, tmp_path):
         "https://y.com/1": ("t2.com", "", ""), "https://z.com": ("", "", ""), "https://lone.com": ("", "", ""), "https://tabbed.com": ("", "", "hello")}
 
 
-def test_header_matching():
-    assert readers.match_header(["My Target Url", "Link", "URL "], ["url", "link"]) == 2
-    assert readers.match_header(["x", "the source page"], ["source", "page"]) == 1
-    assert readers.match_header(["x"], ["url"]) is None
-    assert readers.guess_delimiter(["a|b|c", "d|e,f|g"]) == "|" and readers.guess_delimiter(["one.com"]) == ","
-    assert not readers.has_header([["a.com", "b"], ["c.com", "d"]]) and readers.has_header([["page name"], ["c.com"]])
+def test_header_matching(rows):
+    df = rows("names array<string>, id int", (["My Target Url", "Link", "URL "], 1), (["x", "the source page"], 2), (["x", None], 3))
+    got = {r.id: r.at for r in df.select("id", readers.header_at(F.col("names"), ["url", "link"]).alias("at")).collect()}
+    assert got == {1: 2, 2: None, 3: None}
+    got = {r.id: r.at for r in df.select("id", readers.header_at(F.col("names"), ["source", "page"]).alias("at")).collect()}
+    assert got == {1: None, 2: 1, 3: None}
+
+
+def test_delimiters_and_headerless_lists(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a.com|b|c\nd.com|e,f|g\n")
+    (tmp_path / "b.csv").write_text("page name\nc.com\nx.com/1,2\n")
+    (tmp_path / "c.csv").write_text("one.com\n")
+    got = {(r.url, r.target) for r in readers.read_backlinks(spark, str(tmp_path)).collect()}
+    assert got == {("https://a.com", "b"), ("https://d.com", "e,f"), ("https://c.com", ""), ("https://x.com/1", ""), ("https://one.com", "")}
 
 
 def test_metric_files(spark, tmp_path):
