@@ -24,9 +24,8 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def common_turns(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two turn lists."""
-    differs = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
-    return F.when(F.array_position(differs, True) > 0, F.array_position(differs, True) - 1).otherwise(
-        F.size(a)).cast("int")
+    first = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(a.isNull() | b.isNull(), 0).when(first > 0, first - 1).otherwise(F.size(a)).cast("int")
 
 
 def _start(turn: Column) -> Column:

@@ -23,6 +23,7 @@ from anchorlake.session import cut_lineage
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = 20240607
+PROGRAM_WORDS = 1 << 22  # most words the exact program is tried with
 CELLS = 1024          # hash ranges per source and length, for ranking without large groups
 
 
@@ -61,24 +62,31 @@ def targets(sources: DataFrame) -> DataFrame:
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget``.
 
-    Where no choice gives the budget exactly, the nearest sum below it that the last program
-    can reach is taken.
+    The last words are left to the exact program, at first twice the longest length and more
+    each time the budget is not met, up to all of it or ``PROGRAM_WORDS``. Where no choice
+    gives the budget, the nearest sum below it that was found is taken.
     """
     total = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), dtype=np.int64)
+    best = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0 or total == 0:
-        return take
+        return best
     if budget >= total:
         return counts.copy()
-    share = budget / total
-    take = np.floor(counts * share).astype(np.int64)
-    left = budget - int((take * lengths).sum())
     spare = 2 * int(lengths.max())
-    for k in np.argsort(-lengths, kind="stable"):  # leave a little for the program to fit
-        n = min(int(counts[k] - take[k]), max(0, left - spare) // int(lengths[k]))
-        take[k] += n
-        left -= n * int(lengths[k])
-    return take + _subset_sum(lengths, counts - take, left)
+    while True:
+        spare = min(spare, budget)
+        take = np.floor(counts * ((budget - spare) / total)).astype(np.int64)
+        left = budget - int((take * lengths).sum())
+        for k in np.argsort(-lengths, kind="stable"):
+            n = min(int(counts[k] - take[k]), max(0, left - spare) // int(lengths[k]))
+            take[k] += n
+            left -= n * int(lengths[k])
+        take = take + _subset_sum(lengths, counts - take, left)
+        if int((take * lengths).sum()) > int((best * lengths).sum()):
+            best = take
+        if int((best * lengths).sum()) == budget or spare == budget or spare > PROGRAM_WORDS:
+            return best
+        spare *= 8
 
 
 def _subset_sum(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
