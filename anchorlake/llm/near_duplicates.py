@@ -36,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5   # a pair at 0.8 meets with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996
 SEED = 20240607
-DRAWS = 1 << 16       # random draws each sample chooses from by hash
+DRAWS = 1 << 14       # random draws each sample chooses from by hash
 CELLS = 1 << 16       # cells in which document frequencies are counted
 IDF_FLOOR, IDF_TOP = 0.05, 1.2
 BLOCK_NODES, BLOCK_TEXT = 512, 8 << 20  # nodes and bytes of text in one side of a block
@@ -123,7 +123,7 @@ def band_keys(ids: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndar
     place = np.arange(len(ids), dtype=np.uint64)
     keys = np.zeros((BANDS, len(first)), dtype=np.uint64)
     for k in range(BANDS * ROWS):
-        draw = (ids * factors[k] >> np.uint64(48)).astype(np.int32)
+        draw = (ids * factors[k] >> np.uint64(64 - DRAWS.bit_length() + 1)).astype(np.int32)
         value = usual[k][draw]
         if len(rare):
             d = draw[rare]

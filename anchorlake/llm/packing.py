@@ -26,7 +26,7 @@ from anchorlake.llm.textblocks import blocks
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SEQUENCE = 2048
 PADDING = 50256       # the id the vocabulary leaves free
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 ROWS_OUT = 256
 
 

@@ -24,7 +24,7 @@ from anchorlake.llm.textblocks import blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -135,7 +135,7 @@ class PrefixCounter:
                 start -= 1
             last.append(token)
             count.append(count[start] + 1)
-        if len(fits) > 2_000_000:
+        if len(fits) > 1_000_000:
             fits.clear()
         self.previous = piece, last, count
         return count

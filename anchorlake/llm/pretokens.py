@@ -23,7 +23,7 @@ SPLIT = regex.compile(PATTERN)
 # white space beyond ASCII, as the bytes of its UTF-8 form
 _OTHER_SPACE = re.compile(
     rb"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 300_000
 
 
 class Units:

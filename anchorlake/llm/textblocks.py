@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_ROWS = 256
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -61,7 +61,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
         tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into blocks of at most 256 rows and, beyond one row, 8 MB of text."""
+    """Cut batches into blocks of at most 256 rows and, beyond one row, 2 MB of text."""
     for batch in batches:
         sizes = np.cumsum(np.diff(text_bytes(batch.column(text))[1]))
         at = 0
