@@ -58,11 +58,17 @@ def best_span(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return cost[end], start[end], end
 
 
-def _shared_words(entry: np.ndarray, starts: np.ndarray, size: int, times: np.ndarray) -> np.ndarray:
+def _shared_words(entry: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int,
+                  times: np.ndarray) -> np.ndarray:
     """At most how many words of each window an item can share, using each as often as it does."""
     out = np.zeros(len(starts), dtype=np.int64)
+    entry = np.append(entry, np.full(size, len(times) - 1, dtype=entry.dtype))
     for low in range(0, len(starts), 4096):
-        rows = np.sort(entry[starts[low:low + 4096, None] + np.arange(size)], axis=1)
+        rows = entry[starts[low:low + 4096, None] + np.arange(size)]
+        left = stops[low:low + 4096] - starts[low:low + 4096]
+        short = np.flatnonzero(left < size)
+        rows[short] = np.where(np.arange(size) < left[short, None], rows[short], len(times) - 1)
+        rows.sort(axis=1)
         place = np.arange(size)[None, :]
         fresh = np.ones(rows.shape, dtype=bool)
         fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
@@ -82,10 +88,10 @@ class Walks:
         self.read = np.zeros((self.steps, WALKS), dtype=bool)
         self.read[picked, np.arange(WALKS)[:, None]] = True
 
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One key per walk and window ``words[start:start + size]``."""
+    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """One key per walk and window ``words[start:stop]``; past its end a walk reads nothing."""
         at = np.broadcast_to(starts, (WALKS, len(starts))).copy()
-        end = at + self.size
+        end = stops[None, :]
         keys = np.broadcast_to(np.arange(1, WALKS + 1, dtype=np.uint64)[:, None], at.shape).copy()
         last = len(words) - 1
         for step in range(self.steps):
@@ -125,7 +131,7 @@ class ItemIndex:
                 times[at] = np.maximum(times[at], used)
             walks = Walks(size)
             joined = np.concatenate([self.items[k] for k in own])
-            keys = walks.keys(joined, np.arange(len(own)) * size)
+            keys = walks.keys(joined, np.arange(len(own)) * size, (np.arange(len(own)) + 1) * size)
             order = np.argsort(keys, axis=None, kind="stable")
             self.sizes.append((size, times, walks, keys.reshape(-1)[order],
                                np.tile(np.array(own), (WALKS, 1)).reshape(-1)[order]))
@@ -151,21 +157,16 @@ class ItemIndex:
         entry = self.known(hashes)
         text_end = np.repeat(first[1:], np.diff(first))
         for size, times, walks, keys, owners in self.sizes:
-            if len(hashes) < size:
-                continue
             shared = np.concatenate([[0], np.cumsum((times > 0)[entry], dtype=np.int32)])
             least = size - allowed_edits(size, self.similarity)
-            # windows at a text's end are as long as what is left, so that a cut item is met too
+            # windows at a text's end are as long as what is left, so that a cut item is met too,
+            # also in a text that is shorter than the item
             stop = np.minimum(np.arange(len(hashes)) + size, text_end)
             starts = np.flatnonzero(shared[stop] - shared[:-1] >= least)
+            starts = starts[_shared_words(entry, starts, stop[starts], size, times) >= least]
             if not len(starts):
                 continue
-            starts = np.minimum(starts, text_end[starts] - size)
-            starts = np.unique(starts[starts >= first[np.searchsorted(first, starts, side="right") - 1]])
-            starts = starts[_shared_words(entry, starts, size, times) >= least]
-            if not len(starts):
-                continue
-            seen = walks.keys(hashes, starts)
+            seen = walks.keys(hashes, starts, stop[starts])
             low = np.searchsorted(keys, seen, side="left")
             high = np.searchsorted(keys, seen, side="right")
             texts = np.searchsorted(first, starts, side="right") - 1

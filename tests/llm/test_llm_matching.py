@@ -219,3 +219,21 @@ def test_awkward_documents_do_not_stop_the_searches(awkward, spark, kind):
     else:
         got = near_duplicates.near_duplicates(awkward).collect()
         assert len(got) == awkward.count() and sum(r.keep for r in got) >= 1
+
+
+@pytest.mark.parametrize("at", ["head", "middle", "tail"])
+def test_whole_documents_shorter_than_an_item_are_found_in_any_block(at):
+    items = [prose(3000 + k, n) for k, n in enumerate((20, 25, 40))]
+    index = decontamination.ItemIndex(list(range(3)), items, decontamination.SIMILARITY)
+    texts, want = [], []
+    for k, item in enumerate(items):
+        words = item.split()
+        for lost in range(1, decontamination.allowed_edits(len(words), decontamination.SIMILARITY) + 1):
+            low = {"head": 0, "middle": 7, "tail": len(words) - lost}[at]
+            texts.append(" ".join(words[:low] + words[low + lost:]))
+            want.append((k, lost))
+    alone = [[m[1:3] for m in index.matches(*text_bytes(pa.array([text])))] for text in texts]
+    assert alone == [[w] for w in want]
+    block = [t for k, text in enumerate(texts) for t in (text, prose(k, 50))]
+    found = index.matches(*text_bytes(pa.array(block)))
+    assert [m[:3] for m in found] == [(2 * k, *w) for k, w in enumerate(want)]
