@@ -5,11 +5,14 @@ reads a window word by word and at each step stays or moves on, as a hash of the
 word says; the words it reads are the embedding. Two windows at a small edit distance walk
 apart only for a few steps around each edit, so their embeddings have a small Hamming
 distance, and sampling a few steps gives the same words with good probability. Repeating
-this with other walks reaches the wanted recall for windows of the size of each item; what
-meets an item is verified by its exact edit distance to the best span of the document.
-
-A window that lacks more of an item's words than the edits allowed is skipped before its
-walk; no item of its size can match there.
+this with other walks reaches the wanted recall for windows of up to ``PIECE`` words. In
+longer ones walks drift too far apart, so longer items are cut into even pieces: edits that
+are too many for every piece are too many for the item, so one piece at least is within its
+own allowed edits. What meets an item or a piece of it is verified by the exact edit
+distance of the whole item to the best span of the document.
+
+A window that lacks more of a piece's words than the edits allowed is skipped before its
+walk; no piece of its size can match there.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from anchorlake.session import cut_lineage
 
 SIMILARITY = 0.8      # 1 - edits / words of the item
 MIN_WORDS = 5         # shorter items say too little to be searched for
-WALKS = 48
+PIECE = 32            # words of an item that are searched for as one
+WALKS = 96
 SAMPLES = 3
 ITEM_BLOCK = 2000     # items searched for in one pass over the documents
 SEED = 20240607
@@ -39,6 +43,13 @@ def allowed_edits(words: int, similarity: float) -> int:
     return int((1 - similarity) * words + 1e-9)
 
 
+def pieces(words: int) -> list[tuple[int, int]]:
+    """Start and size of the fewest even pieces of at most ``PIECE`` words."""
+    count = -(-words // PIECE)
+    cuts = [words * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def best_span(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of ``item`` to any span of ``words``, and that span."""
     item, words = item.tolist(), words.tolist()
@@ -58,6 +69,13 @@ def best_span(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return cost[end], start[end], end
 
 
+def _common(item: np.ndarray, words: np.ndarray) -> int:
+    """How many words of ``item`` are among ``words``, each as often as it is there."""
+    known, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return int(np.minimum(times, np.bincount(at[known[at] == words], minlength=len(known))).sum())
+
+
 def _shared_words(entry: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int,
                   times: np.ndarray) -> np.ndarray:
     """At most how many words of each window an item can share, using each as often as it does."""
@@ -105,7 +123,7 @@ class Walks:
 
 
 class ItemIndex:
-    """The items of one block by size, with their vocabulary and the keys of their walks."""
+    """The pieces of one block's items by size, with their vocabulary and the keys of their walks."""
 
     def __init__(self, ids: list, texts: list, similarity: float):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
@@ -116,25 +134,26 @@ class ItemIndex:
         by_size = defaultdict(list)
         for k, item in enumerate(self.items):
             if len(item) >= MIN_WORDS:
-                by_size[len(item)].append(k)
+                for start, size in pieces(len(item)):
+                    by_size[size].append((k, start))
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(
-            self.items[k] for own in by_size.values() for k in own)]))
+            self.items[k] for own in by_size.values() for k, start in own if start == 0)]))
         # cell of a hash -> the vocabulary entries in it; entries past the last are unknown words
         self.cells = np.searchsorted(self.vocabulary >> np.uint64(64 - _TABLE_BITS),
                                      np.arange((1 << _TABLE_BITS) + 1, dtype=np.uint64)).astype(np.int32)
         self.sizes = []
         for size, own in sorted(by_size.items()):
             times = np.zeros(len(self.vocabulary) + 1, dtype=np.int32)  # most uses of a word in one item
-            for k in own:
-                words_used, used = np.unique(self.items[k], return_counts=True)
+            words = [self.items[k][start:start + size] for k, start in own]
+            for piece in words:
+                words_used, used = np.unique(piece, return_counts=True)
                 at = np.searchsorted(self.vocabulary, words_used)
                 times[at] = np.maximum(times[at], used)
             walks = Walks(size)
-            joined = np.concatenate([self.items[k] for k in own])
-            keys = walks.keys(joined, np.arange(len(own)) * size, (np.arange(len(own)) + 1) * size)
+            keys = walks.keys(np.concatenate(words), np.arange(len(own)) * size, (np.arange(len(own)) + 1) * size)
             order = np.argsort(keys, axis=None, kind="stable")
             self.sizes.append((size, times, walks, keys.reshape(-1)[order],
-                               np.tile(np.array(own), (WALKS, 1)).reshape(-1)[order]))
+                               np.tile(np.array(own), (WALKS, 1))[order]))
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary entry of every word; unknown words get the number past the last."""
@@ -151,9 +170,10 @@ class ItemIndex:
             open_at = open_at[~hit & (entry + 1 < high[open_at])]
         return out
 
-    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """Window starts by (text, item) where a walk of both reads the same words."""
-        found = defaultdict(list)
+    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], set[tuple]]:
+        """Word ranges by (text, item) that hold the span of the item around a window where a walk
+        of the window and of a piece of the item reads the same words."""
+        found = defaultdict(set)
         entry = self.known(hashes)
         text_end = np.repeat(first[1:], np.diff(first))
         for size, times, walks, keys, owners in self.sizes:
@@ -171,8 +191,11 @@ class ItemIndex:
             high = np.searchsorted(keys, seen, side="right")
             texts = np.searchsorted(first, starts, side="right") - 1
             for walk, window in zip(*np.nonzero(low < high)):
-                for owner in owners[low[walk, window]:high[walk, window]]:
-                    found[int(texts[window]), int(owner)].append(int(starts[window]))
+                for item, start in owners[low[walk, window]:high[walk, window]].tolist():
+                    whole, at = len(self.items[item]), int(starts[window]) - start
+                    # the window may be off the piece by as much as the piece's own edits
+                    off = allowed_edits(whole, self.similarity) + size - least
+                    found[int(texts[window]), item].add((at - off, at + whole + off))
         return found
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
@@ -180,21 +203,21 @@ class ItemIndex:
         lower, words = plain_words(data, offsets)
         hashes = range_hashes(lower, words.start, words.end)
         out = []
-        for (text, item), starts in self.candidates(hashes, words.first).items():
+        for (text, item), ranges in self.candidates(hashes, words.first).items():
             own = self.items[item]
             edits = allowed_edits(len(own), self.similarity)
             regions = []
-            for start in sorted(set(starts)):
-                low = max(words.first[text], start - edits)
-                high = min(words.first[text + 1], start + len(own) + edits)
+            for low, high in sorted(ranges):
+                low, high = max(words.first[text], low), min(words.first[text + 1], high)
                 if regions and low <= regions[-1][1] and high - regions[-1][0] <= 4 * len(own):
                     regions[-1][1] = max(high, regions[-1][1])
                 else:
                     regions.append([low, high])
-            spans = []
+            spans = [(edits + 1, 0, 0)]
             for low, high in regions:
-                distance, a, b = best_span(own, hashes[low:high])
-                spans.append((distance, low + a, low + b))
+                if _common(own, hashes[low:high]) >= len(own) - edits:
+                    distance, a, b = best_span(own, hashes[low:high])
+                    spans.append((distance, low + a, low + b))
             distance, a, b = min(spans)
             if distance <= edits and b > a:
                 base = offsets[text]

@@ -237,3 +237,25 @@ def test_whole_documents_shorter_than_an_item_are_found_in_any_block(at):
     block = [t for k, text in enumerate(texts) for t in (text, prose(k, 50))]
     found = index.matches(*text_bytes(pa.array(block)))
     assert [m[:3] for m in found] == [(2 * k, *w) for k, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("size", [60, 100, 200, 400])
+@pytest.mark.parametrize("kind", ["insert", "delete", "change", "mixed"])
+def test_long_items_are_found_at_the_last_allowed_edit(size, kind):
+    draw = random.Random(size)
+    items = [prose(4000 + k, size) for k in range(6)]
+    index = decontamination.ItemIndex(list(range(6)), items, decontamination.SIMILARITY)
+    edits, texts = decontamination.allowed_edits(size, decontamination.SIMILARITY), []
+    for k in range(24):
+        words = items[k % 6].split()
+        if kind == "mixed":
+            words = damaged(items[k % 6], edits, draw).split()
+        elif kind == "insert":
+            for _ in range(edits):
+                words.insert(draw.randrange(len(words)), draw.choice(words))
+        else:
+            for at in sorted(draw.sample(range(size), edits), reverse=True):
+                words[at:at + 1] = [f"other{draw.randrange(10**6)}"] if kind == "change" else []
+        texts.append(f"{prose(k, 50)} {' '.join(words)} {prose(500 + k, 50)}")
+    found = {m[:2] for m in index.matches(*text_bytes(pa.array(texts)))}
+    assert np.mean([(k, k % 6) in found for k in range(24)]) >= 0.99
