@@ -1,6 +1,7 @@
 """Benchmark passages in documents, found by random-walk embeddings and verified by edit distance.
 
-Texts are compared as sequences of plain words (lower case, no punctuation). A random walk
+Texts are compared as sequences of plain words (lower case, no punctuation; in scripts
+without spaces every character is a word). A random walk
 reads a window word by word and at each step stays or moves on, as a hash of the step and the
 word says; the words it reads are the embedding. Two windows at a small edit distance walk
 apart only for a few steps around each edit, so their embeddings have a small Hamming
@@ -11,6 +12,8 @@ are too many for every piece are too many for the item, so one piece at least is
 own allowed edits. What meets an item or a piece of it is verified by the exact edit
 distance of the whole item to the best span of the document.
 
+Pieces too short for any edit are searched for by the hash of all their words.
+
 A window that lacks more of a piece's words than the edits allowed is skipped before its
 walk; no piece of its size can match there.
 """
@@ -26,11 +29,11 @@ from pyspark.sql import functions as F
 
 from anchorlake.llm.common import type_of
 from anchorlake.llm.registry import query
-from anchorlake.llm.textblocks import blocks, mix, plain_words, range_hashes, text_bytes
+from anchorlake.llm.textblocks import blocks, mix, plain_words, range_hashes, text_bytes, window_hashes
 from anchorlake.session import cut_lineage
 
 SIMILARITY = 0.8      # 1 - edits / words of the item
-MIN_WORDS = 5         # shorter items say too little to be searched for
+MIN_WORDS = 1         # an item without a word is in no document
 PIECE = 32            # words of an item that are searched for as one
 WALKS = 96
 SAMPLES = 3
@@ -122,6 +125,16 @@ class Walks:
         return keys
 
 
+class Exact:
+    """Windows of one size that may not have any edit, by the hash of all their words."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return window_hashes(words, starts, self.size)[None, :]
+
+
 class ItemIndex:
     """The pieces of one block's items by size, with their vocabulary and the keys of their walks."""
 
@@ -149,11 +162,11 @@ class ItemIndex:
                 words_used, used = np.unique(piece, return_counts=True)
                 at = np.searchsorted(self.vocabulary, words_used)
                 times[at] = np.maximum(times[at], used)
-            walks = Walks(size)
+            walks = Walks(size) if allowed_edits(size, similarity) else Exact(size)
             keys = walks.keys(np.concatenate(words), np.arange(len(own)) * size, (np.arange(len(own)) + 1) * size)
             order = np.argsort(keys, axis=None, kind="stable")
             self.sizes.append((size, times, walks, keys.reshape(-1)[order],
-                               np.tile(np.array(own), (WALKS, 1))[order]))
+                               np.tile(np.array(own), (len(keys), 1))[order]))
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary entry of every word; unknown words get the number past the last."""
@@ -218,6 +231,8 @@ class ItemIndex:
                 if _common(own, hashes[low:high]) >= len(own) - edits:
                     distance, a, b = best_span(own, hashes[low:high])
                     spans.append((distance, low + a, low + b))
+                    if distance == 0:
+                        break
             distance, a, b = min(spans)
             if distance <= edits and b > a:
                 base = offsets[text]
@@ -248,9 +263,10 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, similarity: float = SI
 
     An item is found where its words and those of a span of the document differ by at most
     (1 - similarity) times the item's words; the best span is given, the first of equal ones,
-    as byte offsets of the UTF-8 text. Null texts and items, and items of fewer than
-    ``MIN_WORDS`` words, match nothing. Repeated rows, of documents or items, give repeated
-    rows. Other columns are ignored; empty tables give an empty result.
+    as byte offsets of the UTF-8 text. Items that allow no edit, as those of one to four words,
+    are found as they are. Null texts and items, and items without a word, match nothing.
+    Repeated rows, of documents or items, give repeated rows. Other columns are ignored;
+    empty tables give an empty result.
     """
     doc_type, item_type = type_of(docs, "doc_id"), type_of(items, "item_id")
     schema = f"doc_id {doc_type}, " + _MATCH.format(item=item_type)

@@ -8,7 +8,9 @@ Word and shingle identities are 64-bit hashes.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -75,12 +77,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
 
 def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
     """Maximal runs of bytes that are not ``between`` words (a flag for each byte value)."""
-    inside = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
-    open_before = np.empty(len(data), dtype=bool)
-    open_after = np.empty(len(data), dtype=bool)
-    if len(data):
+    return _runs(~between[data], edge, offsets)
+
+
+def _runs(inside: np.ndarray, edge: np.ndarray, offsets: np.ndarray) -> Words:
+    """Maximal runs of bytes ``inside`` that cross no ``edge``."""
+    open_before = np.empty(len(inside), dtype=bool)
+    open_after = np.empty(len(inside), dtype=bool)
+    if len(inside):
         open_before[0], open_after[-1] = False, False
         open_before[1:], open_after[:-1] = inside[:-1], inside[1:]
     start = np.flatnonzero(inside & ~(open_before & ~edge[:-1]))
@@ -90,17 +96,63 @@ def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_NOT_ALNUM = np.ones(256, dtype=bool)
-_NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_BREAK, _LETTER, _ALONE = 0, 1, 2
+# scripts written without spaces between words
+_UNSPACED = [(0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF),
+             (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x3035),
+             (0x3038, 0x303C), (0x3041, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF),
+             (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x1B2FF),
+             (0x20000, 0x3FFFF)]
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Whether a code point parts words, belongs to one, or is a word of its own."""
+    kinds = np.full(0x110000, _BREAK, dtype=np.uint8)
+    for code in range(0x80, 0x40000):
+        if unicodedata.category(chr(code))[0] in "LMN":
+            kinds[code] = _LETTER
+    for low, high in _UNSPACED:
+        own = kinds[low:high + 1]
+        own[own == _LETTER] = _ALONE
+    kinds[0x200C:0x200E] = _LETTER  # joiners, inside words
+    return kinds
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, number of bytes and code point of every character beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at]
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    code = lead.astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] = code[more] << 6 | data[at[more] + k] & 0x3F
+    return at, size, code
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
-    """The bytes in lower case (ASCII and Latin letters), and their runs of letters and digits."""
+    """The bytes in lower case (ASCII and Latin letters), and their runs of letters and digits.
+
+    Characters of scripts written without spaces are words of their own; punctuation and
+    signs of every script part words.
+    """
     lower = _LOWER[data]
     after = np.flatnonzero(data[:-1] == 0xC3) + 1
     capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
     lower[capital] += 32
-    return lower, words_of(lower, offsets, _NOT_ALNUM)
+    inside = _ALNUM[lower]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    at, size, code = _characters(lower)
+    kind = _kinds()[code]
+    for k in range(4):
+        inside[at[(kind == _BREAK) & (size > k)] + k] = False
+    alone = kind == _ALONE
+    edge[at[alone]] = edge[at[alone] + size[alone]] = True
+    return lower, _runs(inside, edge, offsets)
 
 
 _POWERS: dict[str, np.ndarray] = {}

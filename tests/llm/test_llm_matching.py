@@ -259,3 +259,19 @@ def test_long_items_are_found_at_the_last_allowed_edit(size, kind):
         texts.append(f"{prose(k, 50)} {' '.join(words)} {prose(500 + k, 50)}")
     found = {m[:2] for m in index.matches(*text_bytes(pa.array(texts)))}
     assert np.mean([(k, k % 6) in found for k in range(24)]) >= 0.99
+
+
+def test_items_of_few_words_and_of_scripts_without_spaces_are_found():
+    items = ["今天天气很好，我们去公园散步吧", "東京は日本の首都です", "สวัสดีครับ ยินดี", "Quo vadis?", "“naïve” — question", "。！"]
+    index = decontamination.ItemIndex(list(range(6)), items, decontamination.SIMILARITY)
+    texts = ["他说：“今天天气很好，我们去公园散步吧。”然后就走了", "昨日今天天气真好我们去公园散步吧", "はい、東京は日本の首都です。よろしく",
+             "ก่อนสวัสดีครับยินดีมาก", "he asked: quo VADIS, then left", "quo vero vadis", "a naïve…question", "。！", "naïve",
+             "vadis", "a question quo"]
+    found = index.matches(*text_bytes(pa.array(texts)))
+    assert [m[:3] for m in found] == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 2, 0), (4, 3, 0), (6, 4, 0)]
+    spans = [texts[m[0]].encode()[m[4]:m[5]].decode() for m in found]
+    assert spans == [items[0], "今天天气真好我们去公园散步吧", items[1], "สวัสดีครับยินดี", "quo VADIS", "naïve…question"]
+    lower, words = plain_words(*text_bytes(pa.array(["한국어 문장。Ça—va“É” a😀b", "日", None, "本"])))
+    assert [lower[a:b].tobytes().decode() for a, b in zip(words.start, words.end)] == [
+        "한국어", "문장", "ça", "va", "é", "a", "b", "日", "本"]
+    assert words.first.tolist() == [0, 7, 8, 8, 9]
