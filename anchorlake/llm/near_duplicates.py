@@ -7,7 +7,8 @@ BANDS * ROWS samples picks one shingle with the chance its weight gives it, and
 pick the same with the probability of their weighted Jaccard similarity. Texts that agree on
 all samples of a band meet in a bucket, and meetings are verified on the whole texts. Weights
 may not hide a pair that shares 0.8 of its shingles: the larger of the weighted and the plain
-Jaccard similarity counts.
+Jaccard similarity counts, and as many bands again are drawn from the plain sets, because
+texts that repeat a passage often weigh it so much that they would not meet others by weight.
 
 Exact copies are one node from the start, and every node is verified against one leader of
 each bucket (the node that meets most others), so a group around a middle text takes one
@@ -138,6 +139,22 @@ def band_keys(ids: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndar
     return keys.T
 
 
+@lru_cache(maxsize=1)
+def _plain_factors() -> np.ndarray:
+    """For each sample of the plain sets: a hash multiplier."""
+    return np.random.default_rng([SEED, 1]).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def plain_band_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One key per text and band, as ``band_keys``, where every shingle has the same weight."""
+    keys = np.zeros((BANDS, len(first)), dtype=np.uint64)
+    for k, factor in enumerate(_plain_factors()):
+        least = np.minimum.reduceat(ids * factor, first)
+        band = k // ROWS
+        keys[band] = mix(keys[band] * np.uint64(0x9E3779B97F4A7C15) + mix(least) + np.uint64(BANDS + band + 1))
+    return keys.T
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, key (of the exact text), bytes and bands; texts under five words have no bands."""
     def sign(batches):
@@ -147,8 +164,9 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             ends = np.zeros(block.num_rows + 1, dtype=np.int32)
             keys = np.zeros(0, dtype=np.int64)
             if len(some):
-                keys = band_keys(ids, weights(ids, counts, idf), first).reshape(-1).view(np.int64)
-                ends[some + 1] = BANDS
+                keys = np.concatenate([band_keys(ids, weights(ids, counts, idf), first),
+                                       plain_band_keys(ids, first)], axis=1).reshape(-1).view(np.int64)
+                ends[some + 1] = 2 * BANDS
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("key"), pa.array(np.diff(offsets)),
                  pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys))],

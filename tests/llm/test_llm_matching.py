@@ -275,3 +275,15 @@ def test_items_of_few_words_and_of_scripts_without_spaces_are_found():
     assert [lower[a:b].tobytes().decode() for a, b in zip(words.start, words.end)] == [
         "한국어", "문장", "ça", "va", "é", "a", "b", "日", "本"]
     assert words.first.tolist() == [0, 7, 8, 8, 9]
+
+
+def test_a_text_and_its_own_repetitions_are_one_class(documents):
+    """Weighted by counts they share 1 / (1 + log times) of their shingles, plainly nearly all."""
+    times = (2, 3, 5, 12)
+    base = [prose(5000 + k, 80) for k in range(40)]
+    data = [(k, t) for k, t in enumerate(base)]
+    data += [(1000 + k, " ".join([t] * times[k % 4])) for k, t in enumerate(base)]
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(documents(data)).collect()}
+    assert [k for k in range(40) if got[1000 + k].class_id != k] == []
+    assert all(r.class_size == 2 for r in got.values())
+    assert sorted(r.doc_id for r in near_duplicates.keep_one(documents(data)).collect()) == list(range(40))
