@@ -2,7 +2,8 @@
 
 A text becomes a vector of hashed letter n-grams (runs of one to three bytes of lower-cased
 words), weighted by log tf and idf and scaled to length one. Each language is described by a
-few centroids, found by spherical k-means over a bounded sample of its labelled documents.
+few centroids, found by spherical k-means over a bounded sample of its labelled documents;
+document frequencies are counted over all of them.
 The prediction is the language of the centroid with the largest cosine; a text whose cosine
 stays below what nearly all of that language's own sample reaches counts as rejected.
 """
@@ -86,6 +87,26 @@ def sample_counts(docs: DataFrame, size: int) -> DataFrame:
     return drawn.mapInArrow(count, "lang string, cells array<int>, counts array<int>")
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many labelled documents each n-gram cell occurs, and how many there are."""
+    def count(batches):
+        total, texts = np.zeros(DIMENSIONS, dtype=np.int64), 0
+        for _, data, offsets in blocks(batches):
+            total += (gram_counts(data, offsets) > 0).sum(axis=0)
+            texts += len(offsets) - 1
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(used, -1)), pa.array(np.append(total[used], texts))], ["cell", "n"])
+
+    rows = _text(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text")
+    sums = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    seen = sums.toPandas()  # at most DIMENSIONS + 1 rows
+    out = np.zeros(DIMENSIONS, dtype=np.int64)
+    cells = seen[seen["cell"] >= 0]
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return out, int(seen.loc[seen["cell"] < 0, "n"].sum())
+
+
 def _dense(rows: pd.DataFrame) -> np.ndarray:
     out = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
     for k, (cells, counts) in enumerate(zip(rows["cells"], rows["counts"])):
@@ -138,12 +159,9 @@ def fit_languages(docs: DataFrame, size: int = SAMPLE, centroids: int = CENTROID
     centroids per language. Each language's sample is fitted in a task of its own.
     """
     sample = cut_lineage(sample_counts(docs, size))
-    texts = sample.count()
+    frequency, texts = document_frequencies(docs)
     if not texts:
         return None
-    seen = sample.select(F.explode("cells").alias("cell")).groupBy("cell").count().toPandas()
-    frequency = np.zeros(DIMENSIONS)
-    frequency[seen["cell"]] = seen["count"]
     idf = np.log((1 + texts) / (1 + frequency)).astype(np.float32) + np.float32(0.1)
     fitted = sample.groupBy("lang").applyInPandas(
         _fit_language(idf, centroids), "lang string, centroid array<float>, limit double").toPandas()

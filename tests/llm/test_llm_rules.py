@@ -189,3 +189,19 @@ def test_languages_are_told_apart(documents, awkward):
     assert len(odd) == awkward.count() and {r.lang_pred for r in odd} <= {"de", "fr", "und"}
     assert language_id.fit_languages(documents([])) is None
     assert {r.lang_pred for r in language_id.identify_languages(awkward, None).collect()} == {"und"}
+
+
+def test_document_frequencies_are_those_of_all_labelled_documents(documents):
+    draw = np.random.default_rng(3)
+    data = [(k, " ".join(draw.choice(words, 12)), lang) for k in range(90)
+            for words, lang in [(GERMAN, "de") if k % 9 else (FRENCH, "fr")]]
+    docs = documents(data + [(1000, None, "de")]).union(documents([(1001, "never learnt", None)], lang=None))
+    texts = [t for _, t, _ in data]
+    counts = language_id.gram_counts(*language_id_bytes(texts))
+    want = np.log(91 / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    assert np.allclose(language_id.fit_languages(docs, size=10).idf, want)
+
+
+def language_id_bytes(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
