@@ -2,10 +2,13 @@
 
 import corpus_pipeline
 from anchorlake.llm import (  # noqa: F401
+    alignment,
     decontamination,
+    fill_middle,
     language_id,
     near_duplicates,
     packing,
+    personal_data,
     preference_pairs,
     prefix_counts,
     quality_rules,
