@@ -22,27 +22,60 @@ def severity(verdict: Column) -> Column:
     return rank
 
 
-def _side(rows: DataFrame) -> DataFrame:
-    """One row per URL with every compared column present; the last row of a URL counts."""
+def _facts(rows: DataFrame) -> list[Column]:
+    """Every compared column, present or not."""
     r = Row(rows)
     flags = {"link_found", "is_followed", "is_nofollow", "is_sponsored", "is_ugc", "target_checked"}
     numbers = {"score", "da"}
-    picked = rows.where(F.coalesce("url", F.lit("")) != "").select("url", *[
-        (r.flag(c) if c in flags else r.number(c) if c in numbers
-         else r.count(c) if c == "redirect_hops" else r.text(c)).alias(c)
-        for c in RUN_COLUMNS[1:]],
-        (F.col("seq") if r.has("seq") else F.lit(0)).alias("_seq"))
+    return [(r.flag(c) if c in flags else r.number(c) if c in numbers
+             else r.count(c) if c == "redirect_hops" else r.text(c)).alias(c) for c in RUN_COLUMNS[1:]]
+
+
+def compared(rows: DataFrame) -> Column:
+    """The compared columns of a row of a run as one struct."""
+    return F.struct(*_facts(rows))
+
+
+def last_rows(rows: DataFrame) -> DataFrame:
+    """One row per URL with every compared column present; the last row of a URL counts."""
+    order = F.col("seq") if "seq" in rows.columns else F.lit(0)
+    picked = rows.where(F.coalesce("url", F.lit("")) != "").select("url", *_facts(rows), order.alias("_seq"))
     return last_per_key(picked, ["url"], [F.col("_seq"), F.col("verdict")]).drop("_seq")
 
 
+def stamped(rows: DataFrame, run_at: str, earlier: DataFrame | None = None) -> DataFrame:
+    """The rows of a run, one per URL, with its time and that of the run before it.
+
+    ``earlier`` has the ``run_at`` of all runs known; the newest one before this run is the
+    run before it, null if there is none.
+    """
+    now = F.lit(run_at).cast("timestamp")
+    before = F.lit(None).cast("timestamp") if earlier is None else earlier.where(
+        F.col("run_at") < now).agg(F.max("run_at")).scalar()
+    return last_rows(rows).withColumn("run_at", now).withColumn("prev_run_at", before)
+
+
+def closing(stamped_rows: DataFrame) -> DataFrame:
+    """One row without a URL that says that a run is over, for streams to take as the start of a later run."""
+    last = stamped_rows.agg(F.max("run_at").alias("prev_run_at"))
+    empty = [F.lit("").alias("url") if f.name == "url" else F.lit(None).cast(f.dataType).alias(f.name)
+             for f in stamped_rows.schema if f.name not in ("run_at", "prev_run_at")]
+    return last.select(*empty, (F.col("prev_run_at") + F.expr("INTERVAL 1 SECOND")).alias("run_at"), "prev_run_at").select(
+        *stamped_rows.columns)
+
+
 def run_diff(old: DataFrame, new: DataFrame, score_delta: float = 10.0) -> DataFrame:
     """All changes between two runs as (change, priority, url, ...), several per URL.
 
     One full outer join on URL and one explode over the conditions.
     """
-    was = _side(old).select("url", F.struct(*RUN_COLUMNS[1:]).alias("a"))
-    now = _side(new).select("url", F.struct(*RUN_COLUMNS[1:]).alias("b"))
-    both = was.join(now, "url", "full_outer")
+    was = last_rows(old).select("url", F.struct(*RUN_COLUMNS[1:]).alias("a"))
+    now = last_rows(new).select("url", F.struct(*RUN_COLUMNS[1:]).alias("b"))
+    return changes(was.join(now, "url", "full_outer"), score_delta)
+
+
+def changes(both: DataFrame, score_delta: float = 10.0, *more: str) -> DataFrame:
+    """The changes of URLs with their facts ``a`` in one run and ``b`` in the next; either may be null."""
     a, b = F.col("a"), F.col("b")
     common = a.isNotNull() & b.isNotNull()
     va, vb = a["verdict"], b["verdict"]
@@ -86,7 +119,7 @@ def run_diff(old: DataFrame, new: DataFrame, score_delta: float = 10.0) -> DataF
             F.lit(change).alias("change"), F.lit(priority).alias("priority"), detail.alias("detail"))))
     return (
         both.withColumn("_c", F.explode(F.array(*rows))).where(F.col("_c").isNotNull())
-        .select(F.col("_c.change"), F.col("_c.priority"), "url",
+        .select(F.col("_c.change"), F.col("_c.priority"), "url", *more,
                 F.coalesce(b["registered"], a["registered"]).alias("domain"),
                 va.alias("was"), vb.alias("now"),
                 F.when(a.isNotNull(), sa).alias("score_was"), F.when(b.isNotNull(), sb).alias("score_now"),

@@ -100,6 +100,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def folders(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Names of the folders in ``path`` that hold a file of the given name; none where there is no ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(hadoop.Path(f"{path}/*/{holding}"))
+    return sorted(status.getPath().getParent().getName() for status in found or [])
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove folders wherever Spark can reach them; one that is gone already is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core.
 

@@ -1,86 +1,112 @@
-"""Structured Streaming jobs: pacing, progressive audits, URL dedup, change alerts."""
+"""Structured Streaming jobs: pacing, progressive audits, URL dedup, change alerts.
+
+State that a later batch needs lives in the state store or, for audited pages, in a keyed
+result store; no job reads all it has written before.
+"""
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from anchorlake.config import AuditConfig
 from anchorlake.functions.urls import normalize_url
-from anchorlake.operators.pacing import pacing_batch
-from anchorlake.operators.rundiff import run_diff
-
-PACE = "host string, delay double, peak double, pushbacks long, responses long"
+from anchorlake.operators.rundiff import changes, compared
+from anchorlake.streaming.pace import PACED, paced
+from anchorlake.streaming.results import ResultStore
 
 
-def pacing_stream(responses: DataFrame, cfg: AuditConfig, path: str, checkpoint: str) -> DataStreamWriter:
+def pacing_stream(
+    responses: DataFrame, cfg: AuditConfig, path: str, checkpoint: str, idle: float | None = None
+) -> DataStreamWriter:
     """Recommended delay per host from a stream of (host, ts, seq, status, retry_after).
 
-    Every micro-batch goes on from the state the one before it left under ``path``, one
-    folder per batch, and replays its responses in range partitions. So a backlog of any
-    size, and a host that owns a third of it, are spread over all tasks, and a retried
-    batch writes the same state again.
+    Each micro-batch reads and writes the state of its own hosts only, and writes their new
+    values to a folder of its own under ``path``, which a retried batch overwrites. Responses
+    count in time order within a batch, batches as they come. With ``idle``, a host that is
+    silent for so many seconds of the stream's own time recovers as with one good answer, and
+    responses that come more than ``idle`` seconds behind the newest one are dropped.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.schema(PACE).parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
-        pacing_batch(batch, cfg, before=before).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return paced(responses, cfg, idle).writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint)
 
 
-def latest_pacing(spark: SparkSession, path: str) -> DataFrame:
-    """The state after the last micro-batch under ``path``."""
-    states = spark.read.option("basePath", path).parquet(path)
-    last = states.select(F.max("batch")).first()[0]  # one number
-    return states.where(F.col("batch") == last).drop("batch")
+def latest_pacing(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state of every host seen so far, read from the state store of ``pacing_stream``."""
+    state = spark.read.format("statestore").option("stateVarName", "pace").load(checkpoint)
+    return state.select("key.host", "value.*").select(*[c.split(" ")[0] for c in PACED.split(", ")])
 
 
-def unique_urls(urls: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Each normalised URL once, on its first arrival, however late it arrives again.
+def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each URL once per Arrow batch, so that a very frequent one is hardly shuffled."""
+    for batch in batches:
+        yield batch.drop_duplicates("url")
 
-    The URLs found so far are the output itself; a batch adds those it does not hold. A
-    retried batch overwrites its own folder.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        clean = batch.select(normalize_url(F.col("url")).alias("url")).where(F.col("url") != "").distinct()
-        if batch_id:
-            known = spark.read.schema("url string").parquet(*[f"{path}/batch={k}" for k in range(batch_id)])
-            clean = clean.join(known, "url", "left_anti")
-        clean.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return urls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def unique_urls(
+    urls: DataFrame, path: str, checkpoint: str, seen_at: str | None = None, keep_for: str | None = None
+) -> DataStreamWriter:
+    """Each normalised URL once, on its first arrival, appended to Parquet files under ``path``.
+
+    The URLs found are keys of the state store, so a batch costs what it holds, not what was
+    seen before. They are kept for ever; or, with an event-time column ``seen_at``, until the
+    watermark is ``keep_for`` (such as "30 days") past a URL's first arrival: a URL that comes
+    back after that is written once more, and a row older than the watermark is dropped.
+    """
+    clean = urls.withColumn("url", normalize_url(F.col("url"))).where(F.col("url") != "")
+    if keep_for is None:
+        found = clean.select("url").mapInPandas(_thinned, "url string").dropDuplicates(["url"])
+    else:
+        timed = clean.select("url", F.col(seen_at).alias("seen_at")).withWatermark("seen_at", keep_for)
+        found = timed.dropDuplicatesWithinWatermark(["url"]).select("url")
+    return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
 def incremental_audit(
-    pages: DataFrame, audit: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    pages: DataFrame, audit: Callable[[DataFrame], DataFrame], store: ResultStore, checkpoint: str,
+    now: Column | None = None,
 ) -> DataStreamWriter:
-    """Audit page files as they arrive and append the rows; the checkpoint gives resume.
+    """Audit page files as they arrive; pages with a fresh result in ``store`` are skipped.
 
-    A batch that is retried after a failure overwrites its own partition, so rows are
-    neither lost nor doubled.
+    Every micro-batch is an anti join of its pages with the fresh keys, an audit of the rest,
+    and one write into the store. The checkpoint gives resume for files already read, the
+    store for pages that come again in other files, also to another stream. A batch that is
+    retried after a failure overwrites its own rows, so none are lost or doubled. Of equal
+    keys in one batch one is audited.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        audit(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        at = now if now is not None else F.current_timestamp()
+        todo = store.without_fresh(batch, at, before=batch_id).dropDuplicates([store.key])
+        store.put(audit(todo), at, batch_id)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def change_alerts(
-    rows: DataFrame, history: Callable[[], DataFrame], path: str, checkpoint: str, delta: float = 10.0
-) -> DataStreamWriter:
-    """Compare each arriving run with the previous one and append what changed.
+def change_alerts(rows: DataFrame, late: str = "1 second", delta: float = 10.0) -> DataFrame:
+    """A stream of all changes from each run to the next, removed URLs included.
 
-    ``history`` reads the previous run's rows; URLs absent from a batch are not
-    reported as removed, since the rest of the run may still be on its way.
+    ``rows`` has one row per URL and run, with ``run_at``, the time of its run, and
+    ``prev_run_at``, that of the run before it (``rundiff.stamped`` finds it). Every row is
+    joined to those of the next run: a full outer join of the stream with itself, in which a
+    URL without partner is reported once the run is closed, and rows that come later than that
+    are dropped. A run is closed by the first row of a run more than ``late`` after it, or by its
+    closing row (``rundiff.closing``); ``late`` must be positive, as the newest run is still on
+    its way. The first run has nothing to be compared with.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        found = run_diff(history(), batch, delta).where(F.col("change") != "removed")
-        found.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    url = F.coalesce("url", F.lit(""))
+    facts = F.when(url != "", compared(rows))  # a closing row has none; it only moves both watermarks
+    was = rows.select(url.alias("was_url"), F.col("run_at").alias("was_at"), facts.alias("a"))
+    now = rows.where(F.col("prev_run_at").isNotNull()).select(
+        url.alias("now_url"), F.col("prev_run_at").alias("since"), facts.alias("b"))
+    both = was.withWatermark("was_at", late).join(
+        now.withWatermark("since", late), F.expr("was_url = now_url AND was_at = since"), "full_outer")
+    paired = both.where(F.coalesce("was_url", "now_url") != "").select(
+        F.coalesce("was_url", "now_url").alias("url"), F.coalesce("since", "was_at").alias("since"), "a", "b")
+    return changes(paired, delta, "since")
