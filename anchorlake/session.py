@@ -21,6 +21,7 @@ RUNTIME_DEFAULTS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # A page can be close to a megabyte, so Arrow batches of pages stay small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
