@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from typing import Any, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,47 +153,57 @@ _METRIC_KEYS = {
 }
 
 
-def _records(node: Any) -> Iterator[dict]:
-    """Objects anywhere in a JSON value that name a target, outermost first."""
-    pending = [node]
-    while pending:
-        here = pending.pop()
-        children = list(here.values()) if isinstance(here, dict) else here if isinstance(here, list) else []
-        if isinstance(here, dict):
-            plain = {k.lower(): v for k, v in reversed(list(here.items()))}
-            squeezed = {k.lower().replace(" ", "").replace("_", ""): v for k, v in here.items()}
-            target = next((str(plain[k]) for k in _TARGET_KEYS if plain.get(k)), None)
-            if target:
-                yield {"target": target, **{
-                    m: next((str(squeezed[k]) for k in keys if k in squeezed), None)
-                    for m, keys in _METRIC_KEYS.items()}}
-        pending.extend(reversed(children))
-
-
 def unreadable_payloads(payloads: DataFrame) -> DataFrame:
-    """How many payloads are null or no JSON."""
+    """How many payloads are null, no JSON, or nested more than 1,000 deep."""
     return payloads.agg(F.count_if(F.col("payload").isNull() | F.try_parse_json("payload").isNull()).alias("unreadable"))
 
 
+# objects and lists of every payload, outermost first; path holds the place of a node in each of its parents
+_NODES = """
+WITH RECURSIVE node(seq, path, v) MAX RECURSION LEVEL 1002 AS (
+  SELECT seq, CAST(array() AS ARRAY<INT>), v FROM {parsed} WHERE v IS NOT NULL
+  UNION ALL
+  SELECT n.seq, concat(n.path, array(e.pos)), e.value FROM node n, LATERAL variant_explode(n.v) e
+  WHERE try_cast(e.value AS MAP<STRING, VARIANT>) IS NOT NULL OR try_cast(e.value AS ARRAY<VARIANT>) IS NOT NULL)
+SELECT seq, path, map_entries(try_cast(v AS MAP<STRING, VARIANT>)) AS fields FROM node"""
+
+
+def _field(names: list[str], key: Column, usable: Column | None = None) -> Column:
+    """The text of the first of ``names`` that is a key of the object; of equal keys the last one."""
+    def entries(name: str) -> Column:
+        same = lambda e: (key(e["key"]) == name) & (F.lit(True) if usable is None else usable(e["value"]))
+        return F.filter("fields", same)
+
+    found = [F.get(F.reverse(entries(n)), F.lit(0)) for n in names]
+    first = F.coalesce(*found)["value"]
+    return first.try_cast("string")
+
+
+def _squeezed(key: Column) -> Column:
+    return F.regexp_replace(F.lower(key), "[ _]", "")
+
+
+def _names_something(value: Column) -> Column:
+    """A value that is no object or list, and neither null nor empty, zero or false."""
+    inner = F.coalesce(value.try_cast("map<string,variant>").isNotNull(), F.lit(False)) | F.coalesce(
+        value.try_cast("array<variant>").isNotNull(), F.lit(False))
+    return ~inner & ~F.coalesce(value.try_cast("string"), F.lit("")).isin("", "0", "0.0", "false")
+
+
 def walk_payload(payloads: DataFrame) -> DataFrame:
-    """Metrics found anywhere in JSON payloads of unknown shape; unreadable ones hold none."""
-    fields = ["target", *_METRIC_KEYS]
-
-    def records_of(text: str | None) -> list[dict]:
-        try:
-            return list(_records(json.loads(text))) if text else []
-        except ValueError:
-            return []
-
-    @F.pandas_udf("array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>")
-    def records(texts: pd.Series) -> pd.Series:
-        return texts.map(records_of)
-
-    rows = payloads.select("seq", F.posexplode(records("payload")).alias("pos", "i")).select(
-        "seq", "pos", U.registered_domain(F.col("i.target")).alias("registered"),
-        *[X.lenient_number(F.col(f"i.{m}")).alias(m) for m in _METRIC_KEYS])
+    """Metrics found anywhere in JSON payloads of unknown shape; unreadable ones hold none.
+
+    Payloads are parsed once and taken apart level by level, so no task holds more than one
+    of them. Of a domain that is named several times the last payload counts, and in it the
+    last element of a list; the fields of an object count in the order of their names.
+    """
+    parsed = payloads.select("seq", F.try_parse_json("payload").alias("v"))
+    nodes = payloads.sparkSession.sql(_NODES, parsed=parsed).where("fields IS NOT NULL")
+    target = _field(_TARGET_KEYS, F.lower, _names_something)
+    rows = nodes.select("seq", "path", U.registered_domain(target).alias("registered"), *[
+        X.lenient_number(_field(names, _squeezed)).alias(m) for m, names in _METRIC_KEYS.items()])
     rows = rows.where((F.col("registered") != "") & F.coalesce("da", "pa", "spam_score").isNotNull())
-    return last_per_key(rows, ["registered"], [F.col("seq"), F.col("pos")]).drop("seq", "pos")
+    return last_per_key(rows, ["registered"], [F.col("seq"), F.col("path")]).drop("seq", "path")
 
 
 def normalise_payload(payloads: DataFrame, kind: str) -> DataFrame:

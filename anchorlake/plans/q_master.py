@@ -333,11 +333,12 @@ SELECT registered, CASE WHEN last % 4 = 0 THEN CAST(last % 100 AS DOUBLE) END AS
   CASE WHEN last % 4 = 1 THEN 12.5 END AS pa, CASE WHEN last % 4 = 2 THEN 3.0 END AS spam_score,
   CAST(last AS DOUBLE) AS backlinks FROM x""")
 def payload_any(t):
-    """Events as payloads of four shapes, one without any metric."""
+    """Events as payloads nested to many depths, of four shapes; those without a metric are too deep to read."""
     metric = """CASE CAST(event_id % 4 AS INT) WHEN 0 THEN concat('"Domain_Authority": ', event_id % 100) WHEN 1 THEN '"PA": "12.5%"'
       WHEN 2 THEN '"spam score": 3' ELSE '"da": "N/A"' END"""
-    payloads = t.events.selectExpr("event_id AS seq", f"""concat('{{"ok": true, "data": {{"rows": [[1, {{"Domain": "http://a.w', user_id,
-      '.com/", {{}}', {metric}, ', "TB": "', event_id, '"}}]]}}}}') AS payload""".replace("{}", ""))
+    depth = "CAST(CASE WHEN event_id % 4 = 3 THEN 1500 ELSE event_id % 20 END AS INT)"
+    payloads = t.events.selectExpr("event_id AS seq", f"""concat('{{"ok": true, "data": {{"rows": [1, ', repeat('[', {depth}),
+      '{{"Domain": "http://a.w', user_id, '.com/", ', {metric}, ', "TB": "', event_id, '"}}', repeat(']', {depth}), ']}}}}') AS payload""")
     return metrics.normalise_payload(payloads, "any").select("registered", "da", "pa", "spam_score", "backlinks")
 
 

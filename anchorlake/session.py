@@ -22,6 +22,9 @@ RUNTIME_DEFAULTS = {
     # A page can be close to a megabyte, so Arrow batches of pages stay small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    # Payloads are walked by recursion, whose rows grow with the input; equal keys are allowed.
+    "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

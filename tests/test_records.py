@@ -197,6 +197,23 @@ def test_payloads(spark):
     assert got == {"x.com": (45.0, None, 2.0), "z.com": (None, 7.0, None)}
 
 
+def test_payloads_of_any_depth_and_order(spark):
+    deep = lambda n: "[" * n + '{"domain":"deep.com","da":1}' + "]" * n
+    given = [
+        (1, deep(200)), (2, deep(200_000)), (3, '{"domain": "a.com", "da": 5} trailing'), (4, "{broken"), (5, None), (6, "7"),
+        (7, '[{"site":"a.com","da":1},{"site":"a.com","da":2}]'), (8, '{"Site":"b.com","DA":"1","D_A":"3"}'),
+        (9, '{"url":"","domain":null,"target":0,"website":"c.com","domain authority":4,"x":{"page":"d.com","pa":"5%","dofollow":6}}'),
+        (10, '{"da":1,"da":9,"domain":"e.com"}'), (11, '{"domain":{"x":1},"da":3,"page":"f.com"}')]
+    rows = spark.createDataFrame(given, "seq int, payload string")
+    got = {r.registered: (r.da, r.pa, r.quality_backlinks) for r in metrics.walk_payload(rows).collect()}
+    assert got.pop("b.com")[0] in (1.0, 3.0)
+    assert got == {"deep.com": (1.0, None, None), "a.com": (2.0, None, None), "c.com": (4.0, None, None),
+                   "d.com": (None, 5.0, 6.0), "e.com": (9.0, None, None), "f.com": (3.0, None, None)}
+    # too deep, broken and null ones are counted; what stands behind a first value is not read
+    assert metrics.unreadable_payloads(rows).first().unreadable == 3
+    assert metrics.walk_payload(rows.limit(0)).count() == 0
+
+
 def test_queue_batches(spark):
     domains = spark.range(250).selectExpr("concat('d', lpad(id, 4, '0'), '.com') AS registered")
     known = domains.where("registered < 'd0020'").selectExpr("registered", "CASE WHEN registered < 'd0010' THEN 1.0D END AS da")
