@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from typing import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorlake.operators import anchors, metrics, network, report
@@ -17,24 +20,33 @@ def _place(t: Tables) -> str:
     return f"{shared_dir(t.spark)}/files/{uuid.uuid4().hex}"
 
 
+def _write_headed(lines: DataFrame, head: list[str], path: str) -> None:
+    """Files of type csv, one for each partition, that all begin with the same lines."""
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": head})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.options(sep="\u0001", quote="", escapeQuotes=False).csv(path)
+
+
 # customers as three kinds of link lists: half of them twice
 @query("list_files", """
 WITH l AS (
   SELECT c_custkey AS k, 'https://site' || c_custkey || '.com/p' AS url, 'target' || c_custkey % 7 || '.com' AS target,
-    'say "' || c_name || '", ok' AS anchor, 0 AS pos FROM customer WHERE c_custkey % 3 = 0
+    'say "' || c_name || '",' || chr(10) || 'ok' AS anchor, 0 AS pos FROM customer WHERE c_custkey % 3 = 0
   UNION ALL SELECT c_custkey, 'https://site' || c_custkey || '.com/p', c_mktsegment, '', 1 FROM customer WHERE c_custkey % 3 = 1
   UNION ALL SELECT c_custkey, 'https://site' || c_custkey || '.com/p', '', '', 2 FROM customer WHERE c_custkey % 3 = 2 OR c_custkey % 2 = 0)
 SELECT url, target, anchor, '' AS notes FROM l QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos) = 1""")
 def list_files(t):
-    """A comma list with quoted cells and a header, a semicolon list without one, and a plain list."""
+    """Comma lists with quoted cells over two lines and headers, semicolon lists without one, and plain lists."""
     place, c = _place(t), t.customer
     url = "concat('https://site', c_custkey, '.com/p')"
     c.where("c_custkey % 3 = 0").selectExpr(
         f"{url} AS `Backlink URL`", "concat('target', c_custkey % 7, '.com') AS `Target`",
-        "concat('say \"', c_name, '\", ok') AS `Anchor text`").coalesce(2).write.option("header", True).option(
+        "concat('say \"', c_name, '\",\nok') AS `Anchor text`").write.option("header", True).option(
         "escape", '"').csv(f"{place}/kind=a")
-    c.where("c_custkey % 3 = 1").selectExpr(url, "c_mktsegment").coalesce(1).write.option("sep", ";").csv(f"{place}/kind=b")
-    c.where("c_custkey % 3 = 2 OR c_custkey % 2 = 0").selectExpr(f"concat({url}, '  # seen') AS value").coalesce(1).write.text(
+    c.where("c_custkey % 3 = 1").selectExpr(url, "c_mktsegment").write.option("sep", ";").csv(f"{place}/kind=b")
+    c.where("c_custkey % 3 = 2 OR c_custkey % 2 = 0").selectExpr(f"concat({url}, '  # seen') AS value").write.text(
         f"{place}/kind=c")
     return readers.read_backlinks(t.spark, place)
 
@@ -43,16 +55,13 @@ def list_files(t):
 SELECT 'site' || p_partkey || '.com' AS registered, p_size::DOUBLE AS da, (p_size % 7)::DOUBLE AS spam_score,
   CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 1000.0 END::DOUBLE AS backlinks FROM part""")
 def export_files(t):
-    """Parts as metric exports: a headed file with long preamble, and one read by position."""
+    """Parts as metric exports: headed files with a long preamble, and files read by position."""
     place = _place(t)
     site = "concat('site', p_partkey, '.com')"
-    preamble = t.spark.range(40).selectExpr("concat('line ', id) AS value").unionByName(
-        t.spark.range(1).selectExpr("'URL,DA,SS,TB' AS value")).withColumn("at", F.lit(0))
-    body = t.part.where("p_partkey % 2 = 0").selectExpr(
-        f"concat('https://', {site}, '/,', p_size, ',', p_size % 7, '%,\"', format_number(p_partkey * 1000, 0), '\"') AS value", "1 AS at")
-    preamble.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.options(
-        sep="\u0001", quote="", escapeQuotes=False).csv(f"{place}/kind=headed")
-    t.part.where("p_partkey % 2 = 1").selectExpr(f"concat({site}, '   ', p_size, '   0   ', p_size % 7) AS value").coalesce(1).write.text(
+    lines = t.part.where("p_partkey % 2 = 0").selectExpr(
+        f"concat('https://', {site}, '/,', p_size, ',', p_size % 7, '%,\"', format_number(p_partkey * 1000, 0), '\"') AS value")
+    _write_headed(lines, [f"line {k}" for k in range(40)] + ["URL,DA,SS,TB"], f"{place}/kind=headed")
+    t.part.where("p_partkey % 2 = 1").selectExpr(f"concat({site}, '   ', p_size, '   0   ', p_size % 7) AS value").write.text(
         f"{place}/kind=plain")
     cells = readers.read_cells(t.spark, place)
     return metrics.parse_metric_cells(cells).select("registered", "da", "spam_score", "backlinks")
@@ -64,7 +73,7 @@ SELECT 'site' || s_suppkey || '.net' AS host, CAST(s_suppkey % 100 AS VARCHAR) A
 def sheet_files(t):
     place = _place(t)
     t.supplier.selectExpr("concat('site', s_suppkey, '.net') AS Domain", "s_suppkey % 100 AS DA",
-                          "CASE WHEN s_suppkey % 2 = 0 THEN 'Spammy' ELSE 'No Issues' END AS Status").coalesce(1).write.option(
+                          "CASE WHEN s_suppkey % 2 = 0 THEN 'Spammy' ELSE 'No Issues' END AS Status").write.option(
         "header", True).csv(f"{place}/kind=sheet")
     return readers.read_sheet(readers.read_cells(t.spark, place)).select("host", "da", "status")
 

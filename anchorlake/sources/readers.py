@@ -7,11 +7,13 @@ aggregates per file.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorlake import fixed_values as fixed
 from anchorlake.functions.urls import normalize_url
 from anchorlake.operators.keyed import first_per_key
+from anchorlake.session import cut_lineage
 
 DELIMITERS = [",", ";", "\t", "|"]
 ALL_HEADERS = set(fixed.URL_HEADERS + fixed.TARGET_HEADERS + fixed.ANCHOR_HEADERS + fixed.NOTE_HEADERS)
@@ -19,9 +21,12 @@ BACKLINK_COLUMNS = ["url", "target", "anchor", "notes"]
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and a number that grows with their position in the file."""
+    """Lines with their file and a number that grows with their position in the file.
+
+    Byte-order marks and bytes that are no UTF-8 are left out.
+    """
     raw = spark.read.text(path).select(
-        F.regexp_replace(F.col("value"), "^﻿", "").alias("line"),
+        F.regexp_replace(F.col("value"), "^\ufeff|\ufffd", "").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("mtime"))
@@ -30,6 +35,85 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
                       F.monotonically_increasing_id().alias("at"))
 
 
+# --- fixed value: the longest cell the usual csv readers accept
+LONGEST_CELL = 131_072
+
+
+def _open_after(line: Column, inside: bool) -> Column:
+    """Does a quoted cell stay open behind a line that starts inside one, or outside?
+
+    The line is cut at its quotes. Outside, a quote opens a cell only where one begins; inside,
+    it closes the cell, or is the first of two that stand for one.
+    """
+    parts = F.split(line, '"')
+    begins = f"[{''.join(DELIMITERS)}] *$"
+    state = lambda is_open, closed: F.struct(is_open.alias("open"), closed.alias("closed"))
+
+    def at_quote(s: Column, part: Column) -> Column:
+        """The state behind the quote that follows ``part``."""
+        doubled = s["closed"] & (part == "")
+        return state(F.when(s["open"], False).otherwise(doubled | part.rlike(begins)), s["open"])
+
+    first = F.get(parts, F.lit(0))
+    start = state(F.lit(False), F.lit(True)) if inside else state(first.rlike(f"^ *$|{begins}"), F.lit(False))
+    quotes = F.size(parts) - 1
+    last = F.aggregate(F.slice(parts, 2, F.greatest(quotes - 1, F.lit(0))), start, at_quote)
+    return F.when(quotes == 0, F.lit(inside)).otherwise(last["open"])
+
+
+def join_records(lines: DataFrame) -> DataFrame:
+    """Lines of delimited files, those that a quoted cell runs over joined to one.
+
+    What a line does to the state "inside a quoted cell" is a map of two values, and such maps
+    compose. So the state at every line's start follows from a running composition inside each
+    file block and one value per block, however long a file is. Files in which no line opens
+    such a cell are passed through. What would be longer than the longest cell csv readers accept,
+    as behind a quote that is never closed, is no cell: its lines are records of their own.
+    """
+    stepped = lines.withColumn("_out", _open_after(F.col("line"), False)).withColumn(
+        "_in", _open_after(F.col("line"), True)).withColumn("_chunk", F.shiftright("at", 33))
+    broken = stepped.where("_out").select("file").distinct()
+    plain = lines.join(broken, "file", "left_anti")
+    mapped = cut_lineage(stepped.join(broken, "file", "left_semi"))  # read several times below
+    here = W.partitionBy("file", "block", "_chunk").orderBy("at")
+    before = here.rowsBetween(W.unboundedPreceding, -1)
+    # a line that sets the state whatever it was, and how often the state has turned since
+    fixed_to = F.when(F.col("_out") == F.col("_in"), F.col("_out"))
+    turned = (F.col("_out") & ~F.col("_in")).cast("int")
+    counted = mapped.withColumn("_turns", F.sum(turned).over(here)).withColumn("_set", F.when(
+        fixed_to.isNotNull(), F.struct(fixed_to.alias("to"), F.col("_turns").alias("at"))))
+    state = lambda since, turns, start: F.when(since.isNotNull(), since["to"] != ((turns - since["at"]) % 2 == 1)).otherwise(
+        start != (turns % 2 == 1))
+    chunks = counted.groupBy("file", "block", "_chunk").agg(
+        F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("at"))).alias("_set"), F.max("_turns").alias("_turns"))
+    # the same composition over one row per block
+    files = W.partitionBy("file").orderBy("block", "_chunk")
+    parity = F.sum("_turns").over(files)
+    total = chunks.withColumn("_sum", parity).withColumn("_fixed", F.when(F.col("_set").isNotNull(), F.struct(
+        (F.col("_set.to") != ((F.col("_turns") - F.col("_set.at")) % 2 == 1)).alias("to"), F.col("_sum").alias("at"))))
+    earlier = files.rowsBetween(W.unboundedPreceding, -1)
+    starts = total.select("file", "block", "_chunk", F.coalesce(state(
+        F.last("_fixed", True).over(earlier), F.lag("_sum").over(files), F.lit(False)), F.lit(False)).alias("_start"))
+    placed = counted.withColumn("_since", F.last("_set", True).over(before)).withColumn(
+        "_before", F.coalesce(F.lag("_turns").over(here), F.lit(0))).join(starts, ["file", "block", "_chunk"])
+    inside = state(F.col("_since"), F.col("_before"), F.col("_start"))
+    place = F.struct("block", "at")
+    begun = placed.withColumn("_begin", F.when(~inside, place))
+    last_begin = begun.groupBy("file", "block", "_chunk").agg(F.max("_begin").alias("_last"))
+    carried = last_begin.select("file", "block", "_chunk", F.last("_last", True).over(earlier).alias("_carried"))
+    numbered = begun.withColumn("_own", F.last("_begin", True).over(here)).join(
+        carried, ["file", "block", "_chunk"]).withColumn("_record", F.coalesce("_own", "_carried"))
+    sizes = numbered.groupBy("file", "_record").agg(
+        (F.sum(F.length("line") + 1) > LONGEST_CELL).alias("_long"), F.count("*").alias("_lines"))
+    sized = numbered.join(sizes, ["file", "_record"]).select(*lines.columns, "_record", "_long", "_lines")
+    alone = sized.where("_lines = 1 OR _long").select(*lines.columns)
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "line")))
+    joined = sized.where("_lines > 1 AND NOT _long").groupBy("file", "_record").agg(
+        F.min("mtime").alias("mtime"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line")).select(
+        "file", "mtime", F.col("_record.block").alias("block"), "line", F.col("_record.at").alias("at"))
+    return plain.unionByName(alone).unionByName(joined)
+
+
 def header_at(names: Column, candidates: list[str]) -> Column:
     """0-based place of the name that equals a candidate, else of one that contains it."""
     low = F.transform(names, lambda n: F.lower(F.trim(F.coalesce(n, F.lit("")))))
@@ -83,14 +167,14 @@ def read_backlinks(spark: SparkSession, path: str, urls: list[str] | None = None
     """All link lists under a path as (url, target, anchor, notes), normalised, first wins.
 
     Files count in name order, lines in file order; URLs given directly come first. All
-    files are read in one pass, whatever their number; a quoted cell stays within its line.
+    files are read in one pass, whatever their number; quoted cells may run over several lines.
     """
     lines = lines_of(spark, path)
     base = F.lower(F.element_at(F.split("file", "/"), -1))
     lines = lines.where(~base.startswith("~$") & ~base.startswith(".") & base.rlike(r"\.(csv|tsv|txt)$"))
     if not urls and not lines.limit(1).count():
         raise FileNotFoundError(f"no link lists under {path}")
-    found = read_delimited(split_cells(lines.where(base.rlike(r"\.(csv|tsv)$")))).unionByName(
+    found = read_delimited(split_cells(join_records(lines.where(base.rlike(r"\.(csv|tsv)$"))))).unionByName(
         read_plain(lines.where(base.endswith(".txt"))))
     if urls:
         found = found.unionByName(spark.createDataFrame(
@@ -158,7 +242,7 @@ def split_cells(lines: DataFrame) -> DataFrame:
 
     def by_delimiter(d: str) -> Column:
         """A row's own cells, however many: quoted ones, with doubled quotes, or plain ones."""
-        cell = rf'(?:^|[{d}])\s*(?:"((?:[^"]|"")*)"[^{d}]*|([^{d}]*))'
+        cell = rf'(?:^|[{d}]) *+(?:"([^"]*+(?:""[^"]*+)*+)"[^{d}]*+|([^{d}]*+))'
         quoted = F.regexp_extract_all("line", F.lit(cell), F.lit(1))
         plain = F.regexp_extract_all("line", F.lit(cell), F.lit(2))
         return F.zip_with(quoted, plain, lambda q, p: F.trim(
@@ -178,7 +262,9 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     data = lines_of(spark, path).where(
         base.rlike(r"\.(csv|tsv|txt)$") & ~base.startswith("~$") & ~base.startswith(".")
         & ~F.substring_index(base, ".", 1).isin(SKIPPED_NAMES))
-    return split_cells(data).select("file", "mtime", F.struct("block", "at").alias("row_no"), "cells")
+    delimited = base.rlike(r"\.(csv|tsv)$")
+    records = join_records(data.where(delimited)).unionByName(data.where(~delimited))
+    return split_cells(records).select("file", "mtime", F.struct("block", "at").alias("row_no"), "cells")
 
 
 def read_sheet(cells: DataFrame) -> DataFrame:

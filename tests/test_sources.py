@@ -97,3 +97,55 @@ def test_report_files(spark, tmp_path):
 def test_missing_folder_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.read_backlinks(spark, str(tmp_path))
+
+
+def csv_rows(text, delimiter):
+    import csv
+    import io
+
+    return [[c.strip() for c in row] for row in csv.reader(io.StringIO(text), delimiter=delimiter) if any(row)]
+
+
+def test_records_over_several_lines_are_those_of_a_csv_reader(spark, tmp_path):
+    import random
+
+    draw = random.Random(4)
+    cells = ["plain", "", 'say "hi"', "two\nlines", "a, b; c", 'open "', "\n\n", '5" pipe', "x" * 50, 'q"\n"q', "tab\tin", "é"]
+    want = {}
+    for k in range(8):
+        delimiter = ",;\t|"[k % 4]
+        lines = []
+        for _ in range(draw.randint(1, 60)):
+            row = []
+            for c in [f"https://a{len(lines)}.com"] + [draw.choice(cells if k % 3 else cells[:2]) for _ in range(2)]:
+                quoted = any(x in c for x in (delimiter, "\n")) or c.startswith('"') or draw.random() < 0.2
+                row.append('"' + c.replace('"', '""') + '"' if quoted else c)
+            lines.append(delimiter.join(row))
+        text = "\n".join(lines) + "\n"
+        (tmp_path / f"f{k:02}.csv").write_text(text, encoding="utf-8")
+        want[f"f{k:02}.csv"] = csv_rows(text, delimiter)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1kb", before):  # many blocks a file, then one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.split_cells(readers.join_records(readers.lines_of(spark, str(tmp_path)))).collect()
+            got = {name: [[c.strip() for c in r.cells] for r in sorted(rows, key=lambda r: (r.block, r.at))
+                          if r.file.endswith(name)] for name in want}
+            for name in want:
+                assert got[name] == [r for r in want[name] if any(r)], name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_no_link_is_invented_from_a_cell_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfurl,anchor,notes\n"https://a.com/1","two\nlines, more","n"\nhttps://b.com,caf\xe9,\n')
+    (tmp_path / "b.tsv").write_text("https://c.com\t\tx\nhttps://d.com\tt.com\ty\n")
+    got = sorted((r.url, r.target, r.anchor, r.notes) for r in readers.read_backlinks(spark, str(tmp_path)).collect())
+    assert got == [("https://a.com/1", "", "two\nlines, more", "n"), ("https://b.com", "", "caf", ""),
+                   ("https://c.com", "", "", ""), ("https://d.com", "t.com", "", "")]
+
+
+def test_a_quote_that_is_never_closed_swallows_no_links(spark, tmp_path):
+    rows = "".join(f"https://s{k}.com,{'word ' * 30}\n" for k in range(2000))
+    (tmp_path / "a.csv").write_text('https://first.com,"never closed\n' + rows)
+    assert readers.read_backlinks(spark, str(tmp_path)).count() == 2001
