@@ -14,7 +14,6 @@ rarer ones go through a join.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ from anchorlake.llm.common import type_of
 from anchorlake.llm.packing import Encoder
 from anchorlake.llm.prefix_counts import tokenizer_path
 from anchorlake.llm.registry import query
-from anchorlake.llm.textblocks import blocks, mix, range_hashes, sums
+from anchorlake.llm.textblocks import blocks, mix, range_hashes, sums, worker_cache
 from anchorlake.session import cut_lineage
 
 BYTES, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -231,7 +230,7 @@ class Aligner:
         return n_a, n_b, groups, a[a_end - 1].astype(np.int64) << 32 | b[b_end - 1], bounds
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def aligner(bytes_path: str, pieces_path: str) -> Aligner:
     """One aligner for each worker process and pair of files."""
     return Aligner(bytes_path, pieces_path)
@@ -264,7 +263,7 @@ def align_tokens(docs: DataFrame, bytes_path: str | None = None, pieces_path: st
 
     def align(batches):
         row = TaskContext.get().partitionId() << 33
-        for block, data, offsets in blocks(batches):
+        for block, data, offsets in blocks(batches, uses=(aligner,)):
             n_a, n_b, groups, links, bounds = aligner(bytes_path, pieces_path).block(data, offsets)
             pairs, times, at = _counted(links, bounds)
             at = pa.array(at.astype(np.int32))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorlake.session import cut_lineage
+
 # Rows a broadcast side may have; its rows are narrow, so this is a few tens of megabytes.
 BROADCAST_ROWS = 200_000
 
@@ -28,5 +30,14 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], rows: int = BROAD
     return left.join(renamed, same, "left").drop(*names)
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for tables of a few narrow columns: at most four files for each core.
+
+    Such tables hold little per shuffle partition; one small file for each would cost more in
+    file operations than the rows themselves.
+    """
+    return cut_lineage(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

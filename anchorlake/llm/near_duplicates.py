@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorlake.llm.common import type_of
+from anchorlake.llm.common import cut_narrow, type_of
 from anchorlake.llm.components import components
 from anchorlake.llm.registry import query
-from anchorlake.llm.textblocks import BLOCK_ROWS, blocks, mix, range_hashes, text_bytes, window_hashes, windows, words_of
+from anchorlake.llm.textblocks import (
+    BLOCK_ROWS, blocks, mix, range_hashes, text_bytes, window_hashes, windows, words_of, worker_cache)
 from anchorlake.session import cut_lineage
 
 SHINGLE = 5
@@ -91,7 +92,7 @@ def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (1 + np.log(counts)) * idf[_cell(ids)]
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def _sampler() -> tuple[np.ndarray, ...]:
     """For each sample: a hash multiplier and pools of r, log c and beta; and log a at IDF_TOP."""
     random = np.random.default_rng(SEED)
@@ -158,7 +159,7 @@ def plain_band_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, key (of the exact text), bytes and bands; texts under five words have no bands."""
     def sign(batches):
-        for block, data, offsets in blocks(batches):
+        for block, data, offsets in blocks(batches, uses=(_sampler,)):
             text, ids, counts = shingles(data, offsets)
             some, first = np.unique(text, return_index=True)
             ends = np.zeros(block.num_rows + 1, dtype=np.int32)
@@ -289,11 +290,11 @@ def _meetings(nodes: DataFrame) -> DataFrame:
     """band, key and leader for every node that meets another one in a band."""
     placed = nodes.select("key", F.explode("bands").alias("band"))
     crowded = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut_lineage(placed.join(crowded, "band"))
+    met = cut_narrow(placed.join(crowded, "band"))
     reach = met.groupBy("key").agg(F.sum("n").alias("reach"))
     leaders = met.join(reach, "key").groupBy("band").agg(
         F.max_by("key", F.struct("reach", "key")).alias("leader"))
-    return cut_lineage(met.select("band", "key").join(leaders, "band"))
+    return cut_narrow(met.select("band", "key").join(leaders, "band"))
 
 
 def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -312,7 +313,7 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
         F.min("component").alias("_low"), F.max("component").alias("_high"),
         F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_TEXT)).cast("int").alias("parts"),
     ).where("_low != _high").select("leader", "parts")
-    left = cut_lineage(around.join(mixed, "leader").withColumn(
+    left = cut_narrow(around.join(mixed, "leader").withColumn(
         "part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
     placed = left.join(texts_of(left.select("key").distinct(), nodes, docs), "key").withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -342,11 +343,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = cut_lineage(signed.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"),
         F.first("bands").alias("bands")))
-    linked = cut_lineage(links(nodes, docs, idf, similarity))
+    linked = cut_narrow(links(nodes, docs, idf, similarity))
     degree = linked.select(F.col("a").alias("key")).union(linked.select("b")).groupBy("key").agg(
         F.count("*").alias("n_links"))
     parts = components(linked).withColumnRenamed("node", "key")
-    placed = cut_lineage(nodes.drop("bands").join(parts, "key", "left").join(degree, "key", "left").select(
+    placed = cut_narrow(nodes.drop("bands").join(parts, "key", "left").join(degree, "key", "left").select(
         "key", "doc_id", "copies", F.coalesce("component", "key").alias("component"),
         F.coalesce("n_links", F.lit(0)).alias("n_links")))
     classes = placed.groupBy("component").agg(
@@ -370,7 +371,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of rows equal in id and text, which stand for the same document, one stays.
     """
-    kept = cut_lineage(near_duplicates(docs, similarity).where("keep").where("key is not null").groupBy(
+    kept = cut_narrow(near_duplicates(docs, similarity).where("keep").where("key is not null").groupBy(
         F.col("key").alias("_key"), F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
     text = F.col("text").cast("string").cast("binary")
     whole = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5(text)).alias("key"))

@@ -10,7 +10,6 @@ shuffle: a block is as many documents in a row of one input split as hold ``BLOC
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from anchorlake.llm import pretokens as pre
 from anchorlake.llm.common import type_of
 from anchorlake.llm.registry import query
-from anchorlake.llm.textblocks import blocks
+from anchorlake.llm.textblocks import blocks, worker_cache
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SEQUENCE = 2048
@@ -58,7 +57,7 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
     return Encoder(path)
@@ -204,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int
             result = pack_block(np.concatenate(ids), np.concatenate(sizes), sequence, padding)
             yield from _batches(result, pa.concat_arrays(names), number)
 
-        for block, data, offsets in blocks(batches):
+        for block, data, offsets in blocks(batches, uses=(encoder,)):
             ids, sizes = encoder(tokenizer).block(data, offsets)
             held.append((ids, sizes, block.column("doc_id")))
             tokens += len(ids)

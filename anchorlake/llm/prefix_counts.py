@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from anchorlake.llm import pretokens as pre
 from anchorlake.llm.registry import query
-from anchorlake.llm.textblocks import blocks
+from anchorlake.llm.textblocks import blocks, worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -240,7 +239,7 @@ class PrefixCounter:
         return total, fit
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def counter(path: str) -> PrefixCounter:
     """One counter for each worker process and file."""
     return PrefixCounter(path)
@@ -257,7 +256,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     path = tokenizer or tokenizer_path(TOKENIZER)
 
     def count(batches):
-        for block, data, offsets in blocks(batches):
+        for block, data, offsets in blocks(batches, uses=(counter,)):
             total, fit = counter(path).block_totals(data, offsets, limit)
             yield pa.RecordBatch.from_arrays([
                 block.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total),

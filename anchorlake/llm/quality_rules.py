@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anchorlake.llm.common import attach, type_of
+from anchorlake.llm.common import attach, cut_narrow, type_of
 from anchorlake.llm.registry import query
 from anchorlake.llm.textblocks import blocks, range_hashes, sums, window_hashes, windows, words_of
 from anchorlake.session import cut_lineage
@@ -102,9 +102,14 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarra
 
 
 def text_measures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """The carried columns and the whole-text counts of every document."""
+    """The carried columns and the whole-text counts of every document.
+
+    A carried ``row`` holds the text, which then does not go to the tasks a second time.
+    """
+    inside = "row" in carried and dict(docs.select("row.*").dtypes).get("text") == "string"
+
     def measure(batches):
-        for block, data, offsets in blocks(batches, "_text"):
+        for block, data, offsets in blocks(batches, "row.text" if inside else "_text"):
             words = words_of(data, offsets)
             hashes = range_hashes(data, words.start, words.end)
             leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -118,7 +123,8 @@ def text_measures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id", "lang",
                 [block.column(c) for c in carried] + [pa.array(c.astype(np.int64)) for c in counts],
                 [*carried, *_COUNTS])
 
-    return docs.select(*carried, F.col("text").cast("string").alias("_text")).mapInArrow(
+    text = [] if inside else [F.col("text").cast("string").alias("_text")]
+    return docs.select(*carried, *text).mapInArrow(
         measure, ", ".join([*(f"{c} {type_of(docs, c)}" for c in carried), *(f"{c} long" for c in _COUNTS)]))
 
 
@@ -169,7 +175,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 def group_limits(measured: DataFrame) -> DataFrame:
     """The stored thresholds of every language and source in ``measured``."""
-    return cut_lineage(thresholds(cut_lineage(sketches(measured))))
+    return cut_narrow(thresholds(cut_narrow(sketches(measured))))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:

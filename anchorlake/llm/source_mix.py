@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anchorlake.llm.common import attach, type_of
+from anchorlake.llm.common import attach, cut_narrow, type_of
 from anchorlake.llm.registry import query
 from anchorlake.session import cut_lineage
 
@@ -144,11 +144,11 @@ def mix_plan(sized: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]:
     first ``room`` rows of the cell ``edge``. ``sized`` is stored.
     """
     keys = ["source", "size"]
-    lengths = cut_lineage(sized.groupBy(*keys).agg(F.count("*").alias("n")))
-    goals = cut_lineage(targets(lengths.groupBy("source").agg(
+    lengths = cut_narrow(sized.groupBy(*keys).agg(F.count("*").alias("n")))
+    goals = cut_narrow(targets(lengths.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"))))
     schema = f"source {source_type}, size long, copies int, picks long"
-    plan = cut_lineage(attach(lengths, goals, ["source"]).groupBy("source").applyInPandas(_plan, schema))
+    plan = cut_narrow(attach(lengths, goals, ["source"]).groupBy("source").applyInPandas(_plan, schema))
     cells = sized.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy(*keys).orderBy("cell")) - F.col("n")
     bounds = cells.withColumn("before", before).join(
@@ -157,7 +157,7 @@ def mix_plan(sized: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]:
     edge = bounds.where("before < picks and before + n > picks").select(
         *keys, F.col("cell").alias("edge"), (F.col("picks") - F.col("before")).alias("room"))
     whole = bounds.where("before + n <= picks").groupBy(*keys).agg(F.max("cell").alias("whole"))
-    return goals, cut_lineage(
+    return goals, cut_narrow(
         plan.alias("p").join(whole.alias("w"), F.expr("p.source <=> w.source and p.size = w.size"), "left")
         .join(edge.alias("e"), F.expr("p.source <=> e.source and p.size = e.size"), "left")
         .selectExpr("p.source", "p.size", "p.copies", "w.whole", "e.edge", "e.room"))
@@ -201,8 +201,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Documents without words go, except where their source is copied whole.
     """
     _, plan = mix_plan(cut_lineage(_measured(docs, seed)), type_of(docs, "source"))
-    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
-    rows = _taken(_measured(whole, seed, "row"), plan).where("times > 0")
+    rows = _taken(_measured(docs.withColumn("row", F.struct("*")), seed, "row"), plan).where("times > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("_n")).select("row.*")
 
 

@@ -8,8 +8,9 @@ Word and shingle identities are 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_ROWS = 256
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -61,18 +62,58 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
+_CACHES: list = []
+
+
+def worker_cache(build: Callable) -> Callable:
+    """Keep what ``build`` gave last for as long as the tasks of a worker process use it."""
+    kept = lru_cache(maxsize=1)(build)
+    _CACHES.append(kept)
+    return kept
+
+
+def drop_caches(but: tuple = ()) -> None:
+    """Free the tables of other operators, and give unused memory back to the machine.
+
+    Worker processes outlive a stage; without this each would hold the tables of every
+    operator it ever ran.
+    """
+    for cache in _CACHES:
+        if cache not in but:
+            cache.cache_clear()
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with ``a.b`` the field ``b`` of the struct ``a``."""
+    outer, _, inner = name.partition(".")
+    return batch.column(outer).field(inner) if inner else batch.column(outer)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", uses: tuple = ()) -> Iterator[
         tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into blocks of at most 256 rows and, beyond one row, 2 MB of text."""
-    for batch in batches:
-        sizes = np.cumsum(np.diff(text_bytes(batch.column(text))[1]))
-        at = 0
-        while at < batch.num_rows:
-            before = sizes[at - 1] if at else 0
-            fits = int(np.searchsorted(sizes, before + BLOCK_BYTES, side="right")) - at
-            block = batch.slice(at, max(1, min(BLOCK_ROWS, fits)))
-            yield (block, *text_bytes(block.column(text)))
-            at += block.num_rows
+    """Cut batches into blocks of at most 256 rows and, beyond one row, 1 MB of text.
+
+    ``uses`` are the worker caches of this task; others are dropped when it begins.
+    """
+    drop_caches(uses)
+    try:
+        for batch in batches:
+            sizes = np.cumsum(np.diff(text_bytes(column_of(batch, text))[1]))
+            at = 0
+            while at < batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                fits = int(np.searchsorted(sizes, before + BLOCK_BYTES, side="right")) - at
+                block = batch.slice(at, max(1, min(BLOCK_ROWS, fits)))
+                yield (block, *text_bytes(column_of(block, text)))
+                at += block.num_rows
+    finally:
+        drop_caches(uses)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
