@@ -177,17 +177,21 @@ class PrefixCounter:
         one that ends inside a special token counts its characters as ordinary text.
         """
         out = np.zeros(len(text) + 1, dtype=np.int64)
-        base = at = 0
+        count = at = 0
+        plain, before = "", 0  # the text since the last special token, and the tokens before it
         for piece, special in self.segments(text):
-            inner = self._plain_table(piece)
-            if special:
-                inner[-1] = 1
-            out[at + 1:at + len(inner)] = base + inner[1:]
-            base, at = base + int(inner[-1]), at + len(piece)
-        for token in self.special:  # the start of a special token joins the text before it
-            for found in re.finditer(re.escape(token), text):
-                for k in range(found.start() + 1, found.end()):
-                    out[k] = self.total(text[:k])
+            if special:  # its characters but the last join the text before it
+                inner = before + self._plain_table(plain + piece[:-1])[len(plain) + 1:]
+                out[at + 1:at + len(piece)] = inner
+                count += 1
+                plain, before = "", count
+            else:
+                plain, before = piece, count
+                inner = count + self._plain_table(piece)
+                out[at + 1:at + len(piece) + 1] = inner[1:]
+                count = int(inner[-1])
+            at += len(piece)
+            out[at] = count
         return out
 
     def _plain_table(self, text: str) -> np.ndarray:
@@ -268,6 +272,46 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
                "n_tokens long, over_limit boolean, limit_chars long")
 
 
+def prefix_tables(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id and ``steps``: how the count changes with each character, one signed byte each.
+
+    The running sum of the first k bytes is the exact number of tokens of the first k
+    characters, so any question about limits is answered from this column alone. Null texts
+    count as empty; repeated rows give repeated rows, other columns are ignored, and an empty
+    table gives an empty one.
+    """
+    path = tokenizer or tokenizer_path(TOKENIZER)
+
+    def tables(batches):
+        for block, data, offsets in blocks(batches, uses=(counter,)):
+            raw = data.tobytes()
+            steps = [np.diff(counter(path).table(raw[a:b].decode())).astype(np.int8).tobytes()
+                     for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(steps, pa.binary())], ["doc_id", "steps"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        tables, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, steps binary")
+
+
+def longest_prefixes(tables: DataFrame, limits: list[int]) -> DataFrame:
+    """doc_id, limit, and the characters of the longest prefix with at most so many tokens.
+
+    Answered from ``prefix_tables`` for any number of limits; no text is encoded again.
+    """
+    def answer(batches):
+        for batch in batches:
+            counts = [np.concatenate([[0], np.cumsum(np.frombuffer(s, np.int8), dtype=np.int64)])
+                      for s in batch.column("steps").to_pylist()]
+            for limit in limits:
+                chars = [int(np.flatnonzero(c <= limit)[-1]) if limit >= 0 else 0 for c in counts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([limit] * len(chars), pa.int64()), pa.array(chars, pa.int64())],
+                    ["doc_id", "limit", "chars"])
+
+    kind = tables.schema["doc_id"].dataType.simpleString()
+    return tables.mapInArrow(answer, f"doc_id {kind}, limit long, chars long")
+
+
 @query("op9_token_counts")
 def op9(t):
     return count_tokens(t.documents)

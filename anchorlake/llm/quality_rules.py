@@ -25,7 +25,7 @@ from anchorlake.session import cut_lineage
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_GROUP = 200       # smaller groups use the sketch of their language, or of everything
+PRIOR = 20            # documents of the next wider group that count beside those of a group
 FENCE = 3.0
 ACCURACY = 0.01
 # measure -> (margin, more margin per square root of the words)
@@ -162,15 +162,24 @@ def _quartiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and both quartiles of every measure, from a group of at least MIN_GROUP."""
+    """lang, source and both quartiles of every measure.
+
+    A group's quartiles are averaged with those of its language, which count as ``PRIOR``
+    documents, and a language's in the same way with those of all documents. So small groups
+    lean on wider ones, and the lean fades with size without a step.
+    """
     own = _quartiles(sketch, ["lang", "source"], "own")
     language = _quartiles(sketch, ["lang"], "lang").withColumnRenamed("lang", "_lang")
     everything = _quartiles(sketch, [], "all")
     joined = own.join(language, own["lang"].eqNullSafe(language["_lang"])).crossJoin(F.broadcast(everything))
-    pick = lambda c: F.when(F.col("own_size") >= MIN_GROUP, F.col(f"own_{c}")).when(
-        F.col("lang_size") >= MIN_GROUP, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
+
+    def leaning(group: str, wider: Column, name: str) -> Column:
+        size = F.col(f"{group}_size")
+        return (size * F.col(f"{group}_{name}") + PRIOR * wider) / (size + PRIOR)
+
+    blended = lambda name: leaning("own", leaning("lang", F.col(f"all_{name}"), name), name)
     return joined.select("lang", "source", *[
-        pick(f"{m}_{name}").alias(f"{m}_{name}") for m in MEASURES for name in ("low", "high")])
+        blended(f"{m}_{q}").alias(f"{m}_{q}") for m in MEASURES for q in ("low", "high")])
 
 
 def group_limits(measured: DataFrame) -> DataFrame:

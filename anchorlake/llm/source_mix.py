@@ -10,6 +10,8 @@ taken is then a matter of a seeded hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,19 +64,25 @@ def targets(sources: DataFrame) -> DataFrame:
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget``.
 
-    The last words are left to the exact program, at first twice the longest length and more
-    each time the budget is not met, up to all of it or ``PROGRAM_WORDS``. Where no choice
-    gives the budget, the nearest sum below it that was found is taken.
+    All is divided by the lengths' greatest common divisor first; no sum lies between its
+    multiples. The last words are left to the exact program, at first twice the longest length
+    and more each time the budget is not met, up to all of it or ``PROGRAM_WORDS`` divisors.
+    Where no choice gives the budget, the nearest sum below it that was found is taken.
     """
-    total = int((lengths * counts).sum())
     best = np.zeros(len(lengths), dtype=np.int64)
-    if budget <= 0 or total == 0:
+    if budget >= int((lengths * counts).sum()):
+        return counts.copy()
+    counts = np.where(lengths <= budget, counts, 0)  # what is longer never fits
+    if budget <= 0 or not counts.any():
         return best
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, budget = np.where(counts > 0, lengths, unit) // unit, budget // unit
+    total, longest = int((lengths * counts).sum()), int(lengths.max())
     if budget >= total:
-        return counts.copy()
-    spare = 2 * int(lengths.max())
+        return counts
+    most = min(budget, max(PROGRAM_WORDS, 2 * longest))
+    spare = min(2 * longest, budget)
     while True:
-        spare = min(spare, budget)
         take = np.floor(counts * ((budget - spare) / total)).astype(np.int64)
         left = budget - int((take * lengths).sum())
         for k in np.argsort(-lengths, kind="stable"):
@@ -84,36 +92,41 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         take = take + _subset_sum(lengths, counts - take, left)
         if int((take * lengths).sum()) > int((best * lengths).sum()):
             best = take
-        if int((best * lengths).sum()) == budget or spare == budget or spare > PROGRAM_WORDS:
+        if int((best * lengths).sum()) == budget or spare >= most:
             return best
-        spare *= 8
+        spare = min(8 * spare, most)
 
 
 def _subset_sum(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     """Bounded knapsack: counts up to ``free`` whose lengths sum nearest to ``budget`` from below.
 
     Sums reached so far are the bits of one number. Each length enters in chunks of 1, 2,
-    4, ... documents, which cover every count up to its bound.
+    4, ... documents, which cover every count up to its bound. Of the numbers on the way only
+    every square-root-th is kept; the way back computes those between them once more.
     """
-    chunks, reached = [], [1]
-    mask = (1 << (budget + 1)) - 1
+    chunks = []
     for k in np.argsort(lengths, kind="stable"):
         n, chunk = min(int(free[k]), budget // int(lengths[k])), 1
         while n > 0:
-            size = min(chunk, n)
-            chunks.append((int(k), size))
-            reached.append((reached[-1] | reached[-1] << size * int(lengths[k])) & mask)
-            n, chunk = n - size, chunk * 2
-            if reached[-1] >> budget & 1:
-                n = 0
-        if reached[-1] >> budget & 1:
-            break
-    at = reached[-1].bit_length() - 1
-    out = np.zeros(len(lengths), dtype=np.int64)
-    for (k, size), before in zip(reversed(chunks), reversed(reached[:-1])):
-        if not before >> at & 1:
-            out[k] += size
-            at -= size * int(lengths[k])
+            chunks.append((int(k), min(chunk, n)))
+            n, chunk = n - chunks[-1][1], chunk * 2
+    mask, stride = (1 << (budget + 1)) - 1, max(1, math.isqrt(len(chunks)))
+    with_chunk = lambda sums, c: (sums | sums << chunks[c][1] * int(lengths[chunks[c][0]])) & mask
+    kept, sums, used = [], 1, 0
+    while used < len(chunks) and not sums >> budget & 1:
+        if used % stride == 0:
+            kept.append(sums)
+        sums, used = with_chunk(sums, used), used + 1
+    at, out = sums.bit_length() - 1, np.zeros(len(lengths), dtype=np.int64)
+    for first in range((used - 1) // stride * stride, -1, -stride) if used else ():
+        own = [kept.pop()]
+        for c in range(first, min(first + stride, used) - 1):
+            own.append(with_chunk(own[-1], c))
+        for c in range(first + len(own) - 1, first - 1, -1):
+            if not own[c - first] >> at & 1:
+                k, size = chunks[c]
+                out[k] += size
+                at -= size * int(lengths[k])
     return out
 
 

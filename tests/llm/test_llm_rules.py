@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 import re
 import zlib
 
@@ -205,3 +206,55 @@ def test_document_frequencies_are_those_of_all_labelled_documents(documents):
 def language_id_bytes(texts):
     data = [t.encode() for t in texts]
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+def test_budgets_are_met_where_any_choice_meets_them():
+    draw = random.Random(2)
+    for _ in range(200):
+        lengths = np.array(sorted(draw.sample(range(1, 30), draw.randint(1, 6))))
+        counts = np.array([draw.randint(0, 5) for _ in lengths])
+        budget = draw.randint(0, int((lengths * counts).sum()) + 3)
+        sums = {0}
+        for length, n in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        take = source_mix.fit_budget(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_budgets_no_sum_can_meet_stay_small():
+    import tracemalloc
+
+    lengths, counts = np.arange(2, 3002, 2), np.full(1500, 400)
+    budget = int((lengths * counts).sum()) // 2 | 1
+    tracemalloc.start()
+    for free in (counts, np.append(counts, 0)):
+        own = np.append(lengths, 9999) if len(free) > len(lengths) else lengths
+        assert budget - int((source_mix.fit_budget(own, free, budget) * own).sum()) == 1
+    # no common divisor, and still out of reach: all but one document are even, and it is too long
+    own, free = np.append(lengths, budget + 2), np.append(counts, 1)
+    assert budget - int((source_mix.fit_budget(own, free, budget) * own).sum()) >= 0
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_quartiles_lean_on_wider_groups_by_count(spark):
+    sizes = {("a", "x"): 10, ("a", "y"): 1000, ("b", "x"): 50}
+    rows, values = [], {}
+    for g, ((lang, source), n) in enumerate(sizes.items()):
+        values[lang, source] = [100 * (g + 1) + k % 37 for k in range(n)]
+        rows += [(lang, source, 1, v, 0, 0, 0, 1, 0, 1, 0) for v in values[lang, source]]
+    kind = "lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules._COUNTS)
+    sketch = quality_rules.sketches(spark.createDataFrame(rows, kind))
+
+    def quartile(data, q):
+        return sorted(data)[int(np.ceil(q * len(data))) - 1]
+
+    every = sum(values.values(), [])
+    got = {(r.lang, r.source): r for r in quality_rules.thresholds(sketch).collect()}
+    for (lang, source), own in values.items():
+        wide = sum((v for k, v in values.items() if k[0] == lang), [])
+        for q, name in ((0.25, "low"), (0.75, "high")):
+            lean = (len(wide) * quartile(wide, q) + quality_rules.PRIOR * quartile(every, q)) / (len(wide) + quality_rules.PRIOR)
+            want = (len(own) * quartile(own, q) + quality_rules.PRIOR * lean) / (len(own) + quality_rules.PRIOR)
+            assert abs(got[lang, source][f"chars_per_word_{name}"] / want - 1) < 0.02

@@ -47,6 +47,29 @@ def test_every_prefix_counts_as_if_encoded_alone(counter, library):
         assert counter.table(text).tolist() == [library(text[:k]) for k in range(len(text) + 1)], text
 
 
+def test_many_special_tokens_take_linear_time(counter, library):
+    import time
+
+    part = "word and  <|endoftext|>ab it's <|endoftext|>"
+    assert counter.table(part * 3).tolist() == [library((part * 3)[:k]) for k in range(3 * len(part) + 1)]
+    began = time.process_time()
+    assert counter.table(part * 2500)[-1] == library(part * 2500)
+    assert time.process_time() - began < 5
+
+
+def test_stored_prefixes_answer_any_limit(awkward, documents, library):
+    docs = documents([(k, t) for k, t in enumerate(odd_texts(40, 9) + [prose(4, 30), None, ""])])
+    stored = prefix_counts.prefix_tables(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = prefix_counts.longest_prefixes(stored, [0, 3, 50]).collect()
+    assert len(got) == 3 * len(texts)
+    for r in got:
+        text = texts[r.doc_id]
+        assert r.chars == max(k for k in range(len(text) + 1) if library(text[:k]) <= r.limit)
+    assert prefix_counts.longest_prefixes(prefix_counts.prefix_tables(awkward), [5]).count() == awkward.count()
+    assert prefix_counts.prefix_tables(awkward.limit(0)).count() == 0
+
+
 def test_longest_prefix_within_a_limit(counter, library):
     texts = odd_texts(300, 7) + [prose(2, 40)]
     _, fit = counter.block_totals(*text_bytes(pa.array(texts)), 6)
