@@ -30,39 +30,58 @@ class Suffixes:
     """
 
     listed: frozenset[str]
+    wildcards: frozenset[str] = frozenset()   # every label under one of these makes a suffix,
+    exceptions: frozenset[str] = frozenset()  # but for these, which are sites
 
     @classmethod
     def from_list(cls, lines: Iterable[str]) -> Suffixes:
-        """From the lines of a public suffix list: comments and blanks are skipped, a
-        leading ``*.`` or ``!`` rule is read as its plain parent."""
-        rules = (line.strip().lower() for line in lines)
-        bare = (re.sub(r"^(\*\.|!)", "", r.split()[0]) for r in rules if r and not r.startswith("//"))
-        return cls(frozenset(r.strip(".") for r in bare if "." in r.strip(".")))
+        """From the lines of a public suffix list, with its ``*.`` and ``!`` rules; comments and
+        blanks are skipped."""
+        rules = [line.strip().lower().split()[0].strip(".") for line in lines
+                 if line.strip() and not line.strip().startswith("//")]
+        return cls(frozenset(r for r in rules if "." in r and r[0] not in "*!"),
+                   frozenset(r[2:] for r in rules if r.startswith("*.") and r[2:]),
+                   frozenset(r[1:] for r in rules if r[0] == "!" and "." in r))
 
     def pattern(self) -> str:
         """Regex over a host read backwards: group 1 the registered domain, group 2 the suffix.
 
         The suffixes form a tree of labels from the last one on, so a host is compared with
-        the suffixes of its own country only, however many are listed. The longest listed
+        the suffixes of its own country only, however many are listed. An exception ends the
+        suffix before its own label, a label of its own goes before the wildcard, and the longest
         suffix that leaves one more label wins; addresses match nothing.
         """
-        return _backwards(self.listed)
+        return _backwards(self)
 
 
 @lru_cache(maxsize=8)
-def _backwards(listed: frozenset[str]) -> str:
+def _backwards(suffixes: Suffixes) -> str:
     tree: dict = {}
-    for suffix in listed:
+
+    def mark(name: str, sign: str) -> None:
         below = tree
-        for label in reversed(suffix.split(".")):
+        for label in reversed(name.split(".")):
             below = below.setdefault(label, {})
-        below[""] = {}
+        below[sign] = {}
+
+    for name in suffixes.listed:
+        mark(name, "")
+    for name in suffixes.wildcards:
+        mark(name, "*")
+    for name in suffixes.exceptions:
+        mark(name, "!")
 
     def alternatives(below: dict) -> str:
-        options = [re.escape(label[::-1]) + (
-            "(?:" + r"\." + alternatives(rest) + ")" + ("?" if "" in rest else "")
-            if set(rest) - {""} else "") for label, rest in sorted(below.items()) if label]
-        return "(?:" + "|".join(options) + ")"
+        options = [node(label, rest) for label, rest in sorted(below.items()) if label not in ("", "*", "!") and (set(rest) - {"!"})]
+        return "(?:" + "|".join(options + ["[^.]+"] * ("*" in below)) + ")"
+
+    def node(label: str, rest: dict) -> str:
+        kept = sorted(name[::-1] for name, below in rest.items() if name and "!" in below)
+        more = [rf"(?=\.(?:{'|'.join(map(re.escape, kept))})(?:\.|$))"] if kept else []
+        if any(name == "*" or name and set(below) - {"!"} for name, below in rest.items() if name != "!"):
+            more.append(r"\." + alternatives(rest))
+        inner = "(?:" + "|".join(more) + ")" + ("?" if "" in rest else "") if more else ""
+        return re.escape(label[::-1]) + inner
 
     # a listed suffix is followed by one more label, or the last label alone is the suffix
     some = alternatives(tree) + r"(?=\.[^.])|" if tree else ""

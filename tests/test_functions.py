@@ -41,6 +41,44 @@ def test_given_suffix_list(rows):
     assert got == ["y.co.uk", "com.br", "z.a.b.c", "z.b.c", "a.b.c", "v.s7.t7"]
 
 
+def test_wildcard_and_exception_rules(rows):
+    suffixes = U.Suffixes.from_list(["*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "kobe.jp", "*.kobe.jp",
+                                     "co.own.kobe.jp", "// end"])
+    hosts = {"a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "b.ck": "b.ck", "www.ck": "www.ck", "a.www.ck": "www.ck",
+             "x.city.kawasaki.jp": "city.kawasaki.jp", "city.kawasaki.jp": "city.kawasaki.jp", "a.town.kawasaki.jp": "a.town.kawasaki.jp",
+             "y.a.town.kawasaki.jp": "a.town.kawasaki.jp", "town.kawasaki.jp": "kawasaki.jp", "kawasaki.jp": "kawasaki.jp",
+             "a.kobe.jp": "a.kobe.jp", "b.a.kobe.jp": "b.a.kobe.jp", "z.x.co.own.kobe.jp": "x.co.own.kobe.jp", "citys.kawasaki.jp": "kawasaki.jp"}
+    out = rows("h string", *[(h,) for h in hosts]).select("h", U.registered_of_host(F.col("h"), suffixes).alias("r")).collect()
+    assert {r.h: r.r for r in out} == hosts
+
+
+def test_rules_against_a_plain_reading(rows):
+    import random
+
+    draw = random.Random(3)
+    labels = ["a", "b", "ab", "c"]
+    name = lambda n: ".".join(draw.choice(labels) for _ in range(n))
+    for _ in range(6):
+        listed, wild = {name(draw.randint(2, 3)) for _ in range(5)}, {name(draw.randint(1, 2)) for _ in range(3)}
+        excepted = {f"{draw.choice(labels)}.{w}" for w in draw.sample(sorted(wild), 1)}
+
+        def registered(host):
+            parts = host.split(".")
+            tails = [".".join(parts[-k:]) for k in range(len(parts), 0, -1)]
+            for tail in tails:
+                if tail in excepted:
+                    return tail
+            for k, tail in enumerate(tails[1:], 1):
+                if tail in listed or tail.partition(".")[2] in wild or k == len(tails) - 1:
+                    return tails[k - 1]
+            return host
+
+        suffixes = U.Suffixes.from_list([*listed, *("*." + w for w in wild), *("!" + e for e in excepted)])
+        hosts = sorted({name(draw.randint(1, 6)) for _ in range(150)})
+        out = rows("h string", *[(h,) for h in hosts]).select("h", U.registered_of_host(F.col("h"), suffixes).alias("r")).collect()
+        assert {r.h: r.r for r in out} == {h: registered(h) for h in hosts}, (listed, wild, excepted)
+
+
 def test_labels_that_are_suffixes_in_some_countries_only(rows):
     hosts = {"mail.web.de": ("web.de", "D"), "x.nic.io": ("nic.io", "D"), "x.edu.tk": ("edu.tk", "D"),
              "shop.go.it": ("go.it", "D"), "a.ed.ws": ("ed.ws", "D"), "x.res.fr": ("res.fr", "D"),
