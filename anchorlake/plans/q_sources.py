@@ -29,6 +29,23 @@ def _write_headed(lines: DataFrame, head: list[str], path: str) -> None:
     lines.mapInPandas(headed, "value string").write.options(sep="\u0001", quote="", escapeQuotes=False).csv(path)
 
 
+def _write_documents(rows: DataFrame, path: str) -> None:
+    """Run documents, one for each partition: a list of rows over many lines between other parts."""
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["{", ' "meta": {', '  "rows": [1, "{"]', " },", ' "rows": [']})
+        comma = ""
+        for batch in batches:
+            lines = []
+            for url, verdict, target in batch.itertuples(index=False):
+                lines += [f"  {comma}" if comma else "", "  {", f'   "url": "{url}",', f'   "verdict": "{verdict}",',
+                          f'   "notes": "[{{",', f'   "input_target": "{target}"', "  }"]
+                comma = ","
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": [" ]", "}"]})
+
+    rows.mapInPandas(written, "value string").write.text(path)
+
+
 # customers as three kinds of link lists: half of them twice
 @query("list_files", """
 WITH l AS (
@@ -80,15 +97,16 @@ def sheet_files(t):
 
 @query("run_files", """
 SELECT 'https://o' || o_orderkey || '.com' AS url, CASE WHEN o_orderkey % 2 = 0 THEN 't.com' ELSE 'mine.com' END AS target,
-  '' AS anchor, '' AS notes FROM orders WHERE o_orderstatus = 'F'""")
+  '' AS anchor, CASE WHEN o_orderkey % 3 = 0 THEN '[{' ELSE '' END AS notes FROM orders WHERE o_orderstatus = 'F'""")
 def run_files(t):
-    """Orders as a saved run, read back and picked for another audit."""
+    """Orders as a saved run, and a third of them as run documents, read back and picked for another audit."""
     place = _place(t)
-    rows = t.orders.selectExpr("concat('https://o', o_orderkey, '.com') AS url",
+    rows = t.orders.selectExpr("o_orderkey", "concat('https://o', o_orderkey, '.com') AS url",
                                "CASE o_orderstatus WHEN 'F' THEN 'TOXIC' WHEN 'O' THEN 'GOOD' ELSE 'REVIEW' END AS verdict",
                                "CASE WHEN o_orderkey % 2 = 0 THEN 't.com' ELSE '' END AS input_target")
-    writers.write_run(rows, "first", place)
-    return readers.select_rerun(readers.read_run(t.spark, place), ["toxic"], "mine.com")
+    writers.write_run(rows.where("o_orderkey % 3 <> 0").drop("o_orderkey"), "first", f"{place}/saved")
+    _write_documents(rows.where("o_orderkey % 3 = 0").drop("o_orderkey"), f"{place}/documents")
+    return readers.select_rerun(readers.read_run(t.spark, f"{place}/*"), ["toxic"], "mine.com")
 
 
 @query("anchor_report", f"""WITH {_ANCHORS} SELECT anchor AS "Anchor", kind AS "Kind", CAST(count(*) AS VARCHAR) AS "Links"

@@ -6,6 +6,8 @@ aggregates per file.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from anchorlake import fixed_values as fixed
 from anchorlake.functions.urls import normalize_url
 from anchorlake.operators.keyed import first_per_key
-from anchorlake.session import cut_lineage
+from anchorlake.session import cut_lineage, shared_dir
 
 DELIMITERS = [",", ";", "\t", "|"]
 ALL_HEADERS = set(fixed.URL_HEADERS + fixed.TARGET_HEADERS + fixed.ANCHOR_HEADERS + fixed.NOTE_HEADERS)
@@ -25,7 +27,7 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
 
     Byte-order marks and bytes that are no UTF-8 are left out.
     """
-    raw = spark.read.text(path).select(
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(
         F.regexp_replace(F.col("value"), "^\ufeff|\ufffd", "").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -75,6 +77,8 @@ def join_records(lines: DataFrame) -> DataFrame:
     broken = stepped.where("_out").select("file").distinct()
     plain = lines.join(broken, "file", "left_anti")
     mapped = cut_lineage(stepped.join(broken, "file", "left_semi"))  # read several times below
+    if not mapped.limit(1).count():
+        return lines
     here = W.partitionBy("file", "block", "_chunk").orderBy("at")
     before = here.rowsBetween(W.unboundedPreceding, -1)
     # a line that sets the state whatever it was, and how often the state has turned since
@@ -101,8 +105,8 @@ def join_records(lines: DataFrame) -> DataFrame:
     begun = placed.withColumn("_begin", F.when(~inside, place))
     last_begin = begun.groupBy("file", "block", "_chunk").agg(F.max("_begin").alias("_last"))
     carried = last_begin.select("file", "block", "_chunk", F.last("_last", True).over(earlier).alias("_carried"))
-    numbered = begun.withColumn("_own", F.last("_begin", True).over(here)).join(
-        carried, ["file", "block", "_chunk"]).withColumn("_record", F.coalesce("_own", "_carried"))
+    numbered = cut_lineage(begun.withColumn("_own", F.last("_begin", True).over(here)).join(
+        carried, ["file", "block", "_chunk"]).select(*lines.columns, F.coalesce("_own", "_carried").alias("_record")))
     sizes = numbered.groupBy("file", "_record").agg(
         (F.sum(F.length("line") + 1) > LONGEST_CELL).alias("_long"), F.count("*").alias("_lines"))
     sized = numbered.join(sizes, ["file", "_record"]).select(*lines.columns, "_record", "_long", "_lines")
@@ -111,7 +115,7 @@ def join_records(lines: DataFrame) -> DataFrame:
     joined = sized.where("_lines > 1 AND NOT _long").groupBy("file", "_record").agg(
         F.min("mtime").alias("mtime"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line")).select(
         "file", "mtime", F.col("_record.block").alias("block"), "line", F.col("_record.at").alias("at"))
-    return plain.unionByName(alone).unionByName(joined)
+    return plain.unionByName(cut_lineage(alone.unionByName(joined)))
 
 
 def header_at(names: Column, candidates: list[str]) -> Column:
@@ -189,18 +193,89 @@ def dedup_first(df: DataFrame, order: list[str], url_col: str = "url") -> DataFr
     return first_per_key(clean, [url_col], [F.col(c) for c in order])
 
 
+_CHUNK = ["file", "block", "_chunk"]
+
+
+def _before(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``lines`` with the sum of ``value`` over all earlier lines of the same file.
+
+    A running sum inside each file block and one sum per block; no file meets in one task.
+    """
+    here, files = W.partitionBy(*_CHUNK).orderBy("at"), W.partitionBy("file").orderBy("block", "_chunk")
+    rows = lines.withColumn("_value", value)
+    sums = rows.groupBy(*_CHUNK).agg(F.sum("_value").alias("_sum"))
+    starts = sums.select(*_CHUNK, (F.sum("_sum").over(files) - F.col("_sum")).alias("_start"))
+    inside = F.sum("_value").over(here) - F.col("_value")
+    return rows.withColumn("_inside", inside).join(starts, _CHUNK).withColumn(
+        name, F.col("_start") + F.col("_inside")).select(*lines.columns, name)
+
+
+def _latest(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``lines`` with the last non-null ``value`` up to and with each line of its file."""
+    here, files = W.partitionBy(*_CHUNK).orderBy("at"), W.partitionBy("file").orderBy("block", "_chunk")
+    rows = lines.withColumn("_value", value)
+    last = rows.groupBy(*_CHUNK).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("at"))).alias("_last"))
+    carried = last.select(*_CHUNK, F.last("_last", True).over(
+        files.rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    return rows.withColumn("_own", F.last("_value", True).over(here)).join(carried, _CHUNK).withColumn(
+        name, F.coalesce("_own", "_carried")).select(*lines.columns, name)
+
+
+def document_rows(lines: DataFrame) -> DataFrame:
+    """file, seq and JSON text of the elements of the top-level list ``rows`` of JSON documents.
+
+    No string runs over a line break in JSON, so every line says by itself how it changes the
+    nesting, and running sums over blocks give the nesting of every line however long a
+    document is. Lines at the level of the list begin an element; elements that begin or end
+    inside a line are found where the document has one line only.
+    """
+    bare = F.regexp_replace("line", r'"(?:[^"\\]++|\\.)*+"', '""')
+    change = F.regexp_count(bare, F.lit(r"[{\[]")) - F.regexp_count(bare, F.lit(r"[}\]]"))
+    numbered = lines.withColumn("_chunk", F.shiftright("at", 33)).withColumn(
+        "_line", F.col("at") - F.min("at").over(W.partitionBy(*_CHUNK)))
+    leveled = cut_lineage(_before(numbered, change, "_level"))
+    key = F.regexp_extract("line", r'^\s*"((?:[^"\\]++|\\.)*+)"\s*:', 1)
+    named = _latest(leveled, F.when((F.col("_level") == 1) & (key != ""), key), "_section")
+    inner = named.where((F.col("_section") == "rows") & (F.col("_level") >= 2))
+    begins = (F.col("_level") == 2) & F.trim("line").startswith("{")
+    # within a block lines are numbered, so this grows with the place in the file
+    placed = _latest(inner, F.when(begins, F.col("block") + F.col("_line")), "seq").where(
+        "_level > 2 OR ltrim(line) LIKE '{%'")
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "line")))
+    text = F.array_join(F.transform(parts, lambda p: p["line"]), " ")
+    return placed.groupBy("file", "seq").agg(F.regexp_replace(F.trim(text), r",\s*$", "").alias("json"))
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """Rows of saved runs; ``seq`` grows with a row's place in its file.
 
-    Runs that ``write_run`` saved are JSON lines and are read in parallel; a file that is one
-    document with a list of ``rows`` is exploded.
+    Runs that ``write_run`` saved are JSON lines. Documents with a list of ``rows`` over many
+    lines are cut at the lines of that list, in parallel; a document that is one line is parsed
+    by one task, and its rows are dealt out again.
     """
-    lines = spark.read.json(path)
-    if "rows" in lines.columns or "_corrupt_record" in lines.columns:
-        runs = spark.read.option("multiLine", True).json(path)
-        return runs.select(F.posexplode("rows").alias("seq", "r")).select(
-            "r.*", F.col("seq").cast("long").alias("seq"))
-    return lines.withColumn("seq", F.monotonically_increasing_id())
+    lines = lines_of(spark, path)
+    first = lines.where(F.trim("line") != "").groupBy("file").agg(
+        F.min_by("line", F.struct("block", "at")).alias("_first"), F.count("*").alias("_lines"))
+    # an object that is over in its first line, or goes on behind it
+    whole = F.try_parse_json("_first").isNotNull()
+    kinds = cut_lineage(first.select("file", F.when(~whole, "document").when(
+        F.try_variant_get(F.try_parse_json("_first"), "$.rows", "array<variant>").isNotNull(), "line").otherwise(
+        "rows").alias("_kind")))
+    of = lambda kind: lines.join(kinds.where(F.col("_kind") == kind), "file", "left_semi")
+    rows = of("rows").where(F.trim("line") != "").select(
+        "file", F.monotonically_increasing_id().alias("seq"), F.col("line").alias("json"))
+    single = of("line").select("file", F.posexplode(F.try_variant_get(
+        F.try_parse_json("line"), "$.rows", "array<variant>")).alias("seq", "v")).repartition("file", "seq").select(
+        "file", F.col("seq").cast("long").alias("seq"), F.to_json("v").alias("json"))
+    found = rows.unionByName(document_rows(of("document"))).unionByName(single)
+    rest = F.substring(F.trim("json"), 2, F.length("json"))
+    run = F.try_url_decode(F.regexp_extract("file", "/run_id=([^/]+)/", 1))  # the folder of a saved run
+    numbered = F.concat(F.lit('{"_seq":'), F.col("seq").cast("string"),
+                        F.when(run != "", F.concat(F.lit(',"run_id":'), F.to_json(F.array(run)).substr(F.lit(2), F.length(F.to_json(F.array(run))) - 2))).otherwise(""),
+                        F.when(F.trim(rest) == "}", "").otherwise(","), rest)
+    folder = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    found.select(numbered.alias("value")).write.text(folder)
+    return spark.read.json(folder).drop("seq").withColumnRenamed("_seq", "seq")
 
 
 def select_rerun(rows: DataFrame, verdicts: list[str] | None, default_target: str = "") -> DataFrame:

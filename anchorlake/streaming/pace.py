@@ -23,7 +23,7 @@ STATE = "delay double, peak double, pushbacks long, responses long"
 PACED = f"host string, {STATE}"
 SEGMENT = ("host string, cell long, slope double, low double, high double, slopes array<double>, lows array<double>, "
            "highs array<double>, pushbacks long, responses long, last double")
-CELL_SECONDS = 60
+CELL_SECONDS = 3600  # a host that answers once a second puts as many responses into one fold
 
 
 def keep_highest(highest: list[tuple], step: tuple) -> list[tuple]:

@@ -76,6 +76,28 @@ def test_runs_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "full")).count() == 3
 
 
+def test_run_documents_of_many_lines_are_read_in_parts(spark, tmp_path):
+    rows = [{"url": f"https://a{k}.com", "verdict": "GOOD", "note": ['x "{[" y', "a\\", "é\n", "}]"][k % 4],
+             "inner": {"rows": [k, {"z": []}]}, "list": [[], {}]} for k in range(60)] + [{}]
+    head = {"meta": {"rows": [{"url": "no"}], "when": "x"}, "anchors": None}
+    documents = {"indented.json": json.dumps(head | {"rows": rows, "after": {"rows": [1]}}, indent=1),
+                 "wide.json": json.dumps(head | {"rows": rows}, indent=4),
+                 "single.json": json.dumps(head | {"rows": rows}), "none.json": json.dumps({"rows": []}, indent=1),
+                 "lines.json": "\n".join(json.dumps(r) for r in rows)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3kb")
+        for name, text in documents.items():
+            (tmp_path / name).write_text(text)
+            got = readers.read_run(spark, str(tmp_path / name)).collect() if name != "none.json" else []
+            assert [r.url for r in sorted(got, key=lambda r: r.seq)] == ([r.get("url") for r in rows] if got else []), name
+            assert {r.url: (r.note, r.inner.rows[0]) for r in got if r.url} == (
+                {r["url"]: (r["note"], str(r["inner"]["rows"][0])) for r in rows if r} if got else {})
+        assert readers.document_rows(readers.lines_of(spark, str(tmp_path / "none.json"))).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_report_files(spark, tmp_path):
     rows = spark.createDataFrame([("https://a.com", "a.com", "TOXIC", True, None, "NET-1", "same IP 1", False),
                                   ("https://b.com", "b.com", "GOOD", False, 3.5, "", "", False)],
