@@ -7,6 +7,7 @@ about them is a Spark expression in this module and in ``links.py``.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from html import unescape
@@ -213,6 +214,80 @@ def readable_pages(pages: DataFrame, content_type_col: str = "content_type") ->
     return pages.where((kind == "") | kind.rlike("html|xml|text"))
 
 
+# --- fixed values: byte-order marks, and names that browsers read as another charset
+_MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"),
+          (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+_READ_AS = {"iso8859-1": "cp1252", "ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932",
+            "euc_kr": "cp949", "iso8859-9": "cp1254", "tis-620": "cp874"}
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:+-]+)", re.I)
+_DECLARED = re.compile(rb"<meta\s[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:+-]+)|^\s*<\?xml\s[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9_.:+-]+)",
+                       re.I)
+DECLARED_WITHIN = 1024  # where the HTML standard looks for a declaration
+
+
+def _known(name: str) -> str | None:
+    """The codec browsers use for a charset name, if there is one for text."""
+    try:
+        found = codecs.lookup(name)
+    except (LookupError, ValueError):
+        return None
+    return _READ_AS.get(found.name, found.name) if found._is_text_encoding else None
+
+
+def charset_of(body: bytes, content_type: str) -> tuple[str, int]:
+    """The charset of a page and the size of its byte-order mark.
+
+    In this order: the mark, the header, a declaration in the page, UTF-8 if the bytes are
+    that, else Windows-1252.
+    """
+    for mark, name in _MARKS:
+        if body.startswith(mark):
+            return name, len(mark)
+    named = _CHARSET.search(content_type)
+    if named and _known(named[1]):
+        return _known(named[1]), 0
+    for found in _DECLARED.finditer(body[:DECLARED_WITHIN]):
+        name = _known((found[1] or found[2]).decode("ascii"))
+        if name:  # a page that can be read as ASCII is not in UTF-16, whatever it says
+            return ("utf-8" if name.startswith(("utf-16", "utf-32")) else name), 0
+    try:
+        body.decode("utf-8")
+        return "utf-8", 0
+    except UnicodeDecodeError:
+        return "cp1252", 0
+
+
+def decode_body(body: bytes, content_type: str) -> tuple[str, str, int]:
+    """Text, charset, and how many runs of bytes could not be decoded and were left out."""
+    name, skip = charset_of(body, content_type)
+    try:
+        return body[skip:].decode(name), name, 0
+    except UnicodeDecodeError:
+        lost = 0
+
+        def leave_out(error: UnicodeError):
+            nonlocal lost
+            lost += 1
+            return "", error.end
+
+        codecs.register_error("anchorlake.leave_out", leave_out)
+        return body[skip:].decode(name, "anchorlake.leave_out"), name, lost
+
+
+def decoded_pages(pages: DataFrame, body_col: str = "body", content_type_col: str = "content_type") -> DataFrame:
+    """Replace the bytes of each page by html, charset and undecodable; a page without bytes is empty."""
+    kept = [f for f in pages.schema.fields if f.name != body_col]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [decode_body(bytes(b or b""), t or "") for b, t in zip(batch[body_col], batch[content_type_col])]
+            text = pd.DataFrame(read, columns=["html", "charset", "undecodable"], index=batch.index)
+            yield pd.concat([batch[[f.name for f in kept]], text], axis=1)
+
+    return pages.mapInPandas(decode, f"{fields}html string, charset string, undecodable int")
+
+
 def hidden_text(html: Column) -> Column:
     """Does the markup hide anything with inline styles?"""
     return html.rlike("(?i)" + fixed.HIDDEN_STYLE)

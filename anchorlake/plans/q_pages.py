@@ -129,17 +129,23 @@ def indexability(t):
 
 
 @query("readable_pages", f"""
-WITH k AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/HTML; charset=utf-8'
-  WHEN 2 THEN NULL WHEN 3 THEN 'image/png' ELSE 'application/xhtml+xml' END AS content_type FROM pages)
-SELECT coalesce(content_type, '') AS content_type, count(*) AS n, sum(len({_HREFS}))::BIGINT AS links
-FROM k JOIN pages USING (page_id) WHERE page_id % 5 NOT IN (0, 3) GROUP BY 1""")
+WITH k AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/HTML; charset=UTF-16'
+  WHEN 2 THEN NULL WHEN 3 THEN 'image/png' ELSE 'application/xhtml+xml; charset="utf8"' END AS content_type,
+  CASE page_id % 5 WHEN 1 THEN 'utf-16-le' ELSE 'utf-8' END AS charset, page_id % 5 = 4 AS broken FROM pages)
+SELECT coalesce(content_type, '') AS content_type, charset, count(*) AS n, sum(broken::INT)::BIGINT AS undecodable,
+  sum(length(html))::BIGINT AS chars, sum(len({_HREFS}))::BIGINT AS links
+FROM k JOIN pages USING (page_id) WHERE page_id % 5 NOT IN (0, 3) GROUP BY 1, 2""")
 def readable(t):
-    kinds = spread(t.pages).selectExpr("page_id", "url", "html", """CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'application/pdf'
-      WHEN 1 THEN 'text/HTML; charset=utf-8' WHEN 2 THEN NULL WHEN 3 THEN 'image/png'
-      ELSE 'application/xhtml+xml' END AS content_type""")
-    return pages.parse_pages(pages.readable_pages(kinds)).groupBy(
-        F.coalesce("content_type", F.lit("")).alias("content_type")).agg(
-        F.count("*").alias("n"), F.sum(F.size("links")).cast("long").alias("links"))
+    """Pages as bytes: UTF-16 with a mark, UTF-8 by the page's own word, and UTF-8 with bytes that are none."""
+    kinds = spread(t.pages).selectExpr("page_id", "url", """CASE CAST(page_id % 5 AS INT)
+        WHEN 1 THEN concat(X'FFFE', encode(html, 'UTF-16LE'))
+        WHEN 4 THEN concat(X'', encode(html, 'UTF-8'), X'FFFE') ELSE encode(html, 'UTF-8') END AS body""",
+        """CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/HTML; charset=UTF-16'
+        WHEN 2 THEN NULL WHEN 3 THEN 'image/png' ELSE 'application/xhtml+xml; charset="utf8"' END AS content_type""")
+    read = pages.decoded_pages(pages.readable_pages(kinds)).withColumn("chars", F.length("html"))
+    return pages.parse_pages(read).groupBy(F.coalesce("content_type", F.lit("")).alias("content_type"), "charset").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("undecodable") > 0, 1).otherwise(0)).cast("long").alias("undecodable"),
+        F.sum("chars").cast("long").alias("chars"), F.sum(F.size("links")).cast("long").alias("links"))
 
 
 @query("lang_mismatch", """

@@ -142,3 +142,31 @@ def test_links_with_their_own_targets(spark):
     cfg = AuditConfig(target_site="theirs.com")
     out = audit(listed, Observations(stored), cfg, classify.authority_dim(spark), cluster=False)
     assert {r.url: r.link_found for r in out.collect()} == {"https://a.net/p": True, "https://b.net/p": False}
+
+
+@pytest.mark.parametrize("body, content_type, want", [
+    ("\ufeffé".encode("utf-8"), "text/html; charset=latin-1", ("é", "utf-8", 0)),
+    ("\ufeffé".encode("utf-16-be"), "", ("é", "utf-16-be", 0)),
+    ("é€".encode("cp1252"), "text/html; Charset='ISO-8859-1'", ("é€", "cp1252", 0)),
+    ("日本".encode("shift_jis"), "text/html;charset=Shift_JIS", ("日本", "cp932", 0)),
+    (b"<meta charset='koi8-r'>" + "да".encode("koi8-r"), "text/html; charset=no-such", ("<meta charset='koi8-r'>да", "koi8-r", 0)),
+    (b'<META http-equiv=x content="text/html; charset=windows-1251">' + "да".encode("cp1251"), "",
+     ('<META http-equiv=x content="text/html; charset=windows-1251">да', "cp1251", 0)),
+    (b"<?xml version='1.0' encoding='gb2312'?>" + "中".encode("gb18030"), "", ("<?xml version='1.0' encoding='gb2312'?>中", "gb18030", 0)),
+    (b"<meta charset=utf-16>\xc3\xa9", "", ("<meta charset=utf-16>é", "utf-8", 0)),
+    ("é".encode("utf-8"), "", ("é", "utf-8", 0)),
+    (b"caf\xe9", "", ("café", "cp1252", 0)),
+    (b"a\xff\xfeb\xc3", "text/html; charset=utf-8", ("ab", "utf-8", 3)),
+    (b"<meta charset=rot13>x", "charset=base64", ("<meta charset=rot13>x", "utf-8", 0)),
+    (b"", "", ("", "utf-8", 0)),
+])
+def test_charset_and_decoding(body, content_type, want):
+    assert pages.decode_body(body, content_type) == want
+
+
+def test_pages_as_bytes(spark):
+    given = spark.createDataFrame([(1, bytearray(b"caf\xe9"), None), (2, None, "text/html"), (3, bytearray(b"\xff"), "x; charset=utf-8")],
+                                  "id int, body binary, content_type string")
+    got = {r.id: (r.html, r.charset, r.undecodable) for r in pages.decoded_pages(given).collect()}
+    assert got == {1: ("café", "cp1252", 0), 2: ("", "utf-8", 0), 3: ("", "utf-8", 1)}
+    assert pages.decoded_pages(given.limit(0)).count() == 0
