@@ -1,8 +1,7 @@
 """Keyword and marker scans over URLs and page text.
 
-Rules are literals in the plan: no rule x text join, no explode. One alternation
-decides whether a text contains any rule word at all; only texts that do are
-counted rule by rule.
+Rules are literals in the plan: no rule x text join. The words of all rules are found in one
+pass over a text, so its cost does not grow with their number.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorlake.functions.text import contains_any_keyword, keyword_pattern
+from anchorlake.operators.wordtrie import word_hits
 from anchorlake.rules import DEFAULT_DIRECTORY, DEFAULT_PAID, DEFAULT_PARKED, Keyword
 
 
@@ -25,19 +25,19 @@ def contains_any(low: Column, words: list[str]) -> Column:
 def scan_urls(df: DataFrame, rules: list[Keyword], url_col: str = "url") -> DataFrame:
     """Distinct sorted categories and words that occur in the lower-cased URL."""
     url = F.lower(F.coalesce(F.col(url_col), F.lit("")))
-    hits = F.array_compact(F.array(*[
-        F.when(url.contains(r.word), F.struct(F.lit(r.category).alias("c"), F.lit(r.word).alias("w")))
-        for r in rules]))
-    scanned = df.withColumn("_hits", F.when(contains_any(url, [r.word for r in rules]), hits))
+    scanned = df.withColumn("_hits", word_hits(url, [r.word for r in rules], plain=True))
 
-    def listed(part: str) -> Column:
-        return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.col(part))), ", "), F.lit(""))
+    def listed(names: list[str]) -> Column:
+        found = F.transform("_hits", lambda h: F.get(_strings(names), h["rule"]))
+        return F.array_join(F.array_sort(F.array_distinct(found)), ", ")
 
-    return (
-        scanned
-        .withColumn("url_spam_categories", listed("_hits.c"))
-        .withColumn("url_spam_keywords", listed("_hits.w"))
-        .drop("_hits"))
+    return scanned.withColumns({
+        "url_spam_categories": listed([r.category for r in rules]),
+        "url_spam_keywords": listed([r.word for r in rules])}).drop("_hits")
+
+
+def _strings(values: list[str]) -> Column:
+    return F.lit(values) if values else F.array().cast("array<string>")
 
 
 def scan_text(
@@ -49,66 +49,54 @@ def scan_text(
     Spam is one unambiguous word, ``total_hits`` hits in all, or ``category_hits``
     in one category. Categories come most hits first, then in rule order.
     """
-    low = F.col("_low")
     categories: list[str] = list(dict.fromkeys(r.category for r in rules))
     rules = [r for c in categories for r in rules if r.category == c]
-    counted = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit("")))).withColumn(
-        "_n", F.when(
-            contains_any_keyword(low, [r.word for r in rules]),
-            F.array(*[F.regexp_count(low, F.lit(keyword_pattern(r.word))) for r in rules])))
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    category_of = F.lit([categories.index(r.category) for r in rules]) if rules else F.array().cast("array<int>")
+    # one row of the plan for every category, none for every word
+    counted = df.withColumn("_hits", F.transform(word_hits(low, [r.word for r in rules]), lambda h: F.struct(
+        h["rule"].alias("rule"), h["n"].alias("n"), F.get(category_of, h["rule"]).alias("category"))))
 
     def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0), lambda acc, n: acc + n)
-
-    per_category, start = [], 1
-    for index, name in enumerate(categories):
-        size = sum(r.category == name for r in rules)
-        per_category.append(F.struct(
-            (-total(F.slice("_n", start, size))).alias("less"), F.lit(index).alias("at"),
-            F.lit(name).alias("name")))
-        start += size
-    words = [F.struct((-F.get("_n", F.lit(i))).alias("less"), F.lit(i).alias("at"),
-                      F.lit(r.word).alias("name")) for i, r in enumerate(rules)]
-
-    def ranked(structs: list[Column]) -> Column:
-        present = F.filter(F.array(*structs), lambda s: s["less"] < 0)
-        return F.when(F.col("_n").isNotNull(), F.array_sort(present))
-
-    hard = F.array_compact(F.array(*[
-        F.when(F.get("_n", F.lit(i)) > 0, F.lit(r.word))
-        for i, r in enumerate(rules) if r.unambiguous])) if any(
-            r.unambiguous for r in rules) else F.array().cast("array<string>")
+        return F.aggregate(items, F.lit(0), lambda acc, h: acc + h["n"])
+
+    def category(at: int, name: str) -> Column:
+        own = F.filter("_hits", lambda h: h["category"] == at)
+        return F.struct((-total(own)).alias("less"), F.lit(at).alias("at"), F.lit(name).alias("name"))
+
+    per_category = F.array(*[category(at, name) for at, name in enumerate(categories)]) if categories else F.array().cast(
+        "array<struct<less:int,at:int,name:string>>")
+    words = F.transform("_hits", lambda h: F.struct(
+        (-h["n"]).alias("less"), h["rule"].alias("at"), F.get(_strings([r.word for r in rules]), h["rule"]).alias("name")))
+    hard = [i for i, r in enumerate(rules) if r.unambiguous]
+    certain = F.transform(F.filter("_hits", lambda h: h["rule"].isin(hard)),
+                          lambda h: F.get(_strings([r.word for r in rules]), h["rule"]))
     ranks = counted.withColumns({
-        "_cats": ranked(per_category), "_words": ranked(words),
-        "content_spam_total": F.coalesce(total(F.col("_n")), F.lit(0)),
-        "content_spam_unambiguous": F.coalesce(F.when(
-            F.col("_n").isNotNull(), F.array_join(F.array_sort(hard), ", ")), F.lit(""))})
+        "_cats": F.array_sort(F.filter(per_category, lambda s: s["less"] < 0)), "_words": F.array_sort(words),
+        "content_spam_total": total(F.col("_hits")),
+        "content_spam_unambiguous": F.array_join(F.array_sort(certain), ", ")})
     top = F.transform(F.slice("_words", 1, 6),
                       lambda w: F.concat(w["name"], F.lit(" x"), (-w["less"]).cast("string")))
     most = F.coalesce(-F.get("_cats.less", F.lit(0)), F.lit(0))
     return ranks.withColumns({
         "content_spam": (F.col("content_spam_unambiguous") != "")
         | (F.col("content_spam_total") >= total_hits) | (most >= category_hits),
-        "content_spam_categories": F.coalesce(F.array_join("_cats.name", ", "), F.lit("")),
-        "content_spam_keywords": F.coalesce(F.array_join(top, ", "), F.lit("")),
-    }).drop("_low", "_n", "_cats", "_words")
+        "content_spam_categories": F.array_join("_cats.name", ", "),
+        "content_spam_keywords": F.array_join(top, ", "),
+    }).drop("_hits", "_cats", "_words")
 
 
 def keyword_hits(df: DataFrame, rules: list[Keyword], text_col: str = "text") -> DataFrame:
     """Long table of (row, category, word, hits) for the words that occur.
 
-    Texts without any rule word are dropped before anything is exploded, and one
-    row leaves per word present, not per rule.
+    One row leaves per word present, not per rule.
     """
-    text = F.col("_low")
-    hit = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit("")))).where(
-        contains_any_keyword(text, [r.word for r in rules]))
-    found = F.filter(F.array(*[
-        F.struct(F.lit(r.category).alias("category"), F.lit(r.word).alias("word"),
-                 F.regexp_count(text, F.lit(keyword_pattern(r.word))).alias("hits"))
-        for r in rules]), lambda s: s["hits"] > 0)
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     kept = [c for c in df.columns if c != text_col]
-    return hit.select(*kept, F.explode(found).alias("_h")).select(*kept, "_h.*")
+    hit = df.select(*kept, F.explode(word_hits(low, [r.word for r in rules])).alias("_h"))
+    named = lambda names, as_name: F.get(_strings(names), F.col("_h.rule")).alias(as_name)
+    return hit.select(*kept, named([r.category for r in rules], "category"), named([r.word for r in rules], "word"),
+                      F.col("_h.n").alias("hits"))
 
 
 def category_totals(hits: DataFrame, keys: list[str]) -> DataFrame:
