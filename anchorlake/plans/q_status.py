@@ -215,6 +215,31 @@ def hosting_stats(t):
     return observations.hosting_stats(named.withColumn("shared_host", shared).withColumn("vps_host", vps))
 
 
+_ROW_IP = """CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN concat('2001:db8::', CAST(o_custkey AS STRING)) WHEN 1 THEN NULL
+  WHEN 2 THEN ' 10.1.0.1 ' WHEN 3 THEN '10.1.0.1' ELSE concat('10.', CAST(o_custkey % 120 AS STRING), '.0.1') END"""
+
+
+@query("hosting_rows", f"""
+WITH h AS (SELECT concat('10.', s_suppkey, '.0.1') AS ip, {_ORG} AS org, {_NET} AS name FROM supplier),
+  l AS (SELECT *, lower(CASE WHEN org <> '' THEN org ELSE name END) AS label FROM h),
+  r AS (SELECT o_orderkey, trim(coalesce({_ROW_IP}, '')) AS ip FROM orders)
+SELECT o_orderkey, coalesce(l.org, '') AS net_org, coalesce(l.name, '') AS net_name,
+  coalesce(regexp_matches(label, 'cloudflare|a2 hosting'), false) AS shared_host,
+  coalesce(regexp_matches(label, 'hetzner|ovh|vultr'), false) AS vps_host
+FROM r LEFT JOIN l ON r.ip = l.ip AND r.ip NOT LIKE '%:%'""")
+def hosting_rows(t):
+    """Orders as rows, two sevenths of them on one address, with the hosting of suppliers; each address is known twice."""
+    known = t.supplier.selectExpr("concat('10.', s_suppkey, '.0.1') AS ip", f"{_ORG} AS net_org", f"{_NET} AS net_name",
+                                  "'' AS net_handle", "'' AS net_range")
+    label = F.when(F.col("net_org") != "", F.col("net_org")).otherwise(F.col("net_name"))
+    shared, vps = observations.hosting_class(label)
+    hosting = known.withColumn("shared_host", shared).withColumn("vps_host", vps)
+    later = hosting.withColumns({"net_org": F.lit("zz later"), "shared_host": F.lit(True)})
+    rows = spread(t.orders).selectExpr("o_orderkey", f"{_ROW_IP} AS ip")
+    return observations.attach_hosting(rows, later.unionByName(hosting)).select(
+        "o_orderkey", "net_org", "net_name", "shared_host", "vps_host")
+
+
 @query("archive_recovery", f"""
 WITH r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE' WHEN 2 THEN 'DNS_ERROR' ELSE 'LIVE' END <> 'LIVE'
     AND page_id % 5 <> 0 AS known, {_FOUND} AND page_id % 3 = 0 AS found, {_TITLE} AS title, {_ANCHOR_TEXTS} AS anchors FROM pages)
