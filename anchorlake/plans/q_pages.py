@@ -245,12 +245,14 @@ def anchor_summary(t):
     return anchors.anchor_summary(_profile(t), ANCHOR_CFG)
 
 
-@query("anchor_warnings", f"""WITH {_ANCHORS}, {_ANCHOR_TOTALS}, w AS (
-  SELECT 'one_anchor_dominates' AS warning, top_n AS n, total, top_anchor AS anchor FROM s, b
+_ANCHOR_WARNINGS = """SELECT 'one_anchor_dominates' AS warning, top_n AS n, total, top_anchor AS anchor FROM s, b
     WHERE 100.0 * top_n / total > 1 AND top_n >= 3
   UNION ALL SELECT 'too_many_keyword_anchors', keyword, total, '' FROM s WHERE 100.0 * keyword / total > 10
   UNION ALL SELECT 'no_branded_anchors', branded, total, '' FROM s WHERE branded = 0
-  UNION ALL SELECT 'too_many_image_anchors', image_empty, total, '' FROM s WHERE 100.0 * image_empty / total > 40)
+  UNION ALL SELECT 'too_many_image_anchors', image_empty, total, '' FROM s WHERE 100.0 * image_empty / total > 40"""
+
+
+@query("anchor_warnings", f"""WITH {_ANCHORS}, {_ANCHOR_TOTALS}, w AS ({_ANCHOR_WARNINGS})
 SELECT warning, round_even(100.0 * n / total, 1)::DOUBLE AS share, n, total, anchor FROM w""")
 def anchor_warnings(t):
     return anchors.anchor_warnings(_profile(t), ANCHOR_CFG)

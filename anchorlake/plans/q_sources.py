@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorlake.operators import anchors, metrics, network, report
-from anchorlake.plans.q_pages import ANCHOR_CFG, _ANCHORS, _profile
+from anchorlake.operators import metrics, network, report
+from anchorlake.plans.q_pages import ANCHOR_CFG, _ANCHOR_TOTALS, _ANCHOR_WARNINGS, _ANCHORS, _profile
 from anchorlake.plans.registry import Tables, query
 from anchorlake.session import shared_dir
 from anchorlake.sources import readers, writers
@@ -109,13 +109,16 @@ def run_files(t):
     return readers.select_rerun(readers.read_run(t.spark, f"{place}/*"), ["toxic"], "mine.com")
 
 
-@query("anchor_report", f"""WITH {_ANCHORS} SELECT anchor AS "Anchor", kind AS "Kind", CAST(count(*) AS VARCHAR) AS "Links"
-FROM k GROUP BY 1, 2""")
+@query("anchor_report", f"""WITH {_ANCHORS}, {_ANCHOR_TOTALS}, w AS ({_ANCHOR_WARNINGS}),
+  r AS (SELECT 'anchors' AS section, anchor AS name, kind, count(*) AS n FROM k GROUP BY 2, 3
+    UNION ALL SELECT 'kinds', kind, kind, count(*) FROM k GROUP BY 2, 3 UNION ALL SELECT 'warnings', warning, anchor, n FROM w)
+SELECT section, name, nullif(kind, '') AS kind, n, round_even(100.0 * n / (SELECT total FROM s), 1)::DOUBLE AS share FROM r""")
 def anchor_report(t):
-    """The anchor report, written and read again."""
+    """The whole anchor report, written and read again."""
     place = _place(t)
-    writers.write_anchor_report(anchors.anchor_distribution(_profile(t), ANCHOR_CFG), place)
-    return t.spark.read.option("header", True).option("escape", '"').csv(place)
+    writers.write_anchor_report(_profile(t), ANCHOR_CFG, place)
+    return t.spark.read.schema("name string, kind string, n long, share double, section string").option(
+        "header", True).option("escape", '"').csv(place)
 
 
 _NETS = """SELECT 'site' || c_custkey || '.com' AS registered, '10.0.' || c_nationkey || '.' || c_custkey % 40 AS ip FROM customer"""

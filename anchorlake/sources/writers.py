@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorlake import fixed_values as fixed
+from anchorlake.config import AuditConfig
+from anchorlake.operators.anchors import anchor_distribution, anchor_warnings
 from anchorlake.operators.columns import Row
 from anchorlake.operators.report import disavow_comments, disavow_entries
+from anchorlake.session import cut_lineage
 
 
 def report_view(rows: DataFrame) -> DataFrame:
@@ -75,10 +78,23 @@ def write_changes(changes: DataFrame, path: str) -> None:
     changes.orderBy(rank, "url").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_anchor_report(distribution: DataFrame, path: str) -> None:
-    """Every anchor with its kind and number of links."""
-    distribution.select(F.col("anchor").alias("Anchor"), F.col("kind").alias("Kind"), F.col("n").alias("Links")).orderBy(
-        F.desc("Links"), "Anchor").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def anchor_report(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """The anchor report as (section, name, kind, n, share): every anchor, the kinds' totals, the warnings."""
+    each = cut_lineage(anchor_distribution(rows, cfg))
+    total = each.agg(F.sum("n")).scalar()
+    share = lambda n: F.bround(100.0 * n / total, 1).alias("share")
+    anchors = each.select(F.lit("anchors").alias("section"), F.col("anchor").alias("name"), "kind", "n", share(F.col("n")))
+    kinds = each.groupBy("kind").agg(F.sum("n").alias("n")).select(
+        F.lit("kinds"), "kind", "kind", "n", share(F.col("n")))
+    warnings = anchor_warnings(rows, cfg).select(F.lit("warnings"), "warning", "anchor", "n", "share")
+    return anchors.union(kinds).union(warnings)
+
+
+def write_anchor_report(rows: DataFrame, cfg: AuditConfig, path: str) -> None:
+    """The anchor report as CSV, a folder for each section, most frequent first within a file."""
+    anchor_report(rows, cfg).repartitionByRange("section", F.desc("n"), "name").sortWithinPartitions(
+        "section", F.desc("n"), "name").write.mode("overwrite").partitionBy("section").option("header", True).option(
+        "escape", '"').csv(path)
 
 
 def write_network_report(members: DataFrame, groups: DataFrame, path: str) -> None:
