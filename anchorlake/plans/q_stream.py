@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anchorlake.functions import text as X
 from anchorlake.operators import links, pages, rundiff
-from anchorlake.plans.q_audit import _RUN, _diff_sql, _runs
+from anchorlake.plans.q_audit import _diff_sql, _runs
 from anchorlake.plans.q_pages import _FOUND, _WORDS, CFG
 from anchorlake.plans.q_status import PACE_CFG, _RESPONSE, _split_select, pacing_sql
 from anchorlake.plans.registry import Tables, query
