@@ -90,7 +90,8 @@ def with_link_features(parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
 def sitewide_sample(rows: DataFrame, seen: DataFrame, n: int = 3) -> DataFrame:
     """How many of a page's first internal URLs carry the target link too.
 
-    ``rows`` has ``url``, ``link_found`` and ``internal_urls``, one row per page;
+    ``rows`` has ``url``, ``link_found`` and ``internal_urls``, one row per page; pages
+    that share a URL are sampled each by its own links.
     ``seen`` has one row per readable page with ``url`` and either ``link_found`` or,
     for rows with targets of their own, the ``linked_domains`` to compare with the
     rows' ``target_domains``. Candidates are the first 3n internal URLs, of which the
@@ -101,9 +102,11 @@ def sitewide_sample(rows: DataFrame, seen: DataFrame, n: int = 3) -> DataFrame:
     own_targets = "linked_domains" in seen.columns
     carried = ["target_domains"] if own_targets else []
     keys = [k for k in ("url", "input_target") if k in rows.columns]
-    wanted = rows.where(F.col("link_found"))
-    candidates = wanted.select(
-        *keys, *carried, F.posexplode(F.slice("internal_urls", 1, 3 * n)).alias("pos", "candidate"))
+    # pages equal in all of this have equal samples
+    rows = rows.withColumn("_page", F.sha2(F.to_json(F.struct(
+        *keys, *carried, F.slice("internal_urls", 1, 3 * n).alias("candidates"))), 256))
+    candidates = rows.where(F.col("link_found")).select(
+        "_page", *carried, F.posexplode(F.slice("internal_urls", 1, 3 * n)).alias("pos", "candidate"))
     readable = seen.select(
         F.col("url").alias("candidate"),
         F.col("linked_domains" if own_targets else "link_found").alias("seen"))
@@ -111,11 +114,11 @@ def sitewide_sample(rows: DataFrame, seen: DataFrame, n: int = 3) -> DataFrame:
     looked_up = lookup(candidates, readable, "candidate").where(
         F.col("seen").isNotNull()).withColumn("hit", hit)
     # at most 3n candidates per page, so this list stays small for every page
-    sampled = looked_up.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(
+    sampled = looked_up.groupBy("_page").agg(F.slice(F.array_sort(F.collect_set(
         F.struct("pos", "hit"))), 1, n).alias("sample")).select(
-            *keys, F.size("sample").alias("sitewide_sampled"),
+            "_page", F.size("sample").alias("sitewide_sampled"),
             F.size(F.filter("sample", lambda s: s["hit"])).alias("sitewide_hits"))
-    out = rows.join(sampled, keys, "left")
+    out = rows.join(sampled, "_page", "left").drop("_page")
     hits = F.coalesce("sitewide_hits", F.lit(0))
     checked = F.coalesce("sitewide_sampled", F.lit(0))
     note = (

@@ -170,3 +170,11 @@ def test_pages_as_bytes(spark):
     got = {r.id: (r.html, r.charset, r.undecodable) for r in pages.decoded_pages(given).collect()}
     assert got == {1: ("café", "cp1252", 0), 2: ("", "utf-8", 0), 3: ("", "utf-8", 1)}
     assert pages.decoded_pages(given.limit(0)).count() == 0
+
+
+def test_pages_that_share_a_url_are_sampled_each_by_its_own_links(spark):
+    rows = spark.createDataFrame([(1, "u", True, ["a", "b"]), (2, "u", True, ["x"]), (3, "u", False, ["a"]), (4, "v", True, ["a", "b"]),
+                                  (5, "u", True, ["x"])], "id int, url string, link_found boolean, internal_urls array<string>")
+    seen = spark.createDataFrame([("a", True), ("b", True), ("x", False)], "url string, link_found boolean")
+    got = {r.id: (r.sitewide_sampled, r.sitewide_hits) for r in links.sitewide_sample(rows, seen, 3).collect()}
+    assert got == {1: (2, 2), 2: (1, 0), 3: (0, 0), 4: (2, 2), 5: (1, 0)}
