@@ -248,14 +248,18 @@ SELECT page_id, known AS archive_available,
   CASE WHEN known THEN title ELSE '' END AS archive_title, known AND found AS archive_link_found,
   CASE WHEN known AND found THEN anchors ELSE '' END AS archive_anchor FROM r""")
 def archive_recovery(t):
-    """Three snapshots per page, the newest with links on every third page only; all are parsed."""
-    rows = t.pages.selectExpr("page_id", "url", """CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE'
+    """Three snapshots per page, the newest with links on every third page only; all are parsed.
+
+    Some pages share a URL; each is filed under a URL of its own, with its id as fragment.
+    """
+    filed = "concat(url, '#', CAST(page_id AS STRING)) AS url"
+    rows = t.pages.selectExpr("page_id", filed, """CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'DEAD' WHEN 1 THEN 'GONE'
       WHEN 2 THEN 'DNS_ERROR' ELSE 'LIVE' END AS status_verdict""")
     bare = "regexp_replace(html, '<a href=\"[^\"]*\">[^<]*</a>', '')"
     copies = f"""explode(array(struct('20220115000000' AS ts, {bare} AS html),
       struct(concat('20230', CAST(1 + page_id % 9 AS STRING), '15120000') AS ts, CASE WHEN page_id % 3 = 0 THEN html ELSE {bare} END AS html),
       struct('20211231235959' AS ts, html AS html))) AS s"""
-    snaps = spread(t.pages).selectExpr("page_id", "url", copies).select("page_id", "url", "s.ts", "s.html")
+    snaps = spread(t.pages).selectExpr("page_id", filed, copies).select("page_id", "url", "s.ts", "s.html")
     seen = links.with_link_features(pages.parse_pages(snaps), CFG).select(
         F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("unlinked:"), "url")).otherwise(F.col("url")).alias("url"),
         F.concat(F.lit("https://archive.example/"), "page_id", F.lit("/"), "ts").alias("snapshot_url"), "ts",

@@ -178,3 +178,14 @@ def test_pages_that_share_a_url_are_sampled_each_by_its_own_links(spark):
     seen = spark.createDataFrame([("a", True), ("b", True), ("x", False)], "url string, link_found boolean")
     got = {r.id: (r.sitewide_sampled, r.sitewide_hits) for r in links.sitewide_sample(rows, seen, 3).collect()}
     assert got == {1: (2, 2), 2: (1, 0), 3: (0, 0), 4: (2, 2), 5: (1, 0)}
+
+
+def test_archived_copies_of_pages_that_share_a_url(spark, tmp_path):
+    from anchorlake.plans.q_status import archive_recovery
+
+    stored = [(i, "https://www.example.com/x", page(f"<nav><a href='/{i}'>to {i}</a></nav>").replace("<title>", f"<title>{i} "))
+              for i in (6, 9, 12)]
+    spark.createDataFrame(stored, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.archive_available, r.archive_date, r.archive_title.split()[0])
+           for r in archive_recovery(spark, str(tmp_path)).collect()}
+    assert got == {6: (True, "2023-07-15", "6"), 9: (True, "2023-01-15", "9"), 12: (True, "2023-04-15", "12")}
