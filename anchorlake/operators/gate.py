@@ -56,17 +56,18 @@ def with_gate(df: DataFrame, cfg: AuditConfig) -> DataFrame:
         F.concat(F.lit("passed, but the home page is "), home_verdict)).otherwise("passed every gate")
     if not cfg.staged:
         tests, passed_note = [], F.lit("")
-    stage: Column | None = None
-    for name, failing, why in tests:
-        entry = F.struct(F.lit(name).alias("stage"), why.alias("reason"), F.lit(False).alias("passed"))
-        stage = F.when(failing, entry) if stage is None else stage.when(failing, entry)
-    final = F.struct(F.lit(METRICS).alias("stage"), passed_note.alias("reason"),
-                     F.lit(True).alias("passed"))
-    gate = final if stage is None else stage.otherwise(final)
-    needs = F.lit(True) if not cfg.metrics_only_for_passing else F.col("_gate.passed")
-    names = {"gate_passed": F.col("_gate.passed"), "gate_stage": F.col("_gate.stage"),
-             "gate_reason": F.col("_gate.reason"), "needs_metrics": needs}
-    return df.withColumn("_gate", gate).withColumns(names).drop("_gate")
+    # which test fails first; a stage asked for without its reason then needs none of the reason's columns
+    at = F.lit(len(tests))
+    for k, (_, failing, _) in reversed(list(enumerate(tests))):
+        at = F.when(failing, k).otherwise(at)
+    stage, reason = F.lit(METRICS), passed_note
+    for k, (name, _, why) in enumerate(tests):
+        stage = F.when(F.col("_gate") == k, name).otherwise(stage)
+        reason = F.when(F.col("_gate") == k, why).otherwise(reason)
+    passed = F.col("_gate") == len(tests)
+    needs = F.lit(True) if not cfg.metrics_only_for_passing else passed
+    return df.withColumn("_gate", at).withColumns({
+        "gate_passed": passed, "gate_stage": stage, "gate_reason": reason, "needs_metrics": needs}).drop("_gate")
 
 
 def with_render_flags(df: DataFrame, cfg: AuditConfig) -> DataFrame:

@@ -209,3 +209,13 @@ def test_distinct_audit_rows_meet_as_narrow_line_items(spark, tmp_path):
         (u, w, u) for u, w in (("https://s3.com/1/1/2", 100), ("https://s3.com/1/2/2", 180))]
     moved = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(moved) == 1 and "min_by" not in plan
+
+
+def test_a_gate_stage_needs_none_of_the_columns_of_its_reason(spark):
+    from anchorlake.operators.gate import with_gate
+
+    rows = spark.createDataFrame([("LIVE", "casino"), ("DEAD", "")], "status_verdict string, url_spam_categories string").withColumn(
+        "error", F.lit("x")).withColumn("status_code", F.expr("uuid()"))
+    gated = with_gate(rows, AuditConfig())
+    assert [r.gate_stage for r in gated.collect()] == ["2-page-content", "1-live"]
+    assert "uuid" not in gated.select("gate_stage")._jdf.queryExecution().optimizedPlan().toString()
