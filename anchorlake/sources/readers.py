@@ -37,6 +37,14 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
                       F.monotonically_increasing_id().alias("at"))
 
 
+CHUNK_BITS = 16  # at most 65,536 lines, whatever a file block holds
+
+
+def _chunk_of(at: Column) -> Column:
+    """A file block's lines in runs small enough to be windows."""
+    return F.shiftright(at, CHUNK_BITS)
+
+
 # --- fixed value: the longest cell the usual csv readers accept
 LONGEST_CELL = 131_072
 
@@ -73,7 +81,7 @@ def join_records(lines: DataFrame) -> DataFrame:
     as behind a quote that is never closed, is no cell: its lines are records of their own.
     """
     stepped = lines.withColumn("_out", _open_after(F.col("line"), False)).withColumn(
-        "_in", _open_after(F.col("line"), True)).withColumn("_chunk", F.shiftright("at", 33))
+        "_in", _open_after(F.col("line"), True)).withColumn("_chunk", _chunk_of(F.col("at")))
     broken = stepped.where("_out").select("file").distinct()
     plain = lines.join(broken, "file", "left_anti")
     mapped = cut_lineage(stepped.join(broken, "file", "left_semi"))  # read several times below
@@ -196,18 +204,19 @@ def dedup_first(df: DataFrame, order: list[str], url_col: str = "url") -> DataFr
 _CHUNK = ["file", "block", "_chunk"]
 
 
-def _before(lines: DataFrame, value: Column, name: str) -> DataFrame:
-    """``lines`` with the sum of ``value`` over all earlier lines of the same file.
+def _before(lines: DataFrame, **values: Column) -> DataFrame:
+    """``lines`` with the sum of each of ``values`` over all earlier lines of the same file.
 
-    A running sum inside each file block and one sum per block; no file meets in one task.
+    A running sum inside each run of lines and one sum per run; no file meets in one task.
     """
     here, files = W.partitionBy(*_CHUNK).orderBy("at"), W.partitionBy("file").orderBy("block", "_chunk")
-    rows = lines.withColumn("_value", value)
-    sums = rows.groupBy(*_CHUNK).agg(F.sum("_value").alias("_sum"))
-    starts = sums.select(*_CHUNK, (F.sum("_sum").over(files) - F.col("_sum")).alias("_start"))
-    inside = F.sum("_value").over(here) - F.col("_value")
-    return rows.withColumn("_inside", inside).join(starts, _CHUNK).withColumn(
-        name, F.col("_start") + F.col("_inside")).select(*lines.columns, name)
+    rows = lines.withColumns({f"_{name}_value": value for name, value in values.items()})
+    sums = rows.groupBy(*_CHUNK).agg(*[F.sum(f"_{name}_value").alias(f"_{name}_sum") for name in values])
+    starts = sums.select(*_CHUNK, *[
+        (F.sum(f"_{name}_sum").over(files) - F.col(f"_{name}_sum")).alias(f"_{name}_start") for name in values])
+    inside = {f"_{name}_inside": F.sum(f"_{name}_value").over(here) - F.col(f"_{name}_value") for name in values}
+    return rows.withColumns(inside).join(starts, _CHUNK).select(*lines.columns, *[
+        (F.col(f"_{name}_start") + F.col(f"_{name}_inside")).alias(name) for name in values])
 
 
 def _latest(lines: DataFrame, value: Column, name: str) -> DataFrame:
@@ -231,15 +240,13 @@ def document_rows(lines: DataFrame) -> DataFrame:
     """
     bare = F.regexp_replace("line", r'"(?:[^"\\]++|\\.)*+"', '""')
     change = F.regexp_count(bare, F.lit(r"[{\[]")) - F.regexp_count(bare, F.lit(r"[}\]]"))
-    numbered = lines.withColumn("_chunk", F.shiftright("at", 33)).withColumn(
-        "_line", F.col("at") - F.min("at").over(W.partitionBy(*_CHUNK)))
-    leveled = cut_lineage(_before(numbered, change, "_level"))
+    leveled = cut_lineage(_before(
+        lines.withColumn("_chunk", _chunk_of(F.col("at"))), _level=change, _line=F.lit(1)))
     key = F.regexp_extract("line", r'^\s*"((?:[^"\\]++|\\.)*+)"\s*:', 1)
     named = _latest(leveled, F.when((F.col("_level") == 1) & (key != ""), key), "_section")
     inner = named.where((F.col("_section") == "rows") & (F.col("_level") >= 2))
     begins = (F.col("_level") == 2) & F.trim("line").startswith("{")
-    # within a block lines are numbered, so this grows with the place in the file
-    placed = _latest(inner, F.when(begins, F.col("block") + F.col("_line")), "seq").where(
+    placed = _latest(inner, F.when(begins, F.col("_line")), "seq").where(
         "_level > 2 OR ltrim(line) LIKE '{%'")
     parts = F.array_sort(F.collect_list(F.struct("block", "at", "line")))
     text = F.array_join(F.transform(parts, lambda p: p["line"]), " ")

@@ -171,3 +171,16 @@ def test_a_quote_that_is_never_closed_swallows_no_links(spark, tmp_path):
     rows = "".join(f"https://s{k}.com,{'word ' * 30}\n" for k in range(2000))
     (tmp_path / "a.csv").write_text('https://first.com,"never closed\n' + rows)
     assert readers.read_backlinks(spark, str(tmp_path)).count() == 2001
+
+
+def test_long_documents_and_lists_are_cut_into_short_runs_of_lines(spark, tmp_path, monkeypatch):
+    from anchorlake.sources import readers
+
+    monkeypatch.setattr(readers, "CHUNK_BITS", 2)  # four lines to a run
+    rows = [f'  {{"url": "https://u{i}.com",\n   "verdict": "GOOD",\n   "notes": "[{{"\n  }}' for i in range(30)]
+    (tmp_path / "d.json").write_text('{"meta": {\n "rows": [1]\n},\n"rows": [\n' + ",\n".join(rows) + "\n]}\n")
+    got = readers.read_run(spark, str(tmp_path / "d.json")).orderBy("seq").collect()
+    assert [r.url for r in got] == [f"https://u{i}.com" for i in range(30)] and {r.notes for r in got} == {"[{"}
+    (tmp_path / "l.csv").write_text("url,anchor\n" + "".join(f'https://v{i}.com/,"a\n\n\n\n\n{i}"\n' for i in range(9)))
+    lines = readers.join_records(readers.lines_of(spark, str(tmp_path / "l.csv")))
+    assert lines.count() == 10 and lines.where("line LIKE '%\n8\"'").count() == 1
