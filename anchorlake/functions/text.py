@@ -125,11 +125,15 @@ def stem(token: Column) -> Column:
     return F.coalesce(F.try_element_at(table, word), stripped.otherwise(word))
 
 
+def raw_tokens(text: Column) -> Column:
+    """Lower-case word tokens of a text, in order, as they stand."""
+    return F.regexp_extract_all(
+        F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z'\-]*"), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Stemmed word tokens of a text, in order."""
-    found = F.regexp_extract_all(
-        F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z'\-]*"), F.lit(0))
-    return F.transform(found, stem)
+    return F.transform(raw_tokens(text), stem)
 
 
 def token_stream(text: Column) -> Column:

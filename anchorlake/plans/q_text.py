@@ -114,8 +114,10 @@ def _stems_sql(text: str) -> str:
 WITH m AS (SELECT {_STEM_TABLE} AS tbl), w AS (SELECT unnest({_stems_sql('text')}) AS stem FROM documents, m)
 SELECT stem, count(*) AS n FROM w GROUP BY 1""")
 def stem_counts(t):
-    return spread(t.documents.select("text")).select(F.explode(X.tokens(F.col("text"))).alias("stem")).groupBy(
-        "stem").agg(F.count("*").alias("n"))
+    """Words are counted as they stand, so each different one is stemmed once."""
+    words = spread(t.documents.select("text")).select(F.explode(X.raw_tokens(F.col("text"))).alias("word")).groupBy(
+        "word").agg(F.count("*").alias("n"))
+    return words.groupBy(X.stem(F.col("word")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 _BODY = f"concat(' ', array_to_string({_stems_sql('body')}, ' '), ' ')"

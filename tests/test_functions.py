@@ -177,3 +177,14 @@ def test_hosting_labels(rows):
     df = rows("l string", ("Cloudflare, Inc.",), ("Hetzner Online",), ("OVH on AWS",), ("Joe's Basement",), ("",))
     shared, vps = hosting_class(F.col("l"))
     assert values(df.select(shared, vps)) == [(True, False), (False, True), (False, True), (False, False), (False, False)]
+
+
+def test_stems_are_taken_of_different_words_only(spark, tmp_path):
+    from anchorlake.plans.q_text import stem_counts
+
+    spark.createDataFrame([("Links linked links",), ("link's LINKS",), (None,)], "text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    counts = stem_counts(spark, str(tmp_path))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "transform" not in plan
+    assert sum(r.n for r in counts.collect()) == 5
