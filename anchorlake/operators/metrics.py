@@ -129,19 +129,18 @@ def bulk_payload(payloads: DataFrame) -> DataFrame:
     """
     results = F.flatten(F.transform(F.from_json("payload", _BULK)["tasks"], lambda t: t["result"]))
     items = F.flatten(F.transform(results, lambda r: r["items"]))
-    rows = payloads.select("kind", "seq", F.posexplode(items).alias("pos", "i")).select(
-        "kind", "seq", "pos", U.registered_domain(F.col("i.target")).alias("registered"), "i.*")
-    rows = rows.where(F.col("registered") != "")
-    when = F.struct("seq", "pos")
-
-    def latest(value: Column, kind: str) -> Column:
-        return F.max_by(value, F.when(F.col("kind") == kind, when))
-
-    return rows.groupBy("registered").agg(
-        F.bround(latest(F.col("rank"), "rank") / 10, 1).alias("da"),
-        latest(F.col("spam_score"), "spam").alias("spam_score"),
-        latest(F.col("backlinks"), "links").alias("backlinks"),
-        latest(F.col("referring_domains"), "links").alias("referring_domains"))
+    rows = payloads.select("kind", "seq", F.posexplode(items).alias("pos", "i")).select("kind", "seq", "pos", "i.*")
+
+    def latest(value: str, kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.struct("seq", "pos", F.col(value).alias("value")))).alias(value)
+
+    # folded by the name as it stands first, so each different one is taken apart once
+    names = rows.groupBy("target").agg(
+        latest("rank", "rank"), latest("spam_score", "spam"), latest("backlinks", "links"), latest("referring_domains", "links"))
+    found = names.withColumn("registered", U.registered_domain(F.col("target"))).where(F.col("registered") != "")
+    return found.groupBy("registered").agg(
+        F.bround(F.max("rank")["value"] / 10, 1).alias("da"),
+        *[F.max(c)["value"].alias(c) for c in ("spam_score", "backlinks", "referring_domains")])
 
 
 # --- fixed values: key names accepted in payloads of unknown shape

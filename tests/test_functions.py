@@ -188,3 +188,14 @@ def test_stems_are_taken_of_different_words_only(spark, tmp_path):
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2 and "transform" not in plan
     assert sum(r.n for r in counts.collect()) == 5
+
+
+def test_bulk_feeds_take_each_different_name_apart_once(spark):
+    from anchorlake.operators.metrics import bulk_payload
+
+    body = '{"tasks": [{"result": [{"items": [{"target": "%s", "spam_score": %s}]}]}]}'
+    feeds = spark.createDataFrame([("spam", 1, body % ("a.x.com", 5)), ("spam", 3, body % ("b.x.com", 7)), ("spam", 2, body % ("a.x.com", 9)),
+                                   ("rank", 4, body % ("a.x.com", 1))], "kind string, seq long, payload string")
+    out = bulk_payload(feeds)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    assert [tuple(r) for r in out.collect()] == [("x.com", None, 7.0, None, None)]
