@@ -36,6 +36,29 @@ def test_pacing_state_equals_batch_over_several_batches(spark, tmp_path):
     assert [r.batch for r in batches] == [0]  # a host is written only when it answers
 
 
+def test_a_host_comes_to_its_state_as_one_row_a_batch(spark, tmp_path, monkeypatch):
+    class OneRow(pace.HostPace):
+        def handleInputRows(self, key, rows, timerValues):
+            row, = rows
+            assert row.responses == 100
+            yield from super().handleInputRows(key, iter([row]), timerValues)
+
+    monkeypatch.setattr(pace, "HostPace", OneRow)
+    df = spark.createDataFrame([(f"h{i % 3}", 1200 * i, i, [200, 200, 503, 200, 404, None, 429][i * i % 11 % 7],
+                                 9.0 if i % 7 == 0 else None) for i in range(600)], RESPONSES)
+    for part in range(2):
+        stream = arrive(spark, df.where(f"seq div 300 = {part}"), str(tmp_path / "in"))
+        drain(jobs.pacing_stream(stream, AuditConfig(), str(tmp_path / "out"), str(tmp_path / "state")))
+    assert by_host(jobs.latest_pacing(spark, str(tmp_path / "state"))) == by_host(pacing_batch(df, AuditConfig()))
+
+    cells = pace.segments(df, Pace.of(AuditConfig())).collect()
+    assert len(cells) == 600 and len(pace.joined(pace.segments(df, Pace.of(AuditConfig()))).collect()) == 3
+    for row in pace.joined(pace.segments(df, Pace.of(AuditConfig()))).collect():
+        mine = sorted((c for c in cells if c.host == row.host), key=lambda c: c.cell)
+        assert row.path == [x for c in mine for x in c.path]
+        assert (row.pushbacks, row.last) == (sum(c.pushbacks for c in mine), mine[-1].last)
+
+
 def test_idle_hosts_recover_by_timer(spark, tmp_path):
     cfg = AuditConfig(delay_per_host=1.0, max_delay_per_host=15.0, backoff_recover=0.5)
     seen = []
